@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolite import timeaxis
-from tremolite.operators import drift, intervals, regular, unitgraph
+from tremolite.operators import drift, intervals, regular, spikes, unitgraph
 from tremolite.session import load
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flagged(load(spark, d, "readings"), load(spark, d, "runs")).select("id", "t_us")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flagged(load(spark, d, "readings"), load(spark, d, "runs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     c = drift.changes(load(spark, d, "meta_records"), load(spark, d, "meta_files"))
     return c.select("file_id", "change_kind", "field", "new_field")
@@ -42,7 +50,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unitgraph.to_si(load(spark, d, "channels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p6_found)}
 
 SQL = {
     "p3_found": """
