@@ -67,7 +67,8 @@ def md2j(y: Column | str, m: Column | str, d: Column | str) -> Column:
 def mktime(y, j, h, m, s, ms) -> Column:
     """Microseconds of year, day of year, hour, minute, second, microsecond."""
     day = F.datediff(F.date_add(F.make_date(_c(y), F.lit(1), F.lit(1)), _c(j) - 1), F.lit("1970-01-01").cast("date")).cast("long")
-    return day * 86_400_000_000 + _c(h) * 3_600_000_000 + _c(m) * 60_000_000 + _c(s) * 1_000_000 + _c(ms)
+    n = lambda v: _c(v).cast("long")
+    return day * 86_400_000_000 + n(h) * 3_600_000_000 + n(m) * 60_000_000 + n(s) * 1_000_000 + n(ms)
 
 
 def y2us(y: Column | str) -> Column:
@@ -87,8 +88,8 @@ def t_arr(us: Column | str) -> Column:
 def bcd_time(b: Column | str) -> Column:
     """Microseconds of eight BCD bytes yy mm dd hh mm ss cc given as hex text YYYYMMDDhhmmsscc (F8)."""
     h = F.hex(_c(b))
-    f = lambda a, n: F.substring(h, a, n).cast("int")
-    day = F.datediff(F.make_date(f(1, 4), f(5, 2), f(7, 2)), F.lit("1970-01-01").cast("date")).cast("long")
+    f = lambda a, n: F.substring(h, a, n).cast("long")
+    day = F.datediff(F.make_date(f(1, 4).cast("int"), f(5, 2).cast("int"), f(7, 2).cast("int")), F.lit("1970-01-01").cast("date")).cast("long")
     return day * 86_400_000_000 + f(9, 2) * 3_600_000_000 + f(11, 2) * 60_000_000 + f(13, 2) * 1_000_000 + f(15, 2) * 10_000
 
 
