@@ -153,7 +153,8 @@ def survivors(
     records are records of their own, and of equal values the highest rank's record is given.
     """
     trust = F.lit(0)
-    x = records
+    # only what is needed, so that other columns' names can't clash
+    x = records.select("id", "updated", key, *fields, *(["src"] if sources is not None else []))
     if sources is not None:
         s = sources.groupBy("src").agg(F.max("trust").alias("_trust"))
         x = x.join(s, "src", "left")
