@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tremolite import model, timeaxis
 from tremolite.functions import ids, scalar
 from tremolite.model import DAY, HOUR
-from tremolite.operators import process, select
+from tremolite.operators import dsp, lineage, merge, process, select, synth
 from tremolite.session import load
+from tremolite.streaming import packets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -484,3 +485,116 @@ def header_scaling(spark, d):
     s = F.when(F.col("l_linenumber") % 3 == 0, -10).when(F.col("l_linenumber") % 3 == 1, 10).otherwise(0)
     return load(spark, d, "lineitem").where("l_linenumber < 10").select("l_orderkey", "l_linenumber", scalar.scaled_coord("l_quantity", s).alias("v"), scalar.mk_lc("l_linenumber").alias("lc"))
 
+
+
+# --- whole-segment processing
+
+
+@query("""with e as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings),
+h as (select a.vec_id, a.i, any_value(a.x) as x, sum(case when (a.i - b.i) % 2 <> 0 then b.x * 2.0 / 64 / tan(pi() * (a.i - b.i) / 64) else 0 end) as y from e a join e b on a.vec_id = b.vec_id group by a.vec_id, a.i)
+select vec_id, i, round(sqrt(x * x + y * y), 5) as env from h""")
+def env_hilbert(spark, d):
+    """V7: envelopes of the embeddings as 64-sample segments."""
+    e = dsp.envelope_traces(model.emb(load(spark, d, "embeddings")))
+    return e.select(F.col("id").alias("vec_id"), F.posexplode("x").alias("i", "env")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("env", 5).alias("env"))
+
+
+@query()
+def filtfilt_bandpass(spark, d):
+    """V6: zero-phase band-pass of the embeddings at 1 Hz."""
+    return dsp.filtfilt_traces(model.emb(load(spark, d, "embeddings")), fl=0.05, fh=0.2).select("id", "t0_us", "fs", "x")
+
+
+@query()
+def resample_half(spark, d):
+    """V8."""
+    return dsp.resample_traces(model.emb(load(spark, d, "embeddings")), 0.5).select("id", "t0_us", "fs", F.size("x").cast("long").alias("n"), "x")
+
+
+@query()
+def remove_resp(spark, d):
+    """A damped oscillator's response taken off the embeddings."""
+    one = F.struct(F.lit(1.0).alias("a0"), scalar.fctoresp(F.lit(0.05)).alias("p"), F.array(F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))).alias("z"))
+    e = model.emb(load(spark, d, "embeddings")).withColumn("resp", one)
+    return dsp.translate_traces(e).select("id", "t0_us", "fs", "x")
+
+
+@query("""with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as t, unnest(embedding)::double as x from embeddings), f as (select vec_id, regr_slope(x, t - 31.5) as b, avg(x) as a from e group by vec_id)
+select vec_id, t as i, round(x - a - b * (t - 31.5), 5) as x from e join f using (vec_id)""")
+def detrend_segments(spark, d):
+    """V2: polynomial of order 1 off whole segments (order n by the same kernel)."""
+    e = dsp.apply_segments(model.emb(load(spark, d, "embeddings")), lambda x, _: dsp.detrend_poly(x, 1))
+    return e.select(F.col("id").alias("vec_id"), F.posexplode("x").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
+
+
+@query("""with t as (select tr_id, id, fs, t[1].us as t0, nx from traces where fs > 0 and len(t) = 2 and t[2].us = 0 and nx between 1 and 2000), s as (select id, tr_id, cast(round_even(1e6 / fs, 0) as bigint) as d, t0, nx, min(t0) over (partition by id) as base from t),
+k as (select id, d, base, tr_id, cast(round_even((t0 - base) / d, 0) as bigint) + unnest(generate_series(0, nx - 1)) as k, unnest(generate_series(0, nx - 1)) as i from s),
+m as (select id, d, base, k, avg((tr_id + i) % 101) as x from k group by id, d, base, k), l as (select *, case when k - lag(k) over (partition by id order by k) = 1 then 0 else 1 end as n from m), g as (select *, sum(n) over (partition by id order by k rows unbounded preceding) - 1 as seg from l)
+select id, cast(seg as bigint) as seg, min(base + k * d) as start_us, max(base + k * d) as end_us, count(*) as n, round(sum(x), 4) as sum_x from g group by id, seg""")
+def merge_overlaps(spark, d):
+    """Short gapless traces of each channel merged on the channel's grid, overlaps averaged."""
+    t = load(spark, d, "traces").where("fs > 0 and size(t) = 2 and t[1].us = 0 and nx between 1 and 2000")
+    x = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda i: F.pmod(F.col("tr_id") + i, F.lit(101)).cast("double"))
+    m = merge.merge_traces(t.select("id", F.col("t")[0]["us"].alias("t0_us"), "fs", x.alias("x")))
+    s = merge.segments(m).withColumnRenamed("id", "_id")
+    total = m.select("id", "t0_us", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("sx"))
+    j = s.join(total, (F.col("_id") == F.col("id")) & (F.col("t0_us") >= F.col("start_us")) & (F.col("t0_us") <= F.col("end_us")))
+    return j.groupBy("id", "seg", "start_us", "end_us", "n").agg(F.round(F.sum("sx"), 4).alias("sum_x"))
+
+
+# --- streams, lineage, synthetic data
+
+
+@query("""with p as (select id, tr_id as ord, t[1].us as t0, nx as n, cast(round_even(1e6 / fs, 0) as bigint) as d from traces where fs > 0 and len(t) > 0 and nx > 0), e as (select *, t0 + (n - 1) * d as t1 from p),
+g as (select *, t0 - lag(t1) over (partition by id order by ord) - d as gap from e), s as (select *, case when gap is null or abs(gap) > d // 2 then 1 else 0 end as new from g)
+select id, cast(sum(new) over w as bigint) - 1 as seg, cast(sum(n) over w as bigint) - n as i0, t0 as t0_us, t1 as t1_us, n, case when new = 1 and gap is not null then gap else 0 end as gap_us from s window w as (partition by id order by ord rows unbounded preceding)""")
+def packet_segments(spark, d):
+    """Packets appended to their channels in order of arrival, as the stream operator does."""
+    t = load(spark, d, "traces").where("fs > 0 and size(t) > 0 and nx > 0")
+    p = t.select("id", F.col("tr_id").alias("ord"), F.col("t")[0]["us"].alias("t0_us"), F.col("nx").alias("n"), timeaxis.delta_us("fs").alias("dt_us"))
+    return packets.segments_batch(p)
+
+
+@query("select id, max(epoch_us(arrived)) as end_us from traces where arrived is not null group by id having max(epoch_us(arrived)) > (select max(epoch_us(arrived)) from traces) - 3600000000")
+def live_streams(spark, d):
+    """Channels whose last packet came within an hour of the latest one."""
+    s = load(spark, d, "traces").groupBy("id").agg(F.max(F.unix_micros("arrived")).alias("end_us"))
+    last = F.broadcast(s.agg(F.max("end_us").alias("now")))
+    return s.join(last, F.col("end_us") > F.col("now") - 3_600_000_000).select("id", "end_us")
+
+
+@query("with n as (select rec_id as ch, unnest(notes) as note from channels) select note, count(*) as n, count(distinct ch) as channels from n group by note")
+def notes_by_text(spark, d):
+    """Notes of channel records, parsed and counted."""
+    n = lineage.parse(load(spark, d, "channels").select(F.col("rec_id").alias("ch"), F.explode("notes").alias("note")))
+    return n.groupBy(F.col("descr").alias("note")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ch").alias("channels"))
+
+
+@query("with a as (select rec_id as ch, id, name, gain, units from channels), b as (select ch, id, case when ch % 10 = 3 then coalesce(name, '') || '*' else name end as name, gain, units from a) select b.ch from b join a using (ch) where a.name is distinct from b.name")
+def changed_headers(spark, d):
+    """Records whose header hash differs from before (track_hdr)."""
+    a = load(spark, d, "channels").select(F.col("rec_id").alias("ch"), "id", "name", "gain", "units")
+    b = a.withColumn("name", F.when(F.col("ch") % 10 == 3, F.concat(F.coalesce("name", F.lit("")), F.lit("*"))).otherwise(F.col("name")))
+    return lineage.changed_headers(a, b, ("id", "name", "gain", "units"))
+
+
+@query()
+def synthetic_traces(spark, d):
+    """2.16: random channels with gaps, as many as nations."""
+    n = load(spark, d, "nation").count()
+    return synth.traces(synth.channels(spark, n), 60, 0).select("ch", "seg", "t0_us", "dt_us", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("sum_x"))
+
+
+@query("select s_suppkey as event_id, c_custkey as ch, s_nationkey as nat from supplier join customer on s_nationkey = c_nationkey where c_custkey % 10 = 0")
+def event_channels(spark, d):
+    """Channels of events by key."""
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("nat"))
+    c = load(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("ch"), F.col("c_nationkey").alias("nat"))
+    return s.join(c, "nat").select("event_id", "ch", "nat")
+
+
+@query("select r.id, s.src, max(s.title) as title, count(*) as n from runs r left join sources s on r.src = s.src group by r.id, s.src")
+def station_lookup(spark, d):
+    """A small station table looked up."""
+    r = load(spark, d, "runs").join(F.broadcast(load(spark, d, "sources")), "src", "left")
+    return r.groupBy("id", F.when(F.col("title").isNotNull(), F.col("src")).alias("src")).agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("n"))
