@@ -197,6 +197,9 @@ def units2ucum(s: Column | str) -> Column:
         return F.concat(F.when(p < 0, "/").otherwise("."), name, mag)
 
     y = F.regexp_replace(F.array_join(F.transform(toks, show), ""), r"^\.", "")
+    # one division sign: what follows it is joined with '.', positive powers as well
+    cut = F.instr(y, "/")
+    y = F.when(cut > 0, F.concat(F.substring(y, F.lit(1), cut), F.translate(F.substring(y, cut + 1, F.length(y)), "/", "."))).otherwise(y)
     fixes = F.create_map(*[F.lit(v) for kv in UNIT_FIXES.items() for v in kv])
     return F.coalesce(F.try_element_at(fixes, F.trim(_c(s))), y)
 
