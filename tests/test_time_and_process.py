@@ -138,8 +138,8 @@ def test_merges(spark):
     nx, x = 100, np.random.default_rng(1).normal(size=(2, 100))
     t = lambda off, v, i="V": (i, off, 100.0, [float(q) for q in v], 32.0)
     df = spark.createDataFrame([t(0, x[0]), t((nx - 3) * 10_000, x[1]), t(5_000_000, x[0], "W"), ("W", 0, 100.0, [], 1.0), ("W", 0, None, None, 1.0)], "id string, t0_us bigint, fs double, x array<double>, gain double")
-    for shard in (3_600_000_000, 300_000):
-        g = merge.merge_traces(df, shard_us=shard)
+    for shard, steps in ((3_600_000_000, 65536), (300_000, 1)):
+        g = merge.merge_traces(df, shard_us=shard, shard_steps=steps)
         y = np.concatenate([r["x"] for r in g.where("id = 'V'").orderBy("t0_us").collect()])
         assert len(y) == 2 * nx - 3 and np.allclose(y[97:100], (x[0][97:] + x[1][:3]) / 2)
         s = {r["id"]: (r["start_us"], r["n"]) for r in merge.segments(g).collect()}
@@ -211,6 +211,8 @@ def test_signal_kernels():
     y = dsp.filtfilt(np.sin(2 * math.pi * 5 * t) + 10, dsp.design(50.0, 1.0, 15.0))
     assert np.abs(y - np.sin(2 * math.pi * 5 * t))[300:-300].max() < 0.02  # no phase shift, no offset
     assert np.isfinite(dsp.filtfilt(rng.normal(size=5), dsp.design(50.0, 1.0, 15.0))).all() and len(dsp.filtfilt(np.zeros(0), s)) == 0
+    many = rng.normal(size=(9, 300))
+    assert np.allclose(dsp.filtfilt_many(many, s), [dsp.filtfilt(v, s) for v in many]) and np.allclose(dsp.filtfilt_many(many[:, :20], s), [dsp.filtfilt(v, s) for v in many[:, :20]])
     assert len(dsp.resample(x, 50.0, 25.0)) == 32 and np.allclose(dsp.resample(x, 50.0, 50.0), x) and len(dsp.resample(np.zeros(194240), 40.0, 10.0)) == 48560
     old = (3.0, np.zeros(1, complex), np.array([-1 + 2j, -1 - 2j]))
     back = dsp.translate(dsp.translate(np.r_[x, np.zeros(64)], 10.0, dsp.FLAT, old), 10.0, old)

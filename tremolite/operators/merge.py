@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 #: Time shard of merged samples; segments that cross a border are joined again afterwards.
 SHARD_US = 3_600_000_000
+#: Steps that a shard has at least, so that slow channels don't fall into many small shards.
+SHARD_STEPS = 65_536
 
 
-def merge_traces(traces: DataFrame, key: str = "id", shard_us: int = SHARD_US) -> DataFrame:
+def merge_traces(traces: DataFrame, key: str = "id", shard_us: int = SHARD_US, shard_steps: int = SHARD_STEPS) -> DataFrame:
     """key, seg, t0_us, dt_us, fs, x of merged segments.
 
     traces: key, t0_us, fs, x (one row per contiguous segment), gain optional: values are brought to the gain of the
@@ -32,7 +34,7 @@ def merge_traces(traces: DataFrame, key: str = "id", shard_us: int = SHARD_US) -
     t = t.join(g, key)
     # grid places of a trace's samples, cut into shards of whole steps
     k0 = F.rint((F.col("t0_us") - F.col("_base")) / F.col("_d")).cast("long")
-    per = F.greatest(F.lit(1), F.floor(F.lit(shard_us) / F.col("_d"))).cast("long")
+    per = F.greatest(F.lit(shard_steps), F.floor(F.lit(shard_us) / F.col("_d"))).cast("long")
     t = t.withColumn("_k0", k0).withColumn("_per", per)
     t = t.withColumn("_sh", F.explode(F.sequence(F.floor(F.col("_k0") / F.col("_per")), F.floor((F.col("_k0") + F.size("x") - 1) / F.col("_per")))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("_sh") * F.col("_per") - F.col("_k0"))
