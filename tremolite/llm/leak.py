@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremolite.llm import text as T
+from tremolite.session import spread
 
 #: Words of a window and distance between a document's windows: a run of LEAST words holds whole windows.
 WINDOW, STRIDE = 12, 3
@@ -312,7 +313,7 @@ def leaks(
         if size > block_words:
             flush()
     flush()
-    src = documents.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") > 0)
+    src = spread(documents.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") > 0))
     kinds = (documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString())
     schema = f"`{doc}` {kinds[0]}, `{item}` {kinds[1]}, words bigint, first_word bigint, last_word bigint"
     found = formulas(src, held, "_d", "_t", share, least)

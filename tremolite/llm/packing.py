@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolite.session import cut
+from tremolite.session import cut, spread
 
 #: Rank vocabulary of the tokenizer (a file of base64 tokens and ranks).
 VOCABULARY = os.environ.get("TREMOLITE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -54,7 +54,7 @@ def token_counts(documents: DataFrame, doc: str = "doc_id", text: str = "text",
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[doc, "tokens"])
 
-    return documents.select(doc, F.col(text).alias("_t")).mapInArrow(run, f"`{doc}` {kind}, tokens bigint")
+    return spread(documents.select(doc, F.col(text).alias("_t"))).mapInArrow(run, f"`{doc}` {kind}, tokens bigint")
 
 
 def plan(counts: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:

@@ -88,29 +88,31 @@ def group_stream(batches: Iterator[pd.DataFrame], keys: list[str], fn: Callable[
 # --- profiles: a list of columns, each a dict token -> weight; GAP counts as a token
 
 
-def score(a: dict, b: dict) -> float:
-    """1 where the columns' leading tokens agree, part of it where some token is shared."""
-    common = a.keys() & b.keys()
-    if not common:
-        return -0.5
-    top = lambda c: max(c, key=lambda t: (c[t], t))
-    return 1.0 if top(a) == top(b) else 0.5
+def leading(c: dict) -> str:
+    """The heaviest token of a column; of equal ones the last in the alphabet."""
+    return next(iter(c)) if len(c) == 1 else max(c, key=lambda t: (c[t], t))
 
 
 def align(p: list[dict], q: list[dict], add: Callable, wp, wq) -> list[dict]:
-    """Global alignment of two profiles; wp, wq: the weights of all of p and of q (what a gap votes with)."""
+    """Global alignment of two profiles; wp, wq: the weights of all of p and of q (what a gap votes with).
+
+    Columns score 1 where their leading tokens agree, 0.5 where they share a token, -0.5 otherwise; a gap costs 0.6.
+    """
     n, m = len(p), len(q)
-    d = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        d[i][0] = -0.6 * i
-    for j in range(1, m + 1):
-        d[0][j] = -0.6 * j
+    tp, tq = [leading(c) for c in p], [leading(c) for c in q]
+    s = [[1.0 if a == b else (-0.5 if p[i].keys().isdisjoint(q[j]) else 0.5) for j, b in enumerate(tq)] for i, a in enumerate(tp)]
+    d = [[-0.6 * j for j in range(m + 1)]]
     for i in range(1, n + 1):
+        up, row, si = d[-1], [-0.6 * i], s[i - 1]
         for j in range(1, m + 1):
-            d[i][j] = max(d[i - 1][j - 1] + score(p[i - 1], q[j - 1]), d[i - 1][j] - 0.6, d[i][j - 1] - 0.6)
+            v = up[j - 1] + si[j - 1]
+            g = up[j] - 0.6
+            h = row[-1] - 0.6
+            row.append(v if v >= g and v >= h else g if g >= h else h)
+        d.append(row)
     out, i, j = [], n, m
     while i or j:
-        if i and j and d[i][j] == d[i - 1][j - 1] + score(p[i - 1], q[j - 1]):
+        if i and j and d[i][j] == d[i - 1][j - 1] + s[i - 1][j - 1]:
             i, j = i - 1, j - 1
             c = dict(p[i])
             for t, w in q[j].items():
@@ -139,7 +141,7 @@ def progressive(profiles: list[tuple[list[dict], object]], add: Callable) -> tup
 
 def consensus(profile: list[dict]) -> list[str]:
     """The heaviest token of each column, gaps left out; of equal tokens the last in the alphabet."""
-    won = [max(c, key=lambda t: (c[t], t)) for c in profile]
+    won = [leading(c) for c in profile]
     return [t for t in won if t != GAP]
 
 
