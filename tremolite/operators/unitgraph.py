@@ -92,20 +92,24 @@ SPELLED = {
 }
 
 
+#: Rewriting rules of spellings, in order.
+REWRITES = (
+    (r"[µμ]", "u"),
+    (r"\s+", " "),
+    (r"^1 ", ""),
+    (r"nano-?met(?:re|er)s?", "nm"), (r"micro-?met(?:re|er)s?|microns?", "um"), (r"milli-?met(?:re|er)s?", "mm"), (r"centi-?met(?:re|er)s?", "cm"), (r"kilo-?met(?:re|er)s?", "km"), (r"\bmet(?:re|er)s?\b", "m"), (r"\binch(?:es)?\b", "in"), (r"\bradians?\b", "rad"),
+    (r" ?per second squared| ?per second per second| ?per square second", "/s2"),
+    (r" ?(?:per|/) ?sec(?:ond)?s?\b", "/s"),
+    (r"\^|\*\*", ""),
+    (r" ?[ *.·⋅×] ?s(?:ec)?-1$", "/s"), (r" ?[ *.·⋅×] ?s(?:ec)?-2$", "/s2"),
+    (r" ?/ ?s(?:ec)?1?$", "/s"), (r" ?/ ?s(?:ec)? ?2$", "/s2"),
+)
+
+
 def unit_key(text: Column) -> Column:
     """Free spelling of a unit as the key of a graph node; unknown spellings stay as they are."""
     s = F.lower(F.trim(text))
-    for a, b in (
-        (r"[µμ]", "u"),
-        (r"\s+", " "),
-        (r"^1 ", ""),
-        (r"nano-?met(?:re|er)s?", "nm"), (r"micro-?met(?:re|er)s?|microns?", "um"), (r"milli-?met(?:re|er)s?", "mm"), (r"centi-?met(?:re|er)s?", "cm"), (r"kilo-?met(?:re|er)s?", "km"), (r"\bmet(?:re|er)s?\b", "m"), (r"\binch(?:es)?\b", "in"), (r"\bradians?\b", "rad"),
-        (r" ?per second squared| ?per second per second| ?per square second", "/s2"),
-        (r" ?(?:per|/) ?sec(?:ond)?s?\b", "/s"),
-        (r"\^|\*\*", ""),
-        (r" ?[ *.·⋅×] ?s(?:ec)?-1$", "/s"), (r" ?[ *.·⋅×] ?s(?:ec)?-2$", "/s2"),
-        (r" ?/ ?s(?:ec)?1?$", "/s"), (r" ?/ ?s(?:ec)? ?2$", "/s2"),
-    ):
+    for a, b in REWRITES:
         s = F.regexp_replace(s, a, b)
     table = F.create_map(*[F.lit(v) for kv in SPELLED.items() for v in kv])
     return F.coalesce(F.try_element_at(table, s), s)

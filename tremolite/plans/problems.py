@@ -52,6 +52,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p6_found)}
 
+#: The fixed conversions and spellings, written out for SQL.
+_UNIT_ROWS = ", ".join(f"('{k}', '{unitgraph.compositions()[u][0]}', {unitgraph.compositions()[u][1]!r})" for k, u in [*((u, u) for u in unitgraph.compositions()), *unitgraph.SPELLED.items()])
+_UNIT_SQL = "lower(trim(t))"
+for _a, _b in unitgraph.REWRITES:
+    _UNIT_SQL = f"regexp_replace({_UNIT_SQL}, '{_a}', '{_b}', 'g')"
+
 SQL = {
     "p3_found": """
 with m as (select tr_id, id, cast(round_even(1e6 / fs, 0) as bigint) as d, t from traces where fs > 0 and len(t) > 0),
@@ -76,5 +82,41 @@ b as (select run_id, d, min(k) as lo, max(k) as hi from k group by run_id, d),
 g as (select run_id, d, unnest(generate_series(lo, hi)) as k from b),
 v as (select distinct run_id, k from k where x is not null and not isnan(x))
 select g.run_id, g.k * g.d as slot_us from g left join v on g.run_id = v.run_id and g.k = v.k where v.k is null
+""",
+    "p2_found": """
+with r as (select file_id, raw from meta_records where json_valid(raw) and json_type(raw) = 'OBJECT'),
+k as (select file_id, json_extract_string(raw, '$.id') as id, unnest(json_keys(raw)) as k, raw from r),
+n as (select file_id, id, k as g, unnest(json_keys(json_extract(raw, '$.' || k))) as kk, json_extract(raw, '$.' || k) as o from k where k in ('loc', 'resp', 'misc') and json_type(json_extract(raw, '$.' || k)) = 'OBJECT'),
+f as (select file_id, id, k as field, json_extract(raw, '$."' || k || '"') as v from k where regexp_matches(k, '^(loc|resp|misc)\\.')
+      union all select file_id, id, g || '.' || kk, json_extract(o, '$."' || kk || '"') from n),
+t as (select file_id, id, field, v, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as kind from f where v is not null and json_type(v) <> 'NULL'),
+c as (select file_id, field, kind, count(*) as n from t group by all),
+ff as (select file_id, field, arg_max(kind, n * 1000000 - ascii(kind) * 1000 - ascii(kind[2:])) as kind from c group by file_id, field),
+ch as (select file_id, lag(file_id) over w as prev_file, lead(file_id) over w as next_file from meta_files window w as (partition by producer order by written nulls first, file_id)),
+now as (select ff.* from ff join ch using (file_id) where prev_file is not null),
+was as (select next_file as file_id, field, kind from ff join ch using (file_id) where next_file is not null),
+d as (select coalesce(was.file_id, now.file_id) as file_id, coalesce(was.field, now.field) as field, was.kind as ok, now.kind as nk from was full join now on was.file_id = now.file_id and was.field = now.field where was.kind is distinct from now.kind),
+pv as (select file_id, id, field, lower(regexp_replace(v::varchar, '[\\[\\]{}"\\s]|"?(?:value|items)"?:', '', 'g')) as s from t where id is not null),
+vals as (select file_id, id, field, min(coalesce(try_cast(s as double)::varchar, s)) as v from pv where s not in ('', 'n/a', 'null', 'none') group by file_id, id, field),
+ov as (select ch.next_file as file_id, vals.id, d.field as old, v from vals join ch using (file_id) join d on d.file_id = ch.next_file and d.field = vals.field and d.nk is null),
+nv as (select vals.file_id, vals.id, d.field as new, v from vals join d on d.file_id = vals.file_id and d.field = vals.field and d.ok is null),
+pr as (select file_id, old, new, count(*) as n_both, count(*) filter (ov.v = nv.v) as same from ov join nv using (file_id, id) group by file_id, old, new),
+ok as (select * from pr where same >= 2 and same >= 0.6 * n_both),
+bs as (select *, row_number() over (partition by file_id, old order by same / n_both desc, same desc, old, new) as ro, row_number() over (partition by file_id, new order by same / n_both desc, same desc, old, new) as rn from ok),
+ren as (select file_id, old, new from bs where ro = 1 and rn = 1)
+select d.file_id, case when ren.new is not null then 'renamed' when ok is null then 'added' when nk is null then 'removed' else 'retyped' end as change_kind, d.field, coalesce(ren.new, '') as new_field
+from d left join ren on d.file_id = ren.file_id and d.field = ren.old where not exists (select 1 from ren x where x.file_id = d.file_id and x.new = d.field)
+""",
+    "p6_found": f"""
+with tab(unit, si_units, scale) as (values {_UNIT_ROWS}),
+c as (select rec_id, gain, [units, misc['Sensitivity'], misc['gain_units'], misc['unit']] || coalesce(list_transform(notes, lambda n: coalesce(nullif(regexp_extract(n, '(?i)calibrated per\\s+(.+?)(?:,.*|\\.?)$', 1), ''), nullif(regexp_extract(n, '(?i)amplitudes? of this channel (?:is|are) in\\s+(.+?)(?: after unscaling)?\\.?$', 1), ''),
+       nullif(regexp_extract(n, '(?i)gain refers to (?:one|1|an?)\\s+(.+?)\\.?$', 1), ''), nullif(regexp_extract(n, '(?i)\\bone\\s+(.+?)\\s+gives the stated number of counts', 1), ''), case when regexp_matches(n, '(?i)counts') then n end)), []) || [resp.i] as cand from channels where gain > 0 and gain <> 1 and not isnan(gain) and gain < 1e300),
+u as (select rec_id, gain, generate_subscripts(cand, 1) as k, unnest(cand) as t from c),
+v as (select rec_id, gain, k, coalesce(nullif(regexp_extract(t, '(?i)(?:counts?|cts)\\s*(?:/|per)\\s*\\(?\\s*([^()]+?)\\s*\\)?\\s*\\.?$', 1), ''), t) as t from u where t is not null),
+w as (select rec_id, gain, k, {_UNIT_SQL} as t from v),
+g as (select w.rec_id, w.gain, arg_min(tab.si_units, k) as si_units, arg_min(tab.scale, k) as scale from w join tab on tab.unit = w.t group by w.rec_id, w.gain),
+f as (select rec_id, resp.f0 as f0, lower(coalesce(nullif(trim(resp.fu), ''), nullif(trim(resp.descr), ''), 'hz')) as said from channels where len(resp.p) > 0 and resp.f0 > 0 and not isnan(resp.f0) and resp.f0 < 1e300)
+select rec_id, 'gain' as what, si_units, cast(round(gain / scale) as bigint) as si_value from g
+union all select rec_id, 'f0', 'Hz', cast(round(1000 * case when regexp_matches(said, 'rad|angular') then f0 * (1 / (2 * pi())) when said like '%mhz%' then f0 * 0.001 when said like '%hz%' then f0 when regexp_matches(said, '^s$|^secs?$|second|period') then 1 / f0 else f0 end) as bigint) from f
 """,
 }
