@@ -71,3 +71,10 @@ def segments(merged: DataFrame, key: str = "id") -> DataFrame:
     new = F.coalesce((F.col("t0_us") - F.lag("_e").over(w) != F.col("dt_us")).cast("long"), F.lit(0).cast("long"))
     m = m.withColumn("_new", new).withColumn("seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return m.groupBy(key, "seg").agg(F.min("t0_us").alias("start_us"), F.max("_e").alias("end_us"), F.sum("_n").cast("long").alias("n"))
+
+
+def merge_many(*tables: DataFrame, key: str = "id") -> DataFrame:
+    """Several traces tables merged into one."""
+    from functools import reduce
+
+    return merge_traces(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), key)

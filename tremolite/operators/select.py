@@ -188,3 +188,30 @@ def changed(before: DataFrame, after: DataFrame, size: str = "nx") -> DataFrame:
     """Ids that are new, gone, or whose size changed."""
     a, b = before.groupBy("id").agg(F.sum(size).alias("was")), after.groupBy("id").agg(F.sum(size).alias("now"))
     return a.join(b, "id", "full").where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """J13 (an addition): each left row with the value of the last right row of its key at or before its time.
+
+    Both sides are merged in one window per key: no range join.  Equal times match; ties on the right go to the larger value.
+    """
+    u = left.withColumn("_r", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
+    r = right.select(key, t, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_r", F.lit(0))
+    w = Window.partitionBy(key).orderBy(t, "_r", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    return u.unionByName(r, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_r = 1").drop("_r", "_v")
+
+
+def without_flagged(df: DataFrame, flag: str = "flagged") -> DataFrame:
+    """Without flagged channels (null counts as not flagged)."""
+    return df.where(~F.coalesce(F.col(flag), F.lit(False))).drop(flag)
+
+
+def as_event_traces(channels: DataFrame) -> DataFrame:
+    """Channels with the columns that event traces have besides, unset."""
+    z = F.lit(0.0)
+    return channels.withColumns({"az": z, "baz": z, "dist": z, "pha": F.create_map().cast("map<string, double>")})
+
+
+def as_channels(event_traces: DataFrame) -> DataFrame:
+    """Event traces as plain channels."""
+    return event_traces.drop("az", "baz", "dist", "pha")

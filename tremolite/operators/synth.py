@@ -29,3 +29,16 @@ def traces(headers: DataFrame, seconds: int, start_us: int, seed: int = 42, gaps
     t0 = F.lit(start_us) + F.col("seg") * F.lit(int(seconds * 1.5e6 / (gaps + 1))).cast("long") + F.floor(h("t") * 1000)
     noise = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: (F.pmod(F.xxhash64(F.lit(seed), "ch", "seg", k), F.lit(2_000_001)) - 1_000_000) / 1e6)
     return t.select("ch", F.col("seg").cast("long").alias("seg"), t0.cast("long").alias("t0_us"), dt.alias("dt_us"), "fs", noise.alias("x"))
+
+
+def events(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """n random events: event_id, ot_us, lat, lon, dep, mag, mag_scale, typ, picks (phase -> travel time)."""
+    e = spark.range(1, n + 1)
+    h = lambda k, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(m))
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(v) for v in names]), (h(k, len(names)) + 1).cast("int"))
+    dist = h("d", 18000) / 100.0
+    return e.select(
+        F.format_string("ev%06d", "id").alias("event_id"), (F.lit(1_500_000_000_000_000) + h("t", 10**15)).alias("ot_us"), (h("lat", 18001) / 100.0 - 90).alias("lat"), (h("lon", 36001) / 100.0 - 180).alias("lon"),
+        (h("dep", 70000) / 100.0).alias("dep"), (h("m", 90) / 10.0 - 1).alias("mag"), pick(("Mw", "ML", "mb", "Ms"), "s").alias("mag_scale"), pick(("earthquake", "explosion", "quarry blast"), "k").alias("typ"),
+        F.create_map(F.lit("P"), dist * 8.0, F.lit("S"), dist * 14.5).alias("picks"),
+    )

@@ -9,7 +9,9 @@ from tremolite import model, timeaxis
 from tremolite.functions import ids, scalar
 from tremolite.model import DAY, HOUR
 from tremolite.operators import dsp, lineage, merge, process, select, synth
+from tremolite.plans import sqlapi
 from tremolite.session import load
+from tremolite.sources import formats
 from tremolite.streaming import packets
 
 QUERIES: dict = {}
@@ -598,3 +600,92 @@ def station_lookup(spark, d):
     """A small station table looked up."""
     r = load(spark, d, "runs").join(F.broadcast(load(spark, d, "sources")), "src", "left")
     return r.groupBy("id", F.when(F.col("title").isNotNull(), F.col("src")).alias("src")).agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("n"))
+
+
+# --- files: encoded and decoded again on the executors
+
+_FILE_SQL = "select vec_id, 64 as n, cast(sum(v) as bigint) as total, cast(sum(v * i) as bigint) as weighted from (select vec_id, cast(round(v * 1000) as bigint) as v, i from (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings)) group by vec_id"
+
+
+def _roundtrip(spark, d: str, write, read) -> DataFrame:
+    """Embeddings in thousandths as 64-sample channels through a file format and back: samples, sum, weighted sum."""
+    e = load(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda v: F.round(v * 1000)).alias("x"))
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for k, x in zip(b["vec_id"], b["x"]):
+                p = formats.piece(id="XX.EMB.00.BHZ", fs=32.0, t0_us=1_577_836_800_000_000, x=x, misc={"hex_id": "0001"})
+                y = np.rint(np.concatenate([q["x"] for q in read(write(p))])).astype(int)
+                rows.append((k, len(y), int(y.sum()), int((y * np.arange(1, len(y) + 1)).sum())))
+            yield pd.DataFrame(rows, columns=["vec_id", "n", "total", "weighted"])
+
+    return e.mapInPandas(run, "vec_id bigint, n bigint, total bigint, weighted bigint")
+
+
+def _file_query(name: str, write, read) -> None:
+    def run(spark, d):
+        return _roundtrip(spark, d, write, read)
+
+    run.__name__ = f"file_{name}"
+    query(_FILE_SQL)(run)
+
+
+_file_query("mseed_steim1", lambda p: formats.mseed_write([p], 10), lambda b: formats.mseed_records(b))
+_file_query("mseed_steim2", lambda p: formats.mseed_write([p], 11), lambda b: formats.mseed_records(b))
+_file_query("mseed_int32", lambda p: formats.mseed_write([p], 3), lambda b: formats.mseed_records(b))
+_file_query("sac", lambda p: formats.sac_write(p), lambda b: formats.sac_read(b))
+_file_query("segy_ibm", lambda p: formats.segy_write([p], 1), lambda b: formats.segy_read(b))
+_file_query("ah2", lambda p: formats.ah2_write(p), lambda b: formats.ah2_read(b))
+_file_query("bottle", lambda p: formats.bottle_write(p), lambda b: formats.bottle_read(b, "B001.CH1"))
+_file_query("win32", lambda p: formats.win32_write([p]), lambda b: formats.win32_read(b))
+_file_query("suds", lambda p: formats.suds_write([p]), lambda b: formats.suds_read(b))
+_file_query("uw", lambda p: formats.uw_write([p]), lambda b: formats.uw_read(b))
+_file_query("tdms", lambda p: formats.tdms_write([p], 16), lambda b: formats.tdms_read(b))
+_file_query("geocsv_pairs", lambda p: formats.geocsv_write(p), lambda b: formats.geocsv_read(b))
+_file_query("geocsv_slist", lambda p: formats.geocsv_write(p, False), lambda b: formats.geocsv_read(b))
+_file_query("slist", lambda p: formats.slist_write(p), lambda b: formats.slist_read(b))
+
+
+@query(SQL["packet_segments"])
+def stream_append_equals_batch(spark, d):
+    """T4: the packets as a stream with state per channel; its rows land in a Parquet folder that is read back."""
+    import os
+    import tempfile
+    import uuid
+
+    src = load(spark, d, "traces")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tremolite-")
+    at = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    t = spark.readStream.schema(src.schema).parquet(f"{d}/traces.parquet*").where("fs > 0 and size(t) > 0 and nx > 0")
+    p = t.select("id", F.col("tr_id").alias("ord"), F.col("t")[0]["us"].alias("t0_us"), F.col("nx").alias("n"), timeaxis.delta_us("fs").alias("dt_us"))
+    q = packets.segments_stream(p).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(packets.OUT).parquet(f"{at}/out")
+
+
+@query("with q as (select l_orderkey as k, epoch_us(l_shipdate) as t, l_linenumber from lineitem), r as (select o_orderkey as k, epoch_us(o_orderdate) as t, o_totalprice as v from orders) select q.k, q.t, l_linenumber, r.v from q left join r on q.k = r.k and r.t <= q.t")
+def asof_join(spark, d):
+    """Each shipment with the last order price of its order known by then."""
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), model.us("l_shipdate").alias("t"), "l_linenumber")
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), model.us("o_orderdate").alias("t"), F.col("o_totalprice").alias("v"))
+    return select.asof_join(li, o, "k", "t", "v")
+
+
+@query("select rec_id, regexp_replace(translate(regexp_replace(upper(trim(id)), '([./])\\s*(?:--|__|\\s+)\\s*([./])', '\\1\\2'), '_-/', '...'), '\\s+', '', 'g') as id, cast(round_even(1e6 / fs, 0) as bigint) as step from channels where fs > 0")
+def sql_functions(spark, d):
+    """The SQL surface: registered functions used from spark.sql."""
+    sqlapi.register(spark)
+    sqlapi.views(spark, tremolite_channels=load(spark, d, "channels"))
+    return spark.sql("SELECT rec_id, canonical_id(id) AS id, delta_us(fs) AS step FROM tremolite_channels WHERE fs > 0")
+
+
+@query(WIN + ", e as (select tr_id, i0 + unnest(generate_series(0, i1 - i0)) as i, t0_us, i0, d from win) select tr_id, count(*) as n, max(t0_us + (i - i0) * d) as last_us from e join traces using (tr_id) where traces.nx <= 500 group by tr_id")
+def sql_t_expand(spark, d):
+    """The t_expand table function on the short matrices."""
+    sqlapi.register(spark)
+    sqlapi.views(spark, tremolite_traces=load(spark, d, "traces"))
+    return spark.sql("SELECT tr_id, count(*) AS n, max(e.t_us) AS last_us FROM tremolite_traces, LATERAL t_expand(t, CAST(rint(try_divide(1e6D, fs)) AS BIGINT)) e WHERE fs > 0 AND nx <= 500 AND size(t) > 0 GROUP BY tr_id")
