@@ -136,7 +136,8 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
     size = x.z - x.a
     i, j = i.copy(), j.copy()
     live = np.arange(len(i))
-    same = lambda k, p, q: (p >= ilo[k]) & (p < ihi[k]) & (q >= dlo[k]) & (q < dhi[k]) & (it.h[np.clip(p, 0, ni - 1)] == x.h[np.clip(q, 0, nd - 1)])
+    g = step * np.arange(1, INSERTED + 1)
+
     for _ in range(most):
         live = live[(i[live] >= ilo[live]) & (i[live] < ihi[live]) & (j[live] >= dlo[live]) & (j[live] < dhi[live])]
         if not len(live):
@@ -148,18 +149,19 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
             a, b = i[k], j[k]
             close = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(it.size[a] - size[b]) <= 2)
             # run together or split words can't be told by hashes: by their lengths
-            la, lb = it.size[np.clip(a + step, 0, ni - 1)], size[np.clip(b + step, 0, nd - 1)]
+            la, lb = it.size[np.minimum(np.maximum(a + step, 0), ni - 1)], size[np.minimum(np.maximum(b + step, 0), nd - 1)]
             joined = (it.size[a] + la == size[b]) & ~close
             split = (size[b] + lb == it.size[a]) & ~close & ~joined
             gi, gj = np.where(joined, 2, 1), np.where(split, 2, 1)
             go = close | joined | split
-            for g in range(1, INSERTED + 1):
-                m = np.flatnonzero(~go)
-                if not len(m):
-                    break
-                hit = same(k[m], a[m], b[m] + g * step)
-                m = m[hit]
-                gi[m], gj[m], go[m] = 1, g + 1, True
+            m = np.flatnonzero(~go)
+            if len(m):
+                # the nearest place after an interruption where the word comes again
+                q = b[m, None] + g
+                hit = (x.h[np.minimum(np.maximum(q, 0), nd - 1)] == it.h[a[m], None]) & (q >= dlo[k[m], None]) & (q < dhi[k[m], None])
+                far = hit.argmax(1)
+                found = hit[np.arange(len(m)), far]
+                gi[m[found]], gj[m[found]], go[m[found]] = 1, far[found] + 2, True
             di[~eq], dj[~eq] = np.where(go, gi, 0), gj
         i[live] += step * di
         j[live] += step * dj
@@ -170,23 +172,25 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
 def promising(it: Items, x: T.Words, s: np.ndarray, m: np.ndarray, window: int) -> np.ndarray:
     """Candidates (document word s, item window m) whose alignment could hold LEAST own words."""
     i = it.start[m]
-    keep = np.zeros(len(s), bool)
+    keep, left = np.zeros(len(s), bool), np.ones(len(s), bool)
     for shift in (0, 1, -1, 2, -2, 3, -3):
-        todo = np.flatnonzero(~keep)
+        todo = np.flatnonzero(left)
         if not len(todo):
             break
         # the first two words in sequence that agree on this diagonal
         at = np.full(len(todo), -1)
         for a in range(window - 2, -1, -1):
-            p, q = i[todo] + a, np.clip(s[todo] + a + shift, 0, len(x.h) - 2)
+            p, q = i[todo] + a, np.minimum(np.maximum(s[todo] + a + shift, 0), len(x.h) - 2)
             at = np.where((it.h[p] == x.h[q]) & (it.h[p + 1] == x.h[q + 1]), a, at)
         on = at >= 0
         todo, at = todo[on], at[on]
-        if not len(todo):
-            continue
         p, q = i[todo] + at, s[todo] + at + shift
         inside = (q >= 0) & (np.searchsorted(x.first, q, "right") == np.searchsorted(x.first, s[todo], "right"))
         todo, p, q = todo[inside], p[inside], q[inside]
+        # an alignment from here also reaches the other diagonals, over what is inserted
+        left[todo] = False
+        if not len(todo):
+            continue
         hi = reach(it, x, p, q, 1, 2 * LEAST)
         lo = reach(it, x, p, q, -1, 2 * LEAST)
         keep[todo] = it.own_before[np.clip(hi, 0, len(it.h))] - it.own_before[np.clip(lo, 0, len(it.h))] >= LEAST
