@@ -55,6 +55,9 @@ def test_sac(version, order):
     q = f.sac_read(f.sac_write(p, version, order))[0]
     assert np.allclose(q["x"], p["x"], atol=1e-6) and q["id"] == p["id"] and q["t0_us"] == p["t0_us"] and q["fs"] == pytest.approx(50.0)
     assert q["lat"] == pytest.approx(46.85, abs=1e-5) and q["gain"] == 32.0
+    e = f.sac_write(p, version, order, {"event_id": "ev000001x", "lat": 1.5, "lon": 2.5, "dep": 10.0, "mag": 4.5, "ot_us": p["t0_us"] - 3_000_000, "dist": 12.0})
+    head = np.frombuffer(e, order + "f4", 70)
+    assert head[35] == 1.5 and head[39] == 4.5 and head[53] == 12.0 and head[7] == pytest.approx(-3.0, abs=1e-3) and e[448:464] == b"ev000001x       "
     assert f.sac_name(p) == "2020.066.00.50.10.004.XX.STA.00.BHZ.R.SAC"
 
 

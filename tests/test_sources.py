@@ -112,5 +112,10 @@ def test_store_modes(spark, tmp_path):
     store.write(rows(("A.B..Z", 0, 9.0)), path, "ovr")
     assert {r["x"] for r in store.read(spark, path, "A.B*", 0, 6).collect()} == {9.0}
     assert sorted(r[0] for r in store.scan(spark, path).collect()) == ["A.B", "A.C"]
+    assert store.version(spark, path) is None
+    store.set_version(spark, path, "0.54")
+    assert store.version(spark, path) == "0.54" and store.scan(spark, path).count() == 2
+    ev = spark.createDataFrame([("e", 3), ("f", 10**15)], "event_id string, ot_us bigint")
+    assert store.read_event(spark, path, ev, "e", 3, 5).count() == 3
     with pytest.raises(Exception):
         store.write(rows(("A.B..Z", 0, 9.0)), path)

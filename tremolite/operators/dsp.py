@@ -290,6 +290,11 @@ def transfer(a0: float, z: np.ndarray, p: np.ndarray, w: np.ndarray) -> np.ndarr
     return a0 * np.prod([s - v for v in z] or [np.ones_like(s)], axis=0) / np.prod([s - v for v in p] or [np.ones_like(s)], axis=0)
 
 
+def response_max(a0: float, z: np.ndarray, p: np.ndarray, fs: float, n: int = 1024) -> float:
+    """Largest modulus of a response up to the Nyquist frequency, at n frequencies."""
+    return float(np.abs(transfer(a0, z, p, np.linspace(0, np.pi * fs, n))).max())
+
+
 #: The flat (all-pass) response: constant 1.
 FLAT = (1.0, np.zeros(0, complex), np.zeros(0, complex))
 

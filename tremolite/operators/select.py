@@ -215,3 +215,11 @@ def as_event_traces(channels: DataFrame) -> DataFrame:
 def as_channels(event_traces: DataFrame) -> DataFrame:
     """Event traces as plain channels."""
     return event_traces.drop("az", "baz", "dist", "pha")
+
+
+def summary(channels: DataFrame) -> DataFrame:
+    """One row: channels, distinct ids, regular and irregular ones, samples, earliest update."""
+    n = F.coalesce(F.col("nx"), F.lit(0))
+    return channels.agg(
+        F.count(F.lit(1)).alias("channels"), F.countDistinct("id").alias("ids"), F.sum((F.col("fs") > 0).cast("long")).alias("regular"), F.sum((F.col("fs") == 0).cast("long")).alias("irregular"), F.sum(n).alias("samples")
+    )

@@ -689,3 +689,49 @@ def sql_t_expand(spark, d):
     sqlapi.register(spark)
     sqlapi.views(spark, tremolite_traces=load(spark, d, "traces"))
     return spark.sql("SELECT tr_id, count(*) AS n, max(e.t_us) AS last_us FROM tremolite_traces, LATERAL t_expand(t, CAST(rint(try_divide(1e6D, fs)) AS BIGINT)) e WHERE fs > 0 AND nx <= 500 AND size(t) > 0 GROUP BY tr_id")
+
+
+@query("select count(*) as channels, count(distinct id) as ids, cast(sum((fs > 0)::int) as bigint) as regular, cast(sum((fs = 0)::int) as bigint) as irregular, cast(sum(coalesce(nx, 0)) as bigint) as samples from traces")
+def summary(spark, d):
+    """I7."""
+    return select.summary(load(spark, d, "traces"))
+
+
+@query("select tr_id, id, nx from traces where tr_id in (3, 5, 8)")
+def by_position(spark, d):
+    """Rows at positions."""
+    return select.by_position(load(spark, d, "traces").withColumnRenamed("tr_id", "ch"), [3, 5, 8]).select(F.col("ch").alias("tr_id"), "id", "nx")
+
+
+@query("select tr_id, id from traces where coalesce(not regexp_matches(id, '^QX'), true)")
+def delete_pattern(spark, d):
+    """Without ids that match."""
+    return select.delete(load(spark, d, "traces"), pattern="^QX").select("tr_id", "id")
+
+
+@query("select r_regionkey as ch, r_name as id from region union all select n_nationkey + 1 + (select max(r_regionkey) from region), n_name from nation")
+def append_channels(spark, d):
+    """Rows added, positions continued."""
+    r = load(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("ch"), F.col("r_name").alias("id"))
+    n = load(spark, d, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("ch"), F.col("n_name").alias("id"))
+    return select.append(r, n)
+
+
+@query(CH + " select ch, id from c where id is not null order by id, ch")
+def sorted_channels(spark, d):
+    """O1."""
+    return select.sorted_by_id(_ch(spark, d).where("id is not null")).select("ch", "id")
+
+
+@query("select distinct id from traces")
+def unique_ids(spark, d):
+    """A13."""
+    return load(spark, d, "traces").select("id").distinct()
+
+
+@query(EV + ", lg as (select *, t_us - lag(t_us) over (partition by id order by t_us) - 3600000000 as gap from ev) select id, count(*) as n_gaps, cast(sum(gap) as bigint) as gap_us from lg where gap > 0 group by id")
+def gap_totals(spark, d):
+    """Number and total length of gaps."""
+    s = timeaxis.segment_table(_ev(spark, d), ["id"], "t_us", HOUR)
+    g = s.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n_gaps"), (F.max("end_us") - F.min("start_us") - F.sum(F.col("end_us") - F.col("start_us")) - (F.count(F.lit(1)) - 1) * F.lit(HOUR)).cast("long").alias("gap_us"))
+    return g.where("n_gaps > 0")

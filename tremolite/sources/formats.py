@@ -145,8 +145,8 @@ def sac_read(data: bytes) -> list[dict]:
     return [piece(id=f"{net}.{sta}.{loc}.{cha}", fs=1 / delta, gain=1.0 if g(3) is None else g(3), lat=lat, lon=lon, el=g(33), az=g(57), inc=g(58), t0_us=t0, x=np.frombuffer(data, order + "f4", n, 632))]
 
 
-def sac_write(p: dict, version: int = 7, order: str = "<") -> bytes:
-    """One contiguous piece as a SAC file."""
+def sac_write(p: dict, version: int = 7, order: str = "<", event: dict | None = None) -> bytes:
+    """One contiguous piece as a SAC file; an event (K4) fills origin, place, depth, magnitude, distance and azimuths."""
     f, i = np.full(70, _NULL), np.full(40, -12345)
     ch = ["-12345"] * 24
     w = _when(p["t0_us"] // 1000 * 1000)
@@ -154,6 +154,12 @@ def sac_write(p: dict, version: int = 7, order: str = "<") -> bytes:
     f[0], f[3], f[5], f[6] = 1 / p["fs"], p["gain"] or 1.0, b, b + (len(p["x"]) - 1) / p["fs"]
     for k, v in ((31, "lat"), (32, "lon"), (33, "el"), (57, "az"), (58, "inc")):
         f[k] = _NULL if p.get(v) is None else p[v]
+    if event:
+        for k, v in ((35, "lat"), (36, "lon"), (38, "dep"), (39, "mag"), (51, "az"), (52, "baz"), (53, "dist")):
+            f[k] = _NULL if event.get(v) is None else event[v]
+        f[7] = _NULL if event.get("ot_us") is None else (event["ot_us"] - p["t0_us"] // 1000 * 1000) / 1e6
+        name = f"{event.get('event_id') or '-12345':<16.16}"
+        ch[1], ch[2] = name[:8], name[8:]
     i[:6] = w.year, w.timetuple().tm_yday, w.hour, w.minute, w.second, w.microsecond // 1000
     i[6], i[9], i[15], i[35] = version, len(p["x"]), 1, 1
     net, sta, loc, cha = (p["id"].split(".") + [""] * 4)[:4]

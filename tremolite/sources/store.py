@@ -63,3 +63,17 @@ def scan(spark: SparkSession, path: str, level: str = "station") -> DataFrame:
     """Stations or channels in the store; stations come from the partitions alone."""
     s = spark.read.parquet(path)
     return s.select("net_sta").distinct() if level == "station" else s.select("id").distinct()
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """K2: the format version a store says it has; None if it says nothing."""
+    try:
+        rows = spark.read.text(f"{path}/_format").collect()
+    except Exception:  # noqa: BLE001
+        return None
+    return rows[0][0] if rows else None
+
+
+def set_version(spark: SparkSession, path: str, value: str = VERSION) -> None:
+    """K2: writes the version beside the data; readers of the data don't see it."""
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_format")
