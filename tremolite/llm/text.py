@@ -117,11 +117,17 @@ class Lookup:
     """Sorted keys with a bitmap before them, so that most misses cost one memory access."""
 
     def __init__(self, keys: np.ndarray, bits: int = 22):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self._slot(keys)] = True
+        order = np.argsort(keys, kind="stable")
+        self.__setstate__((order, keys[order], bits))
+
+    def __getstate__(self) -> tuple:
+        return self.order, self.keys, self.bits  # the bitmap is made again where the table arrives
+
+    def __setstate__(self, state: tuple) -> None:
+        self.order, self.keys, self.bits = state
+        self.shift = np.uint64(64 - self.bits)
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self._slot(self.keys)] = True
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return ((k * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
