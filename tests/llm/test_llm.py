@@ -144,7 +144,7 @@ def test_pack_documents(spark):
     df = spark.createDataFrame(list(enumerate(texts)) + [(7, texts[7])], "doc_id bigint, text string").withColumn("box", F.lit("x")).withColumn("tokens", F.lit(1))
     boxes = spark.createDataFrame([("s", 64), ("m", 512)], "box string, cap_tokens int")
     n = packing.token_counts(df)
-    placed = packing.pack(n, boxes)
+    placed = packing.pack(n, boxes, rank_items=50)
     by = {}
     for r in placed.collect():
         by.setdefault((r["box"], r["doc_id"]), []).append((r["piece"], r["first_token"], r["tokens"], r["container"]))

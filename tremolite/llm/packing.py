@@ -27,8 +27,8 @@ from tremolite.session import cut, spread
 VOCABULARY = os.environ.get("TREMOLITE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pattern that splits text before merges, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Shards in which items of one length are ranked.
-RANK_SHARDS = 64
+#: Items of one length that are ranked in one task, about.
+RANK_ITEMS = 1_000_000
 
 _loaded: dict = {}
 
@@ -165,7 +165,7 @@ def pieces(counts: DataFrame, caps: dict[str, int], doc: str = "doc_id") -> Data
     return x.select("box", doc, "piece", (F.col("piece") * F.col("cap")).alias("first_token"), F.least("cap", F.col("_n") - F.col("piece") * F.col("cap")).alias("tokens"))
 
 
-def pack(counts: DataFrame, boxes: DataFrame, doc: str = "doc_id") -> DataFrame:
+def pack(counts: DataFrame, boxes: DataFrame, doc: str = "doc_id", rank_items: int = RANK_ITEMS) -> DataFrame:
     """box, container, doc, piece, first_token, tokens: where every item goes.
 
     counts: doc, tokens.  Items of no tokens go nowhere; repeated documents are items of their own.
@@ -179,7 +179,8 @@ def pack(counts: DataFrame, boxes: DataFrame, doc: str = "doc_id") -> DataFrame:
         return counts.sparkSession.createDataFrame([], f"box string, container bigint, `{doc}` {kind}, piece bigint, first_token bigint, tokens bigint")
     src = cut(counts)  # lengths are needed twice; texts are tokenised once
     x = pieces(src, caps, doc)
-    x = x.withColumn("_sh", F.pmod(F.xxhash64(doc, "piece"), F.lit(RANK_SHARDS)))
+    shards = -(-src.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.col("tokens") / min(caps.values()))), F.lit(0))).first()[0] // rank_items)
+    x = x.withColumn("_sh", F.pmod(F.xxhash64(doc, "piece"), F.lit(max(1, int(shards)))))
     per = x.groupBy("box", "tokens", "_sh").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("box", "tokens").orderBy("_sh").rowsBetween(Window.unboundedPreceding, -1)
     # at most capacity x boxes rows: the histogram of lengths is bounded by the capacities
