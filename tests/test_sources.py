@@ -94,6 +94,9 @@ def test_data_source_splits_and_windows(spark, tmp_path):
     assert cut.rdd.getNumPartitions() > 3 and sum(r["n"] for r in cut.select("n").collect()) == len(x)
     few = read_data(spark, str(big), "mseed", start_us=T0 + 10_000_000, end_us=T0 + 11_000_000)
     assert 0 < few.count() < len(rows)
+    from tremolite.sources.datasource import guess_files
+
+    assert {r["format"] for r in guess_files(spark, f"{tmp_path}/*").collect()} == {"mseed"}
     out = tmp_path / "sac"
     done = write_sac(df, str(out)).collect()
     assert sum(r["samples"] for r in done) == len(x) and len(list(out.iterdir())) == len(done)

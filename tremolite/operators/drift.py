@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolite.session import cut
+
 #: A gone and a new field are one renamed field if at least this share of the channels that hold both agree.
 RENAME_SHARE = 0.6
 #: ... and at least this many channels agree.
@@ -57,12 +59,21 @@ def plain_value(value, kind):
     return F.when(F.lower(s).isin("", "n/a", "null", "none"), None).otherwise(F.coalesce(n.cast("string"), F.lower(s)))
 
 
-def file_fields(records: DataFrame, files: DataFrame) -> DataFrame:
+def values_of(records: DataFrame) -> DataFrame:
+    """file_id, id, field, kind, n, v: non-null fields per file, channel and type, with a plain value of them.
+
+    Records are parsed once: the table is cut off from them, and everything else is made from it.
+    """
+    f = fields_of(records).where(F.col("kind").isNotNull())
+    return cut(f.groupBy("file_id", "id", "field", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(plain_value(F.col("value"), F.col("kind"))).alias("v")))
+
+
+def file_fields(values: DataFrame) -> DataFrame:
     """file_id, field, kind (the JSON type of most values), n (records that hold it non-null).
 
     Ties between types go to the one first in the alphabet.
     """
-    n = fields_of(records).where(F.col("kind").isNotNull()).groupBy("file_id", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+    n = values.groupBy("file_id", "field", "kind").agg(F.sum("n").alias("n"))
     return n.groupBy("file_id", "field").agg(F.max_by("kind", F.struct("n", _inverse("kind"))).alias("kind"), F.sum("n").alias("n"))
 
 
@@ -79,9 +90,9 @@ def file_chain(files: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(records: DataFrame, files: DataFrame) -> DataFrame:
+def fingerprints(records: DataFrame, files: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """file_id, producer, seq, fingerprint (of the sorted fields and types), version (counts changes), n_fields."""
-    ff = file_fields(records, files).groupBy("file_id").agg(
+    ff = file_fields(values_of(records) if values is None else values).groupBy("file_id").agg(
         F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "field", "kind")))), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields")
     )
     w = Window.partitionBy("producer").orderBy("seq")
@@ -89,7 +100,7 @@ def fingerprints(records: DataFrame, files: DataFrame) -> DataFrame:
     return j.select("file_id", "producer", "seq", "fingerprint", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("version"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
 
 
-def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, least: int = RENAME_LEAST) -> DataFrame:
+def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, least: int = RENAME_LEAST, values: DataFrame | None = None) -> DataFrame:
     """file_id, change_kind, field, new_field, old_type, new_type: what changed since the producer's previous file.
 
     change_kind is 'added', 'removed', 'renamed' (field old, new_field new) or 'retyped'.  A renamed
@@ -97,15 +108,15 @@ def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, l
     A file without readable records has removed everything.
     """
     chain = file_chain(files)
-    ff = file_fields(records, files)
+    values = values_of(records) if values is None else values
+    ff = file_fields(values)
     now = ff.join(chain.where(F.col("prev_file").isNotNull()).select("file_id"), "file_id").select("file_id", "field", F.col("kind").alias("new_type"))
     was = ff.join(chain.where(F.col("next_file").isNotNull()).select("file_id", "next_file"), "file_id").select(F.col("next_file").alias("file_id"), "field", F.col("kind").alias("old_type"))
     d = was.join(now, ["file_id", "field"], "full").where(~F.col("old_type").eqNullSafe(F.col("new_type")))
     gone = d.where(F.col("new_type").isNull()).select("file_id", F.col("field").alias("old"))
     new = d.where(F.col("old_type").isNull()).select("file_id", F.col("field").alias("new"))
     # values of gone and new fields, channel by channel
-    vals = fields_of(records).where(F.col("kind").isNotNull() & F.col("id").isNotNull()).select("file_id", "id", "field", plain_value(F.col("value"), F.col("kind")).alias("v"))
-    vals = vals.where(F.col("v").isNotNull()).groupBy("file_id", "id", "field").agg(F.min("v").alias("v"))
+    vals = values.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("file_id", "id", "field").agg(F.min("v").alias("v"))
     nxt = chain.select("file_id", "next_file").where(F.col("next_file").isNotNull())
     old_v = vals.join(nxt, "file_id").select(F.col("next_file").alias("file_id"), "id", F.col("field").alias("old"), F.col("v").alias("old_v")).join(gone, ["file_id", "old"])
     new_v = vals.select("file_id", "id", F.col("field").alias("new"), F.col("v").alias("new_v")).join(new, ["file_id", "new"])
@@ -163,8 +174,8 @@ def consistent_table(records: DataFrame, files: DataFrame) -> DataFrame:
     The maps hold canonical field names and values cast by the rules: numbers as numbers' text, a single
     value where an array or object of one was delivered, null ('default') where a cast is impossible.
     """
-    ff = file_fields(records, files)
-    rules = migration_rules(changes(records, files), ff, files)
+    values = values_of(records)
+    rules = migration_rules(changes(records, files, values=values), file_fields(values), files)
     f = fields_of(records).where(F.col("kind").isNotNull()).join(rules, ["file_id", "field"])
     # a list of one or a wrapped value becomes the bare value where the target is a scalar, and is kept otherwise
     bare = F.regexp_replace("value", r'^[\[{](?:"(?:value|items)":)?"?([^,"\[\]{}]*)"?[\]}]$', "$1")
@@ -173,4 +184,4 @@ def consistent_table(records: DataFrame, files: DataFrame) -> DataFrame:
     ent = lambda g: F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("g") == g, F.struct("k", "v")))))
     f = f.groupBy("line_id", "file_id", "id", "g", "k").agg(F.min("v").alias("v"))
     wide = f.groupBy("line_id", "file_id", "id").agg(*[ent(g).alias(g) for g in GROUPS])
-    return wide.join(fingerprints(records, files).select("file_id", "producer", "version"), "file_id").select("line_id", "file_id", "producer", "version", "id", *GROUPS)
+    return wide.join(fingerprints(records, files, values).select("file_id", "producer", "version"), "file_id").select("line_id", "file_id", "producer", "version", "id", *GROUPS)

@@ -223,3 +223,24 @@ def summary(channels: DataFrame) -> DataFrame:
     return channels.agg(
         F.count(F.lit(1)).alias("channels"), F.countDistinct("id").alias("ids"), F.sum((F.col("fs") > 0).cast("long")).alias("regular"), F.sum((F.col("fs") == 0).cast("long")).alias("irregular"), F.sum(n).alias("samples")
     )
+
+
+def in_region(df: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float, dep_min: float | None = None, dep_max: float | None = None, loc: str = "loc") -> DataFrame:
+    """Rows inside a rectangle (it may cross the date line: lon_min > lon_max) and a depth range; rows without a place are out."""
+    lat, lon, dep = (F.col(f"{loc}.{k}") for k in ("lat", "lon", "dep"))
+    lons = lon.between(lon_min, lon_max) if lon_min <= lon_max else (lon >= lon_min) | (lon <= lon_max)
+    c = lat.between(lat_min, lat_max) & lons
+    if dep_min is not None:
+        c = c & (dep >= dep_min)
+    if dep_max is not None:
+        c = c & (dep <= dep_max)
+    return df.where(c)
+
+
+def in_radius(df: DataFrame, lat: float, lon: float, r_min: float, r_max: float, loc: str = "loc") -> DataFrame:
+    """Rows whose distance in degrees from a point is between r_min and r_max."""
+    from tremolite.functions.scalar import gcdist
+
+    d = gcdist(F.lit(float(lat)), F.lit(float(lon)), f"{loc}.lat", f"{loc}.lon")["dist"]
+    near = F.col(f"{loc}.lat").between(max(-90.0, lat - r_max - 0.5), min(90.0, lat + r_max + 0.5))  # a plain range reaches the scan
+    return df.where(near & d.between(r_min, r_max))

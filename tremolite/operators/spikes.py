@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tremolite.operators.unitgraph import unit_key
 from tremolite.session import cut
+from tremolite.timeaxis import delta_us
 
 SHARD, HALO = 4096, 160
 #: Weight of the newest reading in the chart; clipping limit in scales.
@@ -144,8 +145,11 @@ def ranked(readings: DataFrame, runs: DataFrame, shard: int) -> DataFrame:
     """
     x = readings.where(F.col("x").isNotNull() & ~F.isnan("x") & F.col("t").isNotNull() & F.col("id").isNotNull()).select("id", "run_id", "t", "x")
     span = x.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    u = runs.groupBy("run_id").agg(F.first("units", ignorenulls=True).alias("units"))
-    step = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("n") / shard))))
+    u = runs.groupBy("run_id").agg(F.first("units", ignorenulls=True).alias("units"), F.max("fs").alias("fs"))
+    # a bucket of a regular run spans ``shard`` steps, so bursts after long holes can't fill one; an irregular run's
+    # buckets are a sixteenth of what its mean density would take
+    even = F.ceil((F.col("hi") - F.col("lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("n") * 16 / shard)))
+    step = F.greatest(F.lit(1).cast("long"), F.coalesce(delta_us("fs") * shard, even))
     info = span.join(u, "run_id", "left").select("run_id", "lo", step.alias("step"), "units")
     none = F.coalesce("run_id", F.lit(-1).cast("long"))
     x = x.withColumn("run_id", none).join(info.withColumn("run_id", none), "run_id")

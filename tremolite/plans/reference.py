@@ -735,3 +735,16 @@ def gap_totals(spark, d):
     s = timeaxis.segment_table(_ev(spark, d), ["id"], "t_us", HOUR)
     g = s.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n_gaps"), (F.max("end_us") - F.min("start_us") - F.sum(F.col("end_us") - F.col("start_us")) - (F.count(F.lit(1)) - 1) * F.lit(HOUR)).cast("long").alias("gap_us"))
     return g.where("n_gaps > 0")
+
+
+@query("""with c as (select rec_id, loc.lat as lat, loc.lon as lon from channels where loc.lat between -90 and 90), p as (select rec_id, lat, atan(tan(radians(lat)) * 0.9933056) as p2, radians(lon) as l2, atan(tan(radians(10.0)) * 0.9933056) as p1, radians(20.0) as l1 from c where not isnan(lon))
+select rec_id from p where degrees(2 * asin(least(1.0, sqrt(power(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * power(sin((l2 - l1) / 2), 2))))) between 5 and 60 and lat between -50.5 and 70.5""")
+def in_radius(spark, d):
+    """Channels 5 to 60 degrees from a point."""
+    return select.in_radius(load(spark, d, "channels"), 10.0, 20.0, 5.0, 60.0).select("rec_id")
+
+
+@query("select rec_id from channels where loc.lat between -30 and 40 and (loc.lon >= 150 or loc.lon <= -120) and not isnan(loc.lon) and loc.dep <= 50")
+def in_region(spark, d):
+    """Channels in a rectangle over the date line, down to a depth."""
+    return select.in_region(load(spark, d, "channels").where("not isnan(loc.lon)"), -30.0, 40.0, 150.0, -120.0, dep_max=50.0).select("rec_id")

@@ -162,3 +162,20 @@ def write_sac(pieces: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "samples"])
 
     return pieces.drop("misc").mapInPandas(run, "path string, samples bigint")
+
+
+def guess_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Path and format of files, from their first 16 kB."""
+    import pandas as pd
+
+    names = listing(pattern)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for p in b["path"]:
+                with open(p, "rb") as f:
+                    out.append((p, formats.guess(f.read(16384), p)))
+            yield pd.DataFrame(out, columns=["path", "format"])
+
+    return spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), 1000))).mapInPandas(run, "path string, format string")
