@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolite.session import cut
+from tremolite.session import stored
 
 #: A gone and a new field are one renamed field if at least this share of the channels that hold both agree.
 RENAME_SHARE = 0.6
@@ -31,24 +31,21 @@ def fields_of(records: DataFrame) -> DataFrame:
     Nested and flat layouts give the same rows.  Broken lines, and lines that are no object,
     give none; keys outside the groups are ignored.
     """
-    spark = records.sparkSession
-    x = records.select("line_id", "file_id", F.try_parse_json("raw").alias("_v")).where(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT"))
-    x = x.withColumn("id", F.try_variant_get("_v", "$.id", "string"))
-    top = F.expr("cast(_v as map<string, variant>)")
-    flat = x.select("line_id", "file_id", "id", F.explode(top).alias("_k", "_v"))
-    nested = flat.where(F.col("_k").isin(*GROUPS) & F.schema_of_variant("_v").startswith("OBJECT"))
-    plain = flat.where(F.col("_k").rlike(rf"^(?:{'|'.join(GROUPS)})\."))
-    inner = nested.select("line_id", "file_id", "id", F.col("_k").alias("_g"), F.explode(F.expr("cast(_v as map<string, variant>)")).alias("_k", "_v"))
-    both = plain.select("line_id", "file_id", "id", F.col("_k").alias("field"), "_v").unionByName(
-        inner.select("line_id", "file_id", "id", F.concat_ws(".", "_g", "_k").alias("field"), "_v")
-    )
-    kind = F.schema_of_variant("_v")
-    return both.select(
+    # a record is parsed once: no filter repeats the parse, and an unreadable line explodes to nothing
+    m = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+    x = records.select("line_id", "file_id", m.alias("_m"))
+    x = x.select("line_id", "file_id", F.try_variant_get(F.try_element_at("_m", F.lit("id")), "$", "string").alias("id"), F.explode_outer("_m").alias("_k", "_v"))
+    inner = F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))
+    pair = lambda k, v: F.struct(k.alias("field"), v.alias("v"))
+    nested = F.transform(inner, lambda e: pair(F.concat_ws(".", F.col("_k"), e["key"]), e["value"]))
+    rows = F.when(F.col("_k").isin(*GROUPS), nested).when(F.col("_k").rlike(rf"^(?:{'|'.join(GROUPS)})\."), F.array(pair(F.col("_k"), F.col("_v"))))
+    x = x.select("line_id", "file_id", "id", F.inline_outer(rows)).where(F.col("field").isNotNull())
+    x = x.select("line_id", "file_id", "id", "field", "v", F.when(F.col("v").isNotNull() & ~F.is_variant_null("v"), F.schema_of_variant("v")).alias("_s"))
+    s = F.col("_s")
+    return x.select(
         "line_id", "file_id", "id", "field",
-        F.when(F.col("_v").isNull() | F.is_variant_null("_v"), None)
-        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("number").alias("kind"),
-        F.when(~F.is_variant_null("_v"), F.coalesce(F.try_variant_get("_v", "$", "string"), F.to_json("_v"))).alias("value"),
+        F.when(s.isNull(), None).when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number").alias("kind"),
+        F.when(s.isNotNull(), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("value"),
     )
 
 
@@ -60,12 +57,13 @@ def plain_value(value, kind):
 
 
 def values_of(records: DataFrame) -> DataFrame:
-    """file_id, id, field, kind, n, v: non-null fields per file, channel and type, with a plain value of them.
+    """file_id, channel, field, kind, v: every non-null field of a record, with 64-bit hashes of its channel and plain value.
 
-    Records are parsed once: the table is cut off from them, and everything else is made from it.
+    Records are parsed once: the narrow table is stored, and everything else is made from it.
     """
+    plain = plain_value(F.col("value"), F.col("kind"))
     f = fields_of(records).where(F.col("kind").isNotNull())
-    return cut(f.groupBy("file_id", "id", "field", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(plain_value(F.col("value"), F.col("kind"))).alias("v")))
+    return stored(f.select("file_id", F.when(F.col("id").isNotNull(), F.xxhash64("id")).alias("channel"), "field", "kind", F.when(plain.isNotNull(), F.xxhash64(plain)).alias("v")))
 
 
 def file_fields(values: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def file_fields(values: DataFrame) -> DataFrame:
 
     Ties between types go to the one first in the alphabet.
     """
-    n = values.groupBy("file_id", "field", "kind").agg(F.sum("n").alias("n"))
+    n = values.groupBy("file_id", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("file_id", "field").agg(F.max_by("kind", F.struct("n", _inverse("kind"))).alias("kind"), F.sum("n").alias("n"))
 
 
@@ -116,11 +114,13 @@ def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, l
     gone = d.where(F.col("new_type").isNull()).select("file_id", F.col("field").alias("old"))
     new = d.where(F.col("old_type").isNull()).select("file_id", F.col("field").alias("new"))
     # values of gone and new fields, channel by channel
-    vals = values.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("file_id", "id", "field").agg(F.min("v").alias("v"))
+    vals = values.where(F.col("channel").isNotNull() & F.col("v").isNotNull()).select("file_id", "channel", "field", "v")
     nxt = chain.select("file_id", "next_file").where(F.col("next_file").isNotNull())
-    old_v = vals.join(nxt, "file_id").select(F.col("next_file").alias("file_id"), "id", F.col("field").alias("old"), F.col("v").alias("old_v")).join(gone, ["file_id", "old"])
-    new_v = vals.select("file_id", "id", F.col("field").alias("new"), F.col("v").alias("new_v")).join(new, ["file_id", "new"])
-    pairs = old_v.join(new_v, ["file_id", "id"]).groupBy("file_id", "old", "new").agg(
+    # only the values of gone and new fields go on, one per channel
+    was_gone = gone.join(nxt.withColumnRenamed("file_id", "_was").withColumnRenamed("next_file", "file_id"), "file_id").select("file_id", "old", F.col("_was"))
+    old_v = vals.withColumnRenamed("file_id", "_was").withColumnRenamed("field", "old").join(was_gone, ["_was", "old"]).groupBy("file_id", "channel", "old").agg(F.min("v").alias("old_v"))
+    new_v = vals.withColumnRenamed("field", "new").join(new, ["file_id", "new"]).groupBy("file_id", "channel", "new").agg(F.min("v").alias("new_v"))
+    pairs = old_v.join(new_v, ["file_id", "channel"]).groupBy("file_id", "old", "new").agg(
         F.count(F.lit(1)).alias("both"), F.sum((F.col("old_v") == F.col("new_v")).cast("long")).alias("same")
     )
     pairs = pairs.where((F.col("same") >= least) & (F.col("same") >= share * F.col("both")))

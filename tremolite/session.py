@@ -32,24 +32,54 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used.
+    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    temporary folder is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TREMOLITE_CHECKPOINT")
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tremolite-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or os.environ.get("TREMOLITE_CHECKPOINT")
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tremolite-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: smaller than a checkpoint, and columns can be pruned.
+
+    The table is deleted when the driver's Python ends.
+    """
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan in at least as many partitions as there are cores, for work that is heavy per row.
 
