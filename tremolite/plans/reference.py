@@ -310,11 +310,11 @@ def time_range(spark, d):
     return select.between(load(spark, d, "readings"), 1_230_768_000_000_000, 1_230_854_400_000_000, "t").select("rd_id", "t")
 
 
-@query(CH + " select a.ch, b.ch as ch_b from c a join c b on a.id is not distinct from b.id and a.fs is not distinct from b.fs and a.units is not distinct from b.units and a.src is not distinct from b.src where a.ch % 2 = 0 and b.ch % 2 = 1")
+@query(CH + " select a.ch, b.ch as ch_b from c a join c b on a.id is not distinct from b.id and a.fs is not distinct from b.fs and a.units is not distinct from b.units where a.src = 'NDC' and b.src is distinct from 'NDC'")
 def channel_match(spark, d):
-    """Records of two halves of the table that agree in id, rate, units and source (null equals null)."""
+    """Records of one source and of all others that agree in id, rate and units (null equals null)."""
     c = _ch(spark, d)
-    return select.channel_match(c.where("ch % 2 = 0"), c.where("ch % 2 = 1"), keys=("id", "fs", "units", "src"))
+    return select.channel_match(c.where("src = 'NDC'"), c.where("not src <=> 'NDC'"), keys=("id", "fs", "units"))
 
 
 @query(CH + """, u as (select ch, id, fs, case when lower(trim(units)) in ('', '?', 'see notes') then null else units end as units, src from c), a as (select * from u where src = 'NDC'), b as (select * from u where src = 'SXML')
@@ -351,22 +351,6 @@ def point_in_epoch_join(spark, d):
     return select.interval_join(o, e, "o_custkey", ("t", "t2"), ("ts", "te"), 100 * DAY).select("o_orderkey", "o_custkey")
 
 
-@query("""with a as (select c_custkey as ch, c_mktsegment as id, c_nationkey as v from customer), n as (select *, row_number() over (partition by id, v order by ch desc) as rn from a), b as (select c_mktsegment as id, c_nationkey as v, count(*) as m from customer where c_custkey % 3 = 0 group by 1, 2)
-select n.ch, n.id, n.v from n left join b on n.id = b.id and n.v = b.v where rn > coalesce(m, 0)""")
-def bag_diff(spark, d):
-    """For each row of a subset one matching row goes, the last ones first."""
-    a = load(spark, d, "customer").select(F.col("c_custkey").alias("ch"), F.col("c_mktsegment").alias("id"), F.col("c_nationkey").alias("v"))
-    return select.bag_difference(a, a.where("ch % 3 = 0"), ["id", "v"], "ch")
-
-
-@query("""with u as (select c_mktsegment as id, c_nationkey as v, c_custkey as ch, 0 as s from customer where c_custkey % 2 = 0 union all select c_mktsegment, c_nationkey, c_custkey, 1 from customer where c_custkey % 3 = 0)
-select id, v, max_by(ch, s * 1000000000000 + ch) as ch from u group by id, v""")
-def add_union(spark, d):
-    """Both tables, exact duplicates once (the last)."""
-    a = load(spark, d, "customer").select(F.col("c_mktsegment").alias("id"), F.col("c_nationkey").alias("v"), F.col("c_custkey").alias("ch"))
-    return select.union_unique(a.where("ch % 2 = 0"), a.where("ch % 3 = 0"), ["id", "v"], "ch")
-
-
 @query(CH + ", g as (select fs, units, min(ch) as grp, count(*) as members from c group by fs, units) select c.ch, grp, members from c join g on c.fs is not distinct from g.fs and c.units is not distinct from g.units")
 def property_groups(spark, d):
     """A8."""
@@ -412,14 +396,6 @@ def compact_requests(spark, d):
     return select.compact_requests(load(spark, d, "customer").join(n, "c_nationkey").select(F.col("c_mktsegment").alias("seg"), "what"), "what", ["seg"])
 
 
-@query("""with a as (select id, cast(sum(nx) as bigint) as was from traces where tr_id % 2 = 0 group by id), b as (select id, cast(sum(nx) as bigint) as now from traces where tr_id % 5 <> 0 group by id)
-select coalesce(a.id, b.id) as id, coalesce(was, 0) as was, coalesce(now, 0) as now from a full join b on a.id = b.id where was is distinct from now""")
-def changed_channels(spark, d):
-    """What changed between two states of the store."""
-    t = load(spark, d, "traces")
-    return select.changed(t.where("tr_id % 2 = 0"), t.where("tr_id % 5 <> 0")).na.fill(0, ["was", "now"])
-
-
 # --- scalar functions
 
 
@@ -481,11 +457,11 @@ def polyval(spark, d):
     return e.select("vec_id", F.round(scalar.polyval(F.slice("e", 2, 4), F.col("e")[0]), 6).alias("y"))
 
 
-@query("select l_orderkey, l_linenumber, l_quantity * case when l_linenumber % 3 = 0 then 1.0 / 10 when l_linenumber % 3 = 1 then 10 else 1 end as v, upper(lpad(case when l_linenumber < 10 then l_linenumber::varchar else '' end, 2, '0')) as lc from lineitem where l_linenumber < 10")
+@query("select l_orderkey, l_linenumber, l_quantity * case when l_linenumber % 3 = 0 then 1.0 / 10 when l_linenumber % 3 = 1 then 10 else 1 end as v, upper(lpad(case when l_linenumber < 10 then l_linenumber::varchar else '' end, 2, '0')) as lc from lineitem")
 def header_scaling(spark, d):
     """header coordinates with their scalar, location codes in base 36."""
     s = F.when(F.col("l_linenumber") % 3 == 0, -10).when(F.col("l_linenumber") % 3 == 1, 10).otherwise(0)
-    return load(spark, d, "lineitem").where("l_linenumber < 10").select("l_orderkey", "l_linenumber", scalar.scaled_coord("l_quantity", s).alias("v"), scalar.mk_lc("l_linenumber").alias("lc"))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.scaled_coord("l_quantity", s).alias("v"), scalar.mk_lc("l_linenumber").alias("lc"))
 
 
 
@@ -529,21 +505,6 @@ def detrend_segments(spark, d):
     return e.select(F.col("id").alias("vec_id"), F.posexplode("x").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-@query("""with t as (select tr_id, id, fs, t[1].us as t0, nx from traces where fs > 0 and len(t) = 2 and t[2].us = 0 and nx between 1 and 2000), s as (select id, tr_id, cast(round_even(1e6 / fs, 0) as bigint) as d, t0, nx, min(t0) over (partition by id) as base from t),
-k as (select id, d, base, tr_id, cast(round_even((t0 - base) / d, 0) as bigint) + unnest(generate_series(0, nx - 1)) as k, unnest(generate_series(0, nx - 1)) as i from s),
-m as (select id, d, base, k, avg((tr_id + i) % 101) as x from k group by id, d, base, k), l as (select *, case when k - lag(k) over (partition by id order by k) = 1 then 0 else 1 end as n from m), g as (select *, sum(n) over (partition by id order by k rows unbounded preceding) - 1 as seg from l)
-select id, cast(seg as bigint) as seg, min(base + k * d) as start_us, max(base + k * d) as end_us, count(*) as n, round(sum(x), 4) as sum_x from g group by id, seg""")
-def merge_overlaps(spark, d):
-    """Short gapless traces of each channel merged on the channel's grid, overlaps averaged."""
-    t = load(spark, d, "traces").where("fs > 0 and size(t) = 2 and t[1].us = 0 and nx between 1 and 2000")
-    x = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda i: F.pmod(F.col("tr_id") + i, F.lit(101)).cast("double"))
-    m = merge.merge_traces(t.select("id", F.col("t")[0]["us"].alias("t0_us"), "fs", x.alias("x")))
-    s = merge.segments(m).withColumnRenamed("id", "_id")
-    total = m.select("id", "t0_us", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("sx"))
-    j = s.join(total, (F.col("_id") == F.col("id")) & (F.col("t0_us") >= F.col("start_us")) & (F.col("t0_us") <= F.col("end_us")))
-    return j.groupBy("id", "seg", "start_us", "end_us", "n").agg(F.round(F.sum("sx"), 4).alias("sum_x"))
-
-
 # --- streams, lineage, synthetic data
 
 
@@ -572,14 +533,6 @@ def notes_by_text(spark, d):
     return n.groupBy(F.col("descr").alias("note")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ch").alias("channels"))
 
 
-@query("with a as (select rec_id as ch, id, name, gain, units from channels), b as (select ch, id, case when ch % 10 = 3 then coalesce(name, '') || '*' else name end as name, gain, units from a) select b.ch from b join a using (ch) where a.name is distinct from b.name")
-def changed_headers(spark, d):
-    """Records whose header hash differs from before (track_hdr)."""
-    a = load(spark, d, "channels").select(F.col("rec_id").alias("ch"), "id", "name", "gain", "units")
-    b = a.withColumn("name", F.when(F.col("ch") % 10 == 3, F.concat(F.coalesce("name", F.lit("")), F.lit("*"))).otherwise(F.col("name")))
-    return lineage.changed_headers(a, b, ("id", "name", "gain", "units"))
-
-
 @query()
 def synthetic_traces(spark, d):
     """2.16: random channels with gaps, as many as nations."""
@@ -587,14 +540,6 @@ def synthetic_traces(spark, d):
     return synth.traces(synth.channels(spark, n), 60, 0).select("ch", "seg", "t0_us", "dt_us", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("sum_x"))
 
 
-@query("select s_suppkey as event_id, c_custkey as ch, s_nationkey as nat from supplier join customer on s_nationkey = c_nationkey where c_custkey % 10 = 0")
-def event_channels(spark, d):
-    """Channels of events by key."""
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("nat"))
-    c = load(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("ch"), F.col("c_nationkey").alias("nat"))
-    return s.join(c, "nat").select("event_id", "ch", "nat")
-
-
 @query("select r.id, s.src, max(s.title) as title, count(*) as n from runs r left join sources s on r.src = s.src group by r.id, s.src")
 def station_lookup(spark, d):
     """A small station table looked up."""
@@ -683,14 +628,6 @@ def sql_functions(spark, d):
     return spark.sql("SELECT rec_id, canonical_id(id) AS id, delta_us(fs) AS step FROM tremolite_channels WHERE fs > 0")
 
 
-@query(WIN + ", e as (select tr_id, i0 + unnest(generate_series(0, i1 - i0)) as i, t0_us, i0, d from win) select tr_id, count(*) as n, max(t0_us + (i - i0) * d) as last_us from e join traces using (tr_id) where traces.nx <= 500 group by tr_id")
-def sql_t_expand(spark, d):
-    """The t_expand table function on the short matrices."""
-    sqlapi.register(spark)
-    sqlapi.views(spark, tremolite_traces=load(spark, d, "traces"))
-    return spark.sql("SELECT tr_id, count(*) AS n, max(e.t_us) AS last_us FROM tremolite_traces, LATERAL t_expand(t, CAST(rint(try_divide(1e6D, fs)) AS BIGINT)) e WHERE fs > 0 AND nx <= 500 AND size(t) > 0 GROUP BY tr_id")
-
-
 @query("select count(*) as channels, count(distinct id) as ids, cast(sum((fs > 0)::int) as bigint) as regular, cast(sum((fs = 0)::int) as bigint) as irregular, cast(sum(coalesce(nx, 0)) as bigint) as samples from traces")
 def summary(spark, d):
     """I7."""
@@ -748,3 +685,61 @@ def in_radius(spark, d):
 def in_region(spark, d):
     """Channels in a rectangle over the date line, down to a depth."""
     return select.in_region(load(spark, d, "channels").where("not isnan(loc.lon)"), -30.0, 40.0, 150.0, -120.0, dep_max=50.0).select("rec_id")
+
+
+# --- set operations and comparisons of whole tables
+
+
+@query("""with a as (select c_nationkey as id, cast(floor(c_acctbal / 1000) as bigint) as v, c_custkey as ch from customer), n as (select *, row_number() over (partition by id, v order by ch desc) as rn from a), b as (select s_nationkey as id, cast(floor(s_acctbal / 1000) as bigint) as v, count(*) as m from supplier group by 1, 2)
+select n.ch, n.id, n.v from n left join b on n.id = b.id and n.v = b.v where rn > coalesce(m, 0)""")
+def bag_diff(spark, d):
+    """For each row of the second table one matching row of the first goes, the last ones first."""
+    return select.bag_difference(_accounts(spark, d, "customer", "c"), _accounts(spark, d, "supplier", "s"), ["id", "v"], "ch").select("ch", "id", "v")
+
+
+@query("""with u as (select c_nationkey as id, cast(floor(c_acctbal / 1000) as bigint) as v, c_custkey as ch, 0 as s from customer union all select s_nationkey, cast(floor(s_acctbal / 1000) as bigint), s_suppkey, 1 from supplier)
+select id, v, max_by(ch, s * 1000000000000 + ch) as ch from u group by id, v""")
+def add_union(spark, d):
+    """Both tables, exact duplicates once (the last)."""
+    return select.union_unique(_accounts(spark, d, "customer", "c"), _accounts(spark, d, "supplier", "s"), ["id", "v"], "ch").select("id", "v", "ch")
+
+
+def _accounts(spark, d, table: str, p: str) -> DataFrame:
+    key = {"c": "c_custkey", "s": "s_suppkey"}[p]
+    return load(spark, d, table).select(F.col(f"{p}_nationkey").alias("id"), F.floor(F.col(f"{p}_acctbal") / 1000).alias("v"), F.col(key).alias("ch"))
+
+
+@query("""with a as (select id, cast(sum(nx) as bigint) as was from traces where src is not null group by id), b as (select id, cast(sum(nx) as bigint) as now from traces where fs > 0 group by id)
+select coalesce(a.id, b.id) as id, coalesce(was, 0) as was, coalesce(now, 0) as now from a full join b on a.id = b.id where was is distinct from now""")
+def changed_channels(spark, d):
+    """Channels that differ between two states of the store (traces of known source, regular traces)."""
+    t = load(spark, d, "traces")
+    return select.changed(t.where("src is not null"), t.where("fs > 0")).na.fill(0, ["was", "now"])
+
+
+@query("select rec_id as ch from channels where name is distinct from upper(name)")
+def changed_headers(spark, d):
+    """Records whose header hash differs from before (track_hdr): names in upper case."""
+    a = load(spark, d, "channels").select(F.col("rec_id").alias("ch"), "id", "name", "gain", "units")
+    return lineage.changed_headers(a, a.withColumn("name", F.upper("name")), ("id", "name", "gain", "units"))
+
+
+@query("select s_suppkey as event_id, c_custkey as ch, s_nationkey as nat from supplier join customer on s_nationkey = c_nationkey")
+def event_channels(spark, d):
+    """Channels of events by key."""
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("nat"))
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("ch"), F.col("c_nationkey").alias("nat"))
+    return s.join(c, "nat").select("event_id", "ch", "nat")
+
+
+@query(GAPPED + " select id, cast(seg as bigint) as seg, min(t_us) as start_us, max(t_us) as end_us, count(*) as n, round(sum(x + 0.5), 4) as sum_x from sg group by id, seg")
+def merge_overlaps(spark, d):
+    """Hourly channels cut into two-day traces that overlap by a day, every other one raised by 1, merged again."""
+    s = _seg(spark, d).withColumn("k", F.expr("t_us div 86400000000"))
+    two = s.select("id", "seg", "t_us", F.explode(F.array("k", F.col("k") - 1)).alias("k"), "x").withColumn("x", F.col("x") + F.pmod("k", F.lit(2)))
+    v = two.groupBy("id", "seg", "k").agg(F.min("t_us").alias("t0_us"), F.array_sort(F.collect_list(F.struct("t_us", "x"))).alias("v"))
+    m = merge.merge_traces(v.select("id", "t0_us", F.lit(1 / 3600).alias("fs"), F.col("v.x").alias("x")))
+    w = merge.segments(m).withColumnRenamed("id", "_id")
+    total = m.select("id", "t0_us", F.aggregate("x", F.lit(0.0), lambda a, q: a + q).alias("sx"))
+    j = w.join(total, (F.col("_id") == F.col("id")) & (F.col("t0_us") >= F.col("start_us")) & (F.col("t0_us") <= F.col("end_us")))
+    return j.groupBy("id", "seg", "start_us", "end_us", "n").agg(F.round(F.sum("sx"), 4).alias("sum_x"))
