@@ -18,6 +18,11 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return spikes.flagged(load(spark, d, "readings"), load(spark, d, "runs"))
 
 
+def p1_impossible(spark: SparkSession, d: str) -> DataFrame:
+    f = spikes.flagged(load(spark, d, "readings"), load(spark, d, "runs"))
+    return f.where(F.col("reason") == "impossible").select("id", "t_us")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     c = drift.changes(load(spark, d, "meta_records"), load(spark, d, "meta_files"))
     return c.select("file_id", "change_kind", "field", "new_field")
@@ -46,11 +51,15 @@ def p5_series(spark: SparkSession, d: str) -> DataFrame:
     return regular.regularise(load(spark, d, "readings"), load(spark, d, "runs"))
 
 
+def p5_status(spark: SparkSession, d: str) -> DataFrame:
+    return regular.regularise(load(spark, d, "readings"), load(spark, d, "runs")).select("run_id", "slot_us", "status")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unitgraph.to_si(load(spark, d, "channels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_impossible, p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p5_status, p6_found)}
 
 #: The fixed conversions and spellings, written out for SQL.
 _UNIT_ROWS = ", ".join(f"('{k}', '{unitgraph.compositions()[u][0]}', {unitgraph.compositions()[u][1]!r})" for k, u in [*((u, u) for u in unitgraph.compositions()), *unitgraph.SPELLED.items()])
@@ -59,6 +68,26 @@ for _a, _b in unitgraph.REWRITES:
     _UNIT_SQL = f"regexp_replace({_UNIT_SQL}, '{_a}', '{_b}', 'g')"
 
 SQL = {
+    "p1_impossible": """
+select distinct r.id, r.t as t_us from readings r left join runs u on r.run_id = u.run_id
+where r.x is not null and not isnan(r.x) and r.t is not null and r.id is not null and (abs(r.x) >= 1e18 or (r.x = -12345 and lower(u.units) not in ('counts', '{counts}'))
+  or (lower(u.units) in ('counts', '{counts}') and (r.x < -8388608 or r.x > 8388607)) or (u.units = 'K' and (r.x < 50 or r.x > 500)) or (u.units = '%' and (r.x < 0 or r.x > 100))
+  or (u.units = 'Pa' and (r.x < 100 or r.x > 1e6)) or (u.units = 'V' and abs(r.x) > 1000) or (u.units = 'm/s' and abs(r.x) > 50))
+""",
+    "p5_status": """
+with j as (select u.run_id, cast(round_even(1e6 / u.fs, 0) as bigint) as d, r.t, r.x from readings r join runs u on r.run_id = u.run_id where u.fs > 0 and r.t is not null),
+k as (select run_id, d, (t + d // 2) // d as k, t, x from j),
+b as (select run_id, d, min(k) as lo, max(k) as hi from k group by run_id, d),
+g as (select run_id, d, unnest(generate_series(lo, hi)) as k from b),
+o as (select distinct run_id, k from k where x is not null and not isnan(x)),
+f as (select run_id, t, max(k) as k from k where x is not null and not isnan(x) group by run_id, t having not isinf(avg(x))),
+fk as (select run_id, k, min(t) as t0, max(t) as t1 from f group by run_id, k),
+s as (select g.run_id, g.d, g.k, o.k is not null as seen, last_value(case when fk.t0 <= g.k * g.d then fk.k end ignore nulls) over (partition by g.run_id order by g.k rows between unbounded preceding and current row) as p0,
+  last_value(fk.k ignore nulls) over (partition by g.run_id order by g.k rows between unbounded preceding and 1 preceding) as p1,
+  first_value(fk.k ignore nulls) over (partition by g.run_id order by g.k rows between 1 following and unbounded following) as n1
+  from g left join o on o.run_id = g.run_id and o.k = g.k left join fk on fk.run_id = g.run_id and fk.k = g.k)
+select run_id, k * d as slot_us, case when seen then 'observed' when p1 is not null and n1 is not null and n1 - p1 <= 11 then 'filled' else 'missing' end as status from s
+""",
     "p3_found": """
 with m as (select tr_id, id, cast(round_even(1e6 / fs, 0) as bigint) as d, t from traces where fs > 0 and len(t) > 0),
 r as (select tr_id, id, d, generate_subscripts(t, 1) as k, len(t) as n, unnest(t) as u from m),
