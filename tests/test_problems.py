@@ -168,7 +168,7 @@ def test_periods(spark, shard):
 def test_windows_of_time_matrices(spark):
     t = "array<struct<i bigint, us bigint>>"
     m = [[(1, 0), (6, 980000), (8, 100000), (10, 0)], [(1, 10), (1000, -2000 * 10000), (1200, 0)], [(1, 5), (1, 0)], [(1, 0), (6, 20000), (7, 40000), (8, 10000), (10, 10000)], [], None, [(1, None), (2, 0)]]
-    df = spark.createDataFrame([(k, 100.0, [] if v == [] else v) for k, v in enumerate(m)] + [(90, 0.0, [(1, 1)]), (91, None, [(1, 1)])], f"tr_id bigint, fs double, t {t}")
+    df = spark.createDataFrame([(k, 100.0, [] if v == [] else v) for k, v in enumerate(m)] + [(90, 0.0, [(1, 1)]), (91, None, [(1, 1)]), (92, NAN, [(1, 1)]), (93, INF, [(1, 1)]), (94, 1e-300, [(1, 1)]), (95, -1.0, [(1, 1)])], f"tr_id bigint, fs double, t {t}")
     got = rows(timeaxis.windows(df, ["tr_id"]), "tr_id", "t0_us", "t1_us")
     assert [g[1:] for g in got if g[0] == 0] == [(0, 40000), (1030000, 1040000), (1150000, 1170000)]
     assert min(g[1] for g in got if g[0] == 1) == 10 - 1001 * 10000
@@ -211,9 +211,9 @@ def test_interpolation_keeps_shape():
 
 
 def test_grid_edge_cases(spark):
-    u = spark.createDataFrame([(1, "A", 1.0, "V", None, []), (2, "A", None, None, None, None)], RUNS)
+    u = spark.createDataFrame([(1, "A", 1.0, "V", None, []), (2, "A", None, None, None, None), (3, "A", NAN, None, None, None), (4, "A", INF, None, None, None)], RUNS)
     assert regular.regularise(spark.createDataFrame([], READ), u).count() == 0
-    df = spark.createDataFrame([(1, "A", 1, 5_400_000, 2.0, None), (2, "A", 2, 5, 1.0, None), (3, "A", 1, None, 1.0, None), (4, "A", 1, 8_000_000, INF, None)], READ)
+    df = spark.createDataFrame([(1, "A", 1, 5_400_000, 2.0, None), (2, "A", 2, 5, 1.0, None), (3, "A", 1, None, 1.0, None), (4, "A", 1, 8_000_000, INF, None), (5, "A", 3, 1, 1.0, None), (6, "A", 4, 1, 1.0, None)], READ)
     got = rows(regular.regularise(df.withColumn("k", F.lit(1)).withColumn("d", F.lit(1)), u.withColumn("lo", F.lit(0))), "slot_us", "status")
     assert got == [(5_000_000, "observed"), (6_000_000, "missing"), (7_000_000, "missing"), (8_000_000, "observed")]
 

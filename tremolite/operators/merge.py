@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremolite.timeaxis import delta_us
+
 #: Time shard of merged samples; segments that cross a border are joined again afterwards.
 SHARD_US = 3_600_000_000
 #: Steps that a shard has at least, so that slow channels don't fall into many small shards.
@@ -26,8 +28,8 @@ def merge_traces(traces: DataFrame, key: str = "id", shard_us: int = SHARD_US, s
     vectors are left out.  Segments are cut at shard borders of ``shard_us``.
     """
     has_gain = "gain" in traces.columns
-    t = traces.where((F.col("fs") > 0) & (F.size("x") > 0)).select(key, "t0_us", "fs", "x", (F.col("gain") if has_gain else F.lit(1.0)).alias("gain"))
-    d = F.rint(1e6 / F.col("fs")).cast("long")
+    t = traces.where(delta_us("fs").isNotNull() & (F.size("x") > 0)).select(key, "t0_us", "fs", "x", (F.col("gain") if has_gain else F.lit(1.0)).alias("gain"))
+    d = delta_us("fs")
     t = t.withColumn("dt_us", d).withColumn("_end", F.col("t0_us") + (F.size("x") - 1) * d)
     g = t.groupBy(key).agg(F.min("t0_us").alias("_base"), F.max_by("gain", "_end").alias("_gain"), F.min("dt_us").alias("_d"), F.max("dt_us").alias("_d2"))
     g = g.withColumn("_d", F.when(F.col("_d") == F.col("_d2"), F.col("_d")).otherwise(F.raise_error(F.lit("rates of a merge group differ")).cast("long"))).drop("_d2")

@@ -94,7 +94,7 @@ def fill_shard(lo: int, hi: int, d: int, k: np.ndarray, t: np.ndarray, x: np.nda
 
 def slots_of(readings: DataFrame, runs: DataFrame) -> DataFrame:
     """Readings of regular runs with their grid slot: run_id, d, k, t, x (x null where it has no value)."""
-    r = runs.where(F.col("fs") > 0).select("run_id", delta_us("fs").alias("d"))
+    r = runs.select("run_id", delta_us("fs").alias("d")).where(F.col("d").isNotNull())
     x = readings.where(F.col("t").isNotNull()).select("run_id", "t", F.when(~F.isnan("x"), F.col("x")).alias("x"))
     j = x.join(r, "run_id")
     return j.select("run_id", "d", F.expr("(t + d div 2 - pmod(t + d div 2, d)) div d").alias("k"), "t", "x")

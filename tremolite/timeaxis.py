@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rates (Hz) that make a channel regular: a step of 1 microsecond to about thirty years.
+RATES = (1e-9, 1e6)
+
+
 def delta_us(fs: Column | str) -> Column:
-    """Sampling step in microseconds, rounded half-even; null for irregular channels."""
+    """Sampling step in microseconds, rounded half-even; null for irregular channels and impossible rates (null, NaN, infinite)."""
     fs = F.col(fs) if isinstance(fs, str) else fs
-    return F.when(fs > 0, F.rint(F.lit(1e6) / fs).cast("long"))
+    return F.when(fs.between(*RATES), F.rint(F.lit(1e6) / fs).cast("long"))
 
 
 def windows_of(i: np.ndarray, us: np.ndarray, off: np.ndarray, d: np.ndarray):
@@ -56,7 +60,7 @@ def windows(df: DataFrame, keys: list[str], t: str = "t", fs: str = "fs") -> Dat
     Only regular channels (fs > 0); null or empty matrices, and rows whose matrix holds a
     null, give no windows.  No shuffle.
     """
-    src = df.where((F.col(fs) > 0) & (F.size(t) > 0)).select(*keys, delta_us(fs).alias("_d"), F.col(f"{t}.i").alias("_i"), F.col(f"{t}.us").alias("_u"))
+    src = df.where(delta_us(fs).isNotNull() & (F.size(t) > 0)).select(*keys, delta_us(fs).alias("_d"), F.col(f"{t}.i").alias("_i"), F.col(f"{t}.us").alias("_u"))
     src = src.where(~F.exists("_i", lambda x: x.isNull()) & ~F.exists("_u", lambda x: x.isNull()))
     kept = src.select(*keys).schema
 
