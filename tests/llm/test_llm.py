@@ -171,7 +171,8 @@ def test_pack_documents(spark):
 
 # --- 8: leaks
 
-VOCAB = [f"w{chr(97 + a)}{chr(97 + b)}{c}" for a in range(26) for b in range(26) for c in range(6)]
+_SYL = ["ba", "ko", "li", "mu", "ne", "po", "ri", "su", "ta", "ve", "xa", "zy"]
+VOCAB = [a + b + c + d for a in _SYL for b in _SYL for c in _SYL for d in ("n", "st")]
 
 
 def test_leaks_against_planted_cases(spark):
@@ -238,6 +239,7 @@ def test_embedding_keeps_near_windows_together():
 
 
 def test_similar_words():
+    assert leak.similar("safer", "saaaer") and leak.similar("forestry", "foreseery") and leak.similar("only", "oly") and not leak.similar("100", "200") and not leak.similar("1st", "2st")
     assert leak.similar("reform", "refrom") and leak.similar("subsidies", "subsdiies") and not leak.similar("costly", "unfair") and not leak.similar("in", "on")
 
 

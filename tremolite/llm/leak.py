@@ -68,11 +68,22 @@ class Cgk:
 
 
 def similar(a: str, b: str) -> bool:
-    """Whether one word may be a misspelling of the other: edit distance (with swaps) at most 1, 2 from eight letters."""
+    """Whether one word may be a misspelling of the other: they differ in one place of at most two letters
+    (swapped, left out, doubled, taken for others), or from eight letters on by an edit distance of 2.  Numbers are never misspelt."""
     if a == b:
         return True
-    most = 2 if min(len(a), len(b)) >= 8 else 1
-    if abs(len(a) - len(b)) > most or min(len(a), len(b)) < 3:
+    n = min(len(a), len(b))
+    if n < 3 or abs(len(a) - len(b)) > 2 or not (a.isalpha() and b.isalpha()):
+        return False
+    p = 0
+    while p < n and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < n - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    if max(len(a), len(b)) - p - q <= 2:
+        return 3 * (p + q) >= n
+    if n < 8:
         return False
     prev2, prev = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -83,7 +94,7 @@ def similar(a: str, b: str) -> bool:
                 v = min(v, prev2[j - 2] + 1)
             cur.append(v)
         prev2, prev = prev, cur
-    return prev[-1] <= most
+    return prev[-1] <= 2
 
 
 def extend(iw: list[str], dw: list[str], i: int, j: int, step: int, inserted: int = INSERTED) -> int:
