@@ -146,6 +146,17 @@ def test_merges(spark):
         assert s == {"V": (0, 197), "W": (5_000_000, 100)}
 
 
+def test_shifted_copies_are_aligned(spark):
+    x = np.random.default_rng(2).normal(size=300)
+    d = 10_000
+    rows = [("A", 0, 100.0, x[:200]), ("A", 150 * d + 3 * d, 100.0, x[150:]), ("B", 0, 100.0, x[:50]), ("B", 40 * d, 100.0, x[100:150]), ("C", 100 * d, 100.0, x[100:200]), ("C", 104 * d, 100.0, x[100:180]), ("D", 0, 0.0, x[:3]), ("E", 5, 100.0, x[:3])]
+    df = spark.createDataFrame([(i, t, fs, [float(v) for v in q], n) for n, (i, t, fs, q) in enumerate(rows)], "id string, t0_us bigint, fs double, x array<double>, n int")
+    got = {r["n"]: r["t0_us"] for r in merge.align_traces(df.unionByName(df.where("n = 0"))).collect()}
+    assert got == {0: 0, 1: 150 * d, 2: 0, 3: 40 * d, 4: 100 * d, 5: 100 * d, 7: 5}
+    y = merge.merge_traces(merge.align_traces(df.where("id = 'A'"))).orderBy("t0_us").collect()
+    assert np.allclose(np.concatenate([r["x"] for r in y]), x)
+
+
 def test_selection(spark):
     c = spark.createDataFrame([(1, "A.B..BHZ", 1.0, "m"), (2, "A.C..BYZ", 2.0, None), (3, "A.B..BHZ", 1.0, "m"), (4, None, None, None)], "ch bigint, id string, fs double, units string")
     ch = lambda d: sorted(r["ch"] for r in d.collect())

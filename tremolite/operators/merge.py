@@ -80,3 +80,45 @@ def merge_many(*tables: DataFrame, key: str = "id") -> DataFrame:
     from functools import reduce
 
     return merge_traces(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), key)
+
+
+def align_traces(traces: DataFrame, key: str = "id", most: int = 4, least: int = 8, rtol: float = 1e-5, bucket_us: int = 86_400_000_000) -> DataFrame:
+    """Traces whose samples repeat those of an overlapping trace, but up to ``most`` samples early or late, moved to where the data agree.
+
+    traces: key, t0_us, fs, x (other columns are kept).  Each trace is compared with the one of its key that overlaps
+    it and starts last before it; at least ``least`` samples must agree.  Where the data agree without a shift, or with none, the
+    times stay.  Shifts aren't passed on from trace to trace.  Overlaps are found by an equi-join on key and time bucket.
+    """
+    from tremolite.operators.select import interval_join
+
+    t = traces.where(delta_us("fs").isNotNull() & (F.size("x") > 0)).withColumn("_d", delta_us("fs"))
+    t = t.withColumn("_s", F.col("t0_us")).withColumn("_e", F.col("t0_us") + (F.size("x") - 1) * F.col("_d")).withColumn("_tid", F.xxhash64(key, "t0_us", "fs", "x"))
+    a = t.select(F.col(key).alias("_k"), "_tid", F.col("_s").alias("_as"), F.col("_d").alias("_ad"), (F.col("_s") - most * F.col("_d")).alias("_a0"), (F.col("_e") + most * F.col("_d")).alias("_a1")).distinct()
+    b = t.select(F.col(key).alias("_k"), F.col("_tid").alias("_ptid"), F.col("_s").alias("_ps"), F.col("_e").alias("_pe"), F.col("_d").alias("_pd")).distinct()
+    j = interval_join(a, b, "_k", ("_a0", "_a1"), ("_ps", "_pe"), bucket_us)
+    first = (F.col("_ps") < F.col("_as")) | ((F.col("_ps") == F.col("_as")) & (F.col("_ptid") < F.col("_tid")))
+    pred = j.where(first & (F.col("_ad") == F.col("_pd"))).groupBy("_tid").agg(F.max(F.struct("_ps", "_ptid")).alias("_p")).select("_tid", "_p._ps", "_p._ptid")
+    px = t.select(F.col("_tid").alias("_ptid"), F.col("x").alias("_px")).groupBy("_ptid").agg(F.first("_px").alias("_px"))
+
+    @F.pandas_udf("long")
+    def shift(x: pd.Series, p: pd.Series, off: pd.Series) -> pd.Series:
+        out = []
+        for v, w, o in zip(x, p, off):
+            found = 0
+            if w is not None:
+                v, w = np.asarray(v, float), np.asarray(w, float)
+                for s in sorted(range(-most, most + 1), key=abs):
+                    lo = max(0, int(o) + s)
+                    skip = lo - (int(o) + s)
+                    m = min(len(w) - lo, len(v) - skip)
+                    if m >= least and np.allclose(w[lo : lo + m], v[skip : skip + m], rtol=rtol, atol=0, equal_nan=True):
+                        found = s
+                        break
+            out.append(found)
+        return pd.Series(out, dtype="int64")
+
+    cols = [c for c in traces.columns if c != "t0_us"]
+    m = t.join(pred, "_tid", "left").join(px, "_ptid", "left")
+    off = F.coalesce(F.rint((F.col("_s") - F.col("_ps")) / F.col("_d")), F.lit(0)).cast("long")
+    moved = F.col("_s") + shift("x", "_px", off) * F.col("_d")
+    return m.select(*cols, moved.alias("t0_us")).select(*traces.columns)
