@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 
 #: Common table expressions of the SQL side.
 EV = "with ev as (select event_type as id, epoch_us(ts) // 3600000000 * 3600000000 as t_us, sum(value) as x from events group by 1, 2)"
-GAPPED = EV + ", lg as (select *, t_us - lag(t_us) over (partition by id order by t_us) - 3600000000 as dev from ev), sg as (select id, t_us, x, sum(case when abs(dev) > 1800000000 then 1 else 0 end) over (partition by id order by t_us rows unbounded preceding) as seg from lg)"
+GAPPED = EV + ", lg as (select *, t_us - lag(t_us) over (partition by id order by t_us) - 3600000000 as dev from ev), sg as (select id, t_us, x, cast(sum(case when abs(dev) > 1800000000 then 1 else 0 end) over (partition by id order by t_us rows unbounded preceding) as bigint) as seg from lg)"
 NAN = ", nn as (select id, seg, t_us, case when (t_us // 3600000000) % 17 = 0 then 'nan'::double else x end as x from sg)"
 
 
@@ -192,7 +192,7 @@ def convert_units(spark, d):
     return process.convert_seismic(_seg(spark, d), ["id"], "m", "m/s2", 2.0).select("id", "t_us", _r("x", 5))
 
 
-@query("with s as (select event_type as id, epoch_us(ts) as t_us, value as x, 1.0 + event_id % 7 as gain, event_id from events) select event_id, id, t_us, round(x / gain, 6) as x, 1.0 as gain from s")
+@query("with s as (select event_type as id, epoch_us(ts) as t_us, value as x, 1.0 + event_id % 7 as gain, event_id from events) select event_id, id, t_us, round(x / gain, 6) as x, 1.0::double as gain from s")
 def unscale(spark, d):
     e = load(spark, d, "events").select("event_id", F.col("event_type").alias("id"), model.us("ts").alias("t_us"), F.col("value").alias("x"), (F.lit(1.0) + F.col("event_id") % 7).alias("gain"))
     return process.unscale(e).select("event_id", "id", "t_us", _r(), "gain")
