@@ -71,18 +71,24 @@ def tokens_of(field: str) -> Column:
     return F.concat(F.array(*[part("resp", k) for k in ("kind", "a0", "f0", "fu", "descr", "i", "o")]), many("p"), many("z"))
 
 
-def group_stream(batches: Iterator[pd.DataFrame], keys: list[str], fn: Callable[[tuple, pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """fn of every group of a partition that is sorted by keys; a group is held only while it is read."""
+def group_stream(batches: Iterator[pd.DataFrame], keys: list[str], cols: list[str], fn: Callable[..., tuple], out: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows (columns ``out``) that fn(keys, *slices of cols) gives for every group of a partition sorted by keys.
+
+    A group is held only while it is read; slices are arrays, so a group costs no table of its own.
+    """
+    def rows(b: pd.DataFrame, at: list[int]) -> pd.DataFrame:
+        ks, cs = [b[k].to_numpy() for k in keys], [b[c].to_numpy() for c in cols]
+        return pd.DataFrame([fn(tuple(k[x] for k in ks), *[c[x:z] for c in cs]) for x, z in zip(at[:-1], at[1:])], columns=out)
+
     rest = None
     for b in batches:
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        new = (b[keys] != b[keys].shift()).any(axis=1).to_numpy().nonzero()[0]
-        out = [fn(tuple(b.loc[a, keys]), b.iloc[a:z]) for a, z in zip(new[:-1], new[1:])]
-        rest = b.iloc[new[-1] :].reset_index(drop=True) if len(new) else None
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        new = (b[keys] != b[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        if len(new) > 1:
+            yield rows(b, new)
+        rest = b.iloc[new[-1] :].reset_index(drop=True) if new else None
     if rest is not None and len(rest):
-        yield fn(tuple(rest.loc[0, keys]), rest)
+        yield rows(rest, [0, len(rest)])
 
 
 # --- profiles: a list of columns, each a dict token -> weight; GAP counts as a token
@@ -179,24 +185,24 @@ def survivors(
 
     plus = add if votes == "rank" else (lambda a, c: (a[0] + c[0],))
 
-    def first(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def first(keys: tuple, tokens, trust, us, rec, weight) -> tuple:
         ps = []
-        for toks, t, u, r, w in zip(g["tokens"], g["trust"], g["us"], g["rec"], g["weight"]):
+        for toks, t, u, r, w in zip(tokens, trust, us, rec, weight):
             k = weigh(t, u, r, w)
             ps.append(([{tok: k} for tok in toks], k))
         p, w = progressive(ps, plus)
-        return pd.DataFrame([{"id": keys[0], "field": keys[1], "cols": json.dumps(p), "w": json.dumps(w)}])
+        return keys[0], keys[1], json.dumps(p), json.dumps(w)
 
-    def last(keys: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        ps = [([{t: tuple(k) for t, k in c.items()} for c in json.loads(cols)], tuple(json.loads(w))) for cols, w in zip(g["cols"], g["w"])]
+    def last(keys: tuple, cols, weights) -> tuple:
+        ps = [([{t: tuple(k) for t, k in c.items()} for c in json.loads(c_)], tuple(json.loads(w))) for c_, w in zip(cols, weights)]
         p, _ = progressive(ps, plus)
-        return pd.DataFrame([{"id": keys[0], "field": keys[1], "agreed": consensus(p)}])
+        return keys[0], keys[1], consensus(p)
 
     shape = "id string, field string, cols string, w string"  # a profile travels as JSON
     one = b.repartition("id", "field", "block").sortWithinPartitions("id", "field", "block")
-    prof = one.mapInPandas(lambda it: group_stream(it, ["id", "field", "block"], first), shape)
+    prof = one.mapInPandas(lambda it: group_stream(it, ["id", "field", "block"], ["tokens", "trust", "us", "rec", "weight"], first, ["id", "field", "cols", "w"]), shape)
     prof = prof.repartition("id", "field").sortWithinPartitions("id", "field")
-    agreed = prof.mapInPandas(lambda it: group_stream(it, ["id", "field"], last), "id string, field string, agreed array<string>")
+    agreed = prof.mapInPandas(lambda it: group_stream(it, ["id", "field"], ["cols", "w"], last, ["id", "field", "agreed"]), "id string, field string, agreed array<string>")
     text = lambda c: F.concat_ws(" ", c)
     far = F.when(F.col("tokens") == F.col("agreed"), 0).otherwise(1 + F.levenshtein(text("tokens"), text("agreed")))
     near = v.join(agreed, ["id", "field"]).groupBy("id", "field").agg(
