@@ -170,13 +170,12 @@ def survivors(
     ok = {"name": usable_name(F.col("name")), "loc": usable_loc("loc"), "resp": usable_resp("resp"), "gain": usable_gain(F.col("gain"))}
     rows = F.array(*[F.when(ok[f], F.struct(F.lit(f).alias("field"), tokens_of(f).alias("tokens"))) for f in fields])
     x = x.select(canonical_id("id").alias("id"), F.struct(trust.cast("long").alias("trust"), F.unix_micros("updated").alias("us"), F.col(key).cast("long").alias("rec")).alias("rank"), rows.alias("rows")).where(F.col("id").isNotNull())
-    many = x.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("id")
+    many = x.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     # one row per distinct value: its best record and its summed weight
     v = x.select("id", "rank", F.explode("rows").alias("r")).where(F.col("r").isNotNull()).select("id", "rank", "r.field", "r.tokens")
     v = v.groupBy("id", "field", "tokens").agg(F.max("rank").alias("rank"), F.sum(F.col("rank.trust") + 1).alias("weight")).join(many, "id")
-    size = v.groupBy("id", "field").agg(F.count(F.lit(1)).alias("values"))
-    blocks = F.ceil(F.col("values") / F.lit(block))
-    v = v.join(size, ["id", "field"])
+    # a channel has at most as many values of a field as records
+    blocks = F.ceil(F.col("n") / F.lit(block))
     b = v.select("id", "field", F.pmod(F.xxhash64(F.concat_ws("\u0001", "tokens")), blocks).alias("block"), "tokens", F.col("rank.trust").alias("trust"), F.col("rank.us").alias("us"), F.col("rank.rec").alias("rec"), "weight")
     add = max if votes == "rank" else (lambda a, c: a + c)
 
