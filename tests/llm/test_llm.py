@@ -226,6 +226,33 @@ def test_leaks_against_planted_cases(spark):
     assert leak.leaks(d.limit(0), e).count() == 0 and leak.leaks(d, e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("how", ["plain", "corrected"])
+def test_copies_of_a_leak_are_no_formula(spark, how):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices(VOCAB, k=n))
+    formula = say(22)
+    items = [(k, say(40) + " " + formula + " " + say(40)) for k in range(3)]
+    leaking = (say(100) + " " + " ".join(items[0][1].split()[:35]) + " " + say(100)).split()
+
+    def reissue():
+        ws = list(leaking)
+        if how == "corrected":
+            for at in rng.sample([*range(100), *range(140, 235)], 3):
+                ws[at] = rng.choice(VOCAB)
+        return " ".join(ws)
+
+    docs = [reissue() for _ in range(100)] + [say(30) + " " + formula + " " + say(30) for _ in range(12)] + [say(60) for _ in range(188)]
+    docs.append(say(20) + " " + " ".join(items[0][1].split()[:30]) + " " + say(20))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").repartition(3)
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leak.leaks(d, e).collect())
+    assert got == [(k, 0) for k in [*range(100), 300]]
+    it = leak.Items([k for k, _ in items], [t for _, t in items], leak.Cgk())
+    src = d.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"))
+    it.mark(leak.formulas(src, [it], "_d", "_t", leak.FORMULA_SHARE, leak.FORMULA_LEAST))
+    assert [int((~o).sum()) for o in it.own] == [22] * 3
+
+
 def test_embedding_keeps_near_windows_together():
     rng = np.random.default_rng(0)
     c = leak.Cgk(bits=6)

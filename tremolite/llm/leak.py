@@ -5,7 +5,7 @@ Hamming distance; repeated bit sampling gives LSH keys; a document's windows loo
 up among the items' windows, and every candidate is verified by an exact edit alignment of the
 words.  Items are a stated query set of bounded size: they go to the documents in blocks, and
 the whole search is one pass over the documents without a shuffle.  A first pass counts in how
-many documents each item's word sequences occur, to know procedural formulas.
+many distinct documents each item's word sequences occur, to know procedural formulas.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremolite.llm import text as T
-from tremolite.session import spread
+from tremolite.session import spread, stored
 
 #: Words of a window and distance between a document's windows: a run of LEAST words holds whole windows.
 WINDOW, STRIDE = 12, 3
@@ -28,6 +28,8 @@ WALKS, SAMPLES, BITS = 2, 4, 16
 LEAST, INSERTED = 25, 12
 #: A sequence of FORMULA words in at least this share of the documents (and FORMULA_LEAST of them) is no own wording.
 FORMULA, FORMULA_SHARE, FORMULA_LEAST = 12, 0.009, 8
+#: Texts are copies of one another if a band of ROWS minimal hashes of their shingles agrees in any of BANDS.
+SHINGLE, BANDS, ROWS = 5, 4, 2
 #: Words of items sent to the documents at once.
 BLOCK_WORDS = 1_000_000
 
@@ -272,32 +274,79 @@ class Items:
         self.tables = [T.Lookup(k) for k in self.cgk.keys(self.h, self.start)]
 
 
+class Sketch:
+    """Where a text comes from: a hash of its words and, for copies with corrections, bands of minimal hashes of its shingles."""
+
+    def __init__(self, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.shingle = shingle
+        self.mul = rng.integers(1, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+        self.mix = rng.integers(1, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
+
+    def of(self, x: T.Words, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, bands) of each text with words; shingles that lie in item sequences (words ``inside``) don't count."""
+        n = np.diff(x.first)
+        has = np.flatnonzero(n > 0)
+        at, n = x.first[:-1][has], n[has]
+        place = (np.arange(len(x.h)) - np.repeat(at, n)).astype(np.uint64)
+        key = np.add.reduceat(x.h * (place * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)), at) if len(at) else np.zeros(0, np.uint64)
+        key ^= key >> np.uint64(31)
+        bands = np.repeat(key[:, None], len(self.mul), 1)  # a text of a few words is only like itself
+        long = n >= self.shingle
+        if long.any():
+            top = np.uint64(2**64 - 1)
+            g = np.r_[T.ngrams(x.h, self.shingle), np.zeros(self.shingle - 1, np.uint64)]
+            count = np.r_[0, np.cumsum(inside)]
+            skip = np.ones(len(g), bool)
+            skip[: len(g) - self.shingle + 1] = count[self.shingle :] - count[: -self.shingle] == self.shingle
+            last = np.arange(len(g)) + self.shingle > np.repeat(at + n, n)  # runs on into the next text
+            for b, (ms, xs) in enumerate(zip(self.mul, self.mix)):
+                band = np.full(len(at), np.uint64(b))
+                for m, c in zip(ms, xs):
+                    v = (g ^ c) * m
+                    v[skip | last] = top
+                    band = (band ^ np.minimum.reduceat(v, at)) * c
+                    band ^= band >> np.uint64(29)
+                bands[long, b] = band[long]
+        return key, bands
+
+
 def formulas(documents: DataFrame, items: list[Items], doc: str, text: str, share: float, least: int, n: int = FORMULA) -> np.ndarray:
-    """Hashes of the items' word sequences that occur in at least ``share`` of all documents with text.
+    """Hashes of the items' word sequences that occur in at least ``share`` of all distinct documents with text.
 
-    Every document counts; the counts are summed on the executors first.  The result is bounded by
-    the items, whatever the documents.
+    Copies and reissues of a document count once, with whatever they have around the item's sequences; a
+    sequence counts once for each such group.  The result is bounded by the items, whatever the documents.
     """
     known = np.unique(np.concatenate([i.grams(n)[0] for i in items])) if items else np.zeros(0, np.uint64)
     look = documents.sparkSession.sparkContext.broadcast(T.Lookup(known))
+    sketch = Sketch()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(len(known), np.int64), 0
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, ts in T.blocks(b.column(0)):
                 w = T.words(ts)
+                has = np.flatnonzero(np.diff(w.first) > 0)
+                if not len(has):
+                    continue
                 q, k = look.value.find(T.ngrams(w.h, n))
                 d = np.searchsorted(w.first, q, "right") - 1
                 same = np.searchsorted(w.first, q + n - 1, "right") - 1 == d
-                pair = np.unique(d[same].astype(np.int64) * len(known) + k[same])
-                total += np.bincount(pair % max(1, len(known)), minlength=len(known))
-                docs += int((np.diff(w.first) > 0).sum())
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit], pa.int64()), pa.array(np.r_[docs, total[hit]], pa.int64())], names=["k", "n"])
-
-    got = documents.select(text).mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    n_docs = next((r["n"] for r in got if r["k"] == -1), 0)
-    return known[[r["k"] for r in got if r["k"] >= 0 and r["n"] >= max(least, share * n_docs)]]
+                q, k, d = q[same], k[same], d[same]
+                edge = np.bincount(q, minlength=len(w.h) + 1) - np.bincount(q + n, minlength=len(w.h) + 1)
+                key, bands = sketch.of(w, np.cumsum(edge)[: len(w.h)] > 0)
+                pair = np.unique(d.astype(np.int64) * len(known) + k)
+                ends = np.searchsorted(pair, (has + 1) * len(known))
+                ks = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(pair % max(1, len(known)), pa.int32()))
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), wide, ks], names=["d", "b", "k"])
+
+    got = stored(documents.select(text).mapInArrow(seen, "d bigint, b array<bigint>, k array<int>"))
+    band = got.select("d", F.explode("b").alias("b")).distinct()
+    first = band.groupBy("b").agg(F.min("d").alias("f"))
+    group = band.join(first, "b").groupBy("d").agg(F.min("f").alias("f"))
+    hits = got.where(F.size("k") > 0).select("d", F.explode("k").alias("k")).distinct().join(group, "d").groupBy("k").agg(F.countDistinct("f").alias("n"))
+    n_docs = group.agg(F.countDistinct("f")).first()[0]
+    return known[[r["k"] for r in hits.where(F.col("n") >= max(least, share * n_docs)).collect()]]
 
 
 def leaks(
