@@ -253,6 +253,24 @@ def test_copies_of_a_leak_are_no_formula(spark, how):
     assert [int((~o).sum()) for o in it.own] == [22] * 3
 
 
+@pytest.mark.parametrize("cuts", [(13, 12), (12, 13), (3, 13, 9), (8, 9, 8), (6, 6, 7, 6)])
+def test_leaks_in_short_parts_are_found_wherever_they_start(spark, cuts):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choices(VOCAB, k=n))
+    items = [(k, say(60)) for k in range(20)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        ws, at = t.split()[k : k + 25], 0
+        for n in cuts[:-1]:
+            at += n
+            w = ws[at - 1]
+            ws[at - 1] = w[:3] + "q" + w[4:]  # a part's last word is misspelt
+        docs.append((k, say(30 + k) + " " + " ".join(ws) + " " + say(40)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    e = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in leak.leaks(d, e).collect()) == [(k, k) for k in range(20)]
+
+
 def test_embedding_keeps_near_windows_together():
     rng = np.random.default_rng(0)
     c = leak.Cgk(bits=6)

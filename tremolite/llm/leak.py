@@ -22,6 +22,8 @@ from tremolite.session import spread, stored
 
 #: Words of a window and distance between a document's windows: a run of LEAST words holds whole windows.
 WINDOW, STRIDE = 12, 3
+#: Words of exact seeds, looked up at every word: 25 words with up to three edits hold one.
+SEED = 6
 #: CGK walks, samples of each walk, positions of a sample.
 WALKS, SAMPLES, BITS = 2, 4, 16
 #: Words in sequence that make a leak; words that an interruption may insert.
@@ -182,9 +184,8 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
     return i if step > 0 else i + 1
 
 
-def promising(it: Items, x: T.Words, s: np.ndarray, m: np.ndarray, window: int) -> np.ndarray:
-    """Candidates (document word s, item window m) whose alignment could hold LEAST own words."""
-    i = it.start[m]
+def promising(it: Items, x: T.Words, s: np.ndarray, i: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Candidates (document word s, item word i, words of the window) whose alignment could hold LEAST own words."""
     keep, left = np.zeros(len(s), bool), np.ones(len(s), bool)
     for shift in (0, 1, -1, 2, -2, 3, -3):
         todo = np.flatnonzero(left)
@@ -192,9 +193,9 @@ def promising(it: Items, x: T.Words, s: np.ndarray, m: np.ndarray, window: int)
             break
         # the first two words in sequence that agree on this diagonal
         at = np.full(len(todo), -1)
-        for a in range(window - 2, -1, -1):
-            p, q = i[todo] + a, np.minimum(np.maximum(s[todo] + a + shift, 0), len(x.h) - 2)
-            at = np.where((it.h[p] == x.h[q]) & (it.h[p + 1] == x.h[q + 1]), a, at)
+        for a in range(int(window.max()) - 2, -1, -1):
+            p, q = np.minimum(i[todo] + a, len(it.h) - 2), np.minimum(np.maximum(s[todo] + a + shift, 0), len(x.h) - 2)
+            at = np.where((it.h[p] == x.h[q]) & (it.h[p + 1] == x.h[q + 1]) & (a + 2 <= window[todo]), a, at)
         on = at >= 0
         todo, at = todo[on], at[on]
         p, q = i[todo] + at, s[todo] + at + shift
@@ -272,6 +273,10 @@ class Items:
         keep = foreign[self.start + self.cgk.window] == foreign[self.start]
         self.start, self.item = self.start[keep], self.item[keep]
         self.tables = [T.Lookup(k) for k in self.cgk.keys(self.h, self.start)]
+        # seeds too are own wording throughout
+        g, at = self.grams(SEED)
+        own = foreign[at + SEED] == foreign[at]
+        self.seed_at, self.seeds = at[own], T.Lookup(g[own])
 
 
 class Sketch:
@@ -411,20 +416,28 @@ def _search(shared):
                         q, m = table.find(keys)
                         if len(q):
                             cand.append((s[q], m))
-                if not cand:
+                pair = np.unique(np.concatenate([c[0] * len(it.start) + c[1] for c in cand])) if cand else np.zeros(0, np.int64)
+                s, i = pair // max(1, len(it.start)), it.start[pair % max(1, len(it.start))] if len(it.start) else pair
+                q, m = it.seeds.find(T.ngrams(x.h, SEED))
+                inside = x.first[np.searchsorted(x.first, q, "right")] - q >= SEED
+                q, m = q[inside], it.seed_at[m[inside]]
+                # of seeds that go on from one another the first is enough
+                key = np.sort(q * (len(it.h) + 1) + m)
+                key = key[~np.isin(key, key + len(it.h) + 2, kind="sort")]
+                q, m = key // (len(it.h) + 1), key % (len(it.h) + 1)
+                size = np.r_[np.full(len(s), w), np.full(len(q), SEED)]
+                s, i = np.r_[s, q], np.r_[i, m]
+                if not len(s):
                     continue
-                pair = np.unique(np.concatenate([c[0] * len(it.start) + c[1] for c in cand]))
-                s, m = pair // len(it.start), pair % len(it.start)
-                good = promising(it, x, s, m, w)
+                good = promising(it, x, s, i, size)
                 if not len(good):
                     continue
-                s, m = s[good], m[good]
+                s, i, size = s[good], i[good], size[good]
                 d = np.searchsorted(x.first, s, "right") - 1
-                own = it.item[m]
-                diag = (s - x.first[d]) - (it.start[m] - it.first[own])
+                own = np.searchsorted(it.first, i, "right") - 1
+                diag = (s - x.first[d]) - (i - it.first[own])
                 order = np.lexsort((s, diag, own, d))
-                d, own, s, m = d[order], own[order], s[order], m[order]
-                rows += [(at + a, o, v) for a, o, v in _verified(it, x, d, own, s, m)]
+                rows += [(at + a, o, v) for a, o, v in _verified(it, x, d[order], own[order], s[order], i[order], size[order])]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array([r[0] for r in rows])), pa.array([it.ids[r[1]] for r in rows])] + [pa.array([r[2][k] for r in rows], pa.int64()) for k in range(3)],
@@ -434,7 +447,7 @@ def _search(shared):
     return run
 
 
-def _verified(it: Items, x: T.Words, d: np.ndarray, own: np.ndarray, s: np.ndarray, m: np.ndarray):
+def _verified(it: Items, x: T.Words, d: np.ndarray, own: np.ndarray, s: np.ndarray, at: np.ndarray, size: np.ndarray):
     """The candidates of each (document, item) in turn until one is a leak, or all are not."""
     cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (own[1:] != own[:-1]), True])
     text_of, dw = -1, []
@@ -447,10 +460,10 @@ def _verified(it: Items, x: T.Words, d: np.ndarray, own: np.ndarray, s: np.ndarr
             text_of = doc
         best, seen = (0, 0, 0), set()
         for k in range(a, z):
-            i, j = int(it.start[m[k]] - it.first[o]), int(s[k] - x.first[doc])
-            if any(i0 <= i and i + it.cgk.window <= i1 and g == j - i for i0, i1, g in seen):
+            i, j, w = int(at[k] - it.first[o]), int(s[k] - x.first[doc]), int(size[k])
+            if any(i0 <= i and i + w <= i1 and g == j - i for i0, i1, g in seen):
                 continue  # inside an alignment already followed
-            v = verify(it.words[o], it.own[o], dw, i, j, it.cgk.window)
+            v = verify(it.words[o], it.own[o], dw, i, j, w)
             seen.add((v[1], v[2], j - i))
             if v[0] > best[0]:
                 best = v
