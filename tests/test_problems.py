@@ -261,3 +261,18 @@ def test_units_from_anywhere(spark):
         (4, "gain"): ("m/s", 5_000_000), (4, "f0"): ("Hz", 500), (8, "gain"): ("m/s2", 3), (8, "f0"): ("Hz", 250),
     }
     assert unitgraph.to_si(df.limit(0)).count() == 0
+
+
+def test_spikes_of_a_noisy_recorder_are_held_against_the_channel(spark):
+    rng = np.random.default_rng(4)
+    quiet, noisy = rng.normal(size=3072), 3 * rng.normal(size=512)
+    at = np.arange(40, 480, 40)
+    for o in (-3, -2, -1, 1, 2, 3):
+        noisy[at + o] = rng.normal(size=len(at)) * 0.3
+    noisy[at] = 10.5  # more than 8 usual scatters, less than 4 of the recorder's own
+    rows = [("A", run, int(k) * 10_000, float(v)) for run, x in ((1, quiet), (2, noisy)) for k, v in enumerate(x)]
+    rows = [(i, r, t + r * 10**9, v) for i, r, t, v in rows]
+    readings = spark.createDataFrame(rows, "id string, run_id bigint, t bigint, x double")
+    runs = spark.createDataFrame([(1, "A", 100.0, "m/s2"), (2, "A", 100.0, "m/s2")], "run_id bigint, id string, fs double, units string")
+    got = {r["t_us"] for r in spikes.flagged(readings, runs, shard=512).collect() if r["reason"] == "spike"}
+    assert {int(k) * 10_000 + 2 * 10**9 for k in at} <= got and not any(t < 2 * 10**9 for t in got)

@@ -224,10 +224,10 @@ class _Series:
         self.dev, self.calm = np.zeros(n), np.zeros(n)
         if not n:
             return
-        limit = 0.5 * LIMIT * np.minimum(scale, self.scale)
+        # the usual scatter of the channel isn't known yet: a shard's own, which may be noisier, is no limit here
         mid, calm, near, left, right = self.one
         d = np.fmin(np.nan_to_num(np.abs(x - mid - mean)), beyond(x, left, right))
-        hit = (d > limit) & (near < 0.5 * d) & (d > CALM * calm)
+        hit = (d > 0) & (near < 0.5 * d) & (d > CALM * calm)
         self.dev[hit], self.calm[hit] = d[hit], calm[hit]
         mid, calm, near, left, right = self.two
         if not len(mid):
@@ -235,8 +235,9 @@ class _Series:
         # both of two in succession, on one side of the course or on either
         ds = [np.fmin(np.nan_to_num(np.abs(y - mid - mean[:-1])), beyond(y, left, right)) for y in (x[:-1], x[1:])]
         d = np.fmin(*ds)
-        hit = np.flatnonzero((d > limit[:-1]) & (near < 0.5 * d) & (d > CALM * calm))
+        hit = np.flatnonzero((d > 0) & (near < 0.5 * d) & (d > CALM * calm))
         for o, y in enumerate(ds):
+            y = np.fmin(y, 2 * d)  # the lesser of the two must reach half the limit
             more = hit[y[hit] > self.dev[hit + o]]
             self.dev[more + o], self.calm[more + o] = y[more], calm[more]
 
