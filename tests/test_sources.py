@@ -122,3 +122,79 @@ def test_store_modes(spark, tmp_path):
     assert store.read_event(spark, path, ev, "e", 3, 5).count() == 3
     with pytest.raises(Exception):
         store.write(rows(("A.B..Z", 0, 9.0)), path)
+
+
+def mixed(n: int = 40) -> tuple[bytes, int]:
+    """Records of 512, 4096 and 256 bytes in turn, with their number of samples."""
+    rng = np.random.default_rng(4)
+    out, total = [], 0
+    for k in range(n):
+        x = np.cumsum(rng.integers(-9, 9, 60 + 50 * (k % 3)))
+        r = f.mseed_write([f.piece(id=f"XX.A{k % 2}..BHZ", fs=50.0, t0_us=T0 + k * 60_000_000, x=x)], 3, (9, 12, 8)[k % 3])
+        out.append(r)
+        total += len(x)
+    return b"".join(out), total
+
+
+@pytest.mark.parametrize("split", [64, 512, 700, 2048, 5000, 100_000])
+def test_records_of_mixed_lengths_are_split_whole(spark, tmp_path, split):
+    from tremolite.sources import datasource as ds
+
+    data, total = mixed()
+    p = tmp_path / "m.mseed"
+    p.write_bytes(data)
+    whole = sorted((r[1], r[11], r[12]) for r in ds.read_range("mseed", str(p)))
+    r = ds.WaveformReader({"path": str(p), "fmt": "mseed", "split": split})
+    got = sorted((x[1], x[11], x[12]) for part in r.partitions() for x in r.read(part))
+    assert got == whole and sum(n for _, _, n in got) == total
+    if split == 700:
+        assert sorted((x["id"], x["t0_us"], x["n"]) for x in ds.read_data(spark, str(p), "auto", split=split).collect()) == whole
+
+
+def test_split_records_longer_than_what_is_read_beyond_a_split(tmp_path, monkeypatch):
+    from tremolite.sources import datasource as ds
+
+    data, total = mixed(9)
+    (tmp_path / "m.mseed").write_bytes(data)
+    monkeypatch.setattr(ds, "BEYOND", 64)
+    r = ds.WaveformReader({"path": str(tmp_path / "m.mseed"), "fmt": "mseed", "split": 128})
+    assert sum(x[12] for part in r.partitions() for x in r.read(part)) == total
+
+
+def test_a_file_that_comes_late_with_an_early_name_is_read_once(spark, tmp_path):
+    from tremolite.sources.datasource import PacketStream
+
+    src, land = tmp_path / "src", tmp_path / "land"
+    src.mkdir(), land.mkdir()
+    packets(src)
+    opts = {"path": f"{land}/*.mseed", "fmt": "mseed", "maxFilesPerTrigger": "2"}
+    s, read, at = PacketStream(opts), [], PacketStream(opts).initialOffset()
+
+    def go(s, at):
+        while (end := s.latestOffset()) != at:
+            for part in s.partitions(at, end):
+                read.append(part.path.rsplit("/", 1)[1])
+            at = end
+        return at
+
+    for names in (("p003", "p004", "p005"), ("p000",), ("p002", "p001")):
+        for n in names:
+            (land / f"{n}.mseed").write_bytes((src / f"{n}.mseed").read_bytes())
+        at = go(s, at)
+        s = PacketStream(opts)  # a restart forgets nothing
+    assert sorted(read) == [f"p{k:03d}.mseed" for k in range(6)] and len(read) == 6
+    assert s.partitions({"n": 0}, at)[0].path.endswith(read[0]) and s.latestOffset() == at
+    other = PacketStream(opts)
+    assert sum(1 for _ in other.partitions({"n": 0}, other.latestOffset())) == 6
+
+
+def test_remote_paths_and_scans(spark, tmp_path):
+    from tremolite.sources import datasource as ds
+
+    x = packets(tmp_path)
+    uri = f"file://{tmp_path}/p*.mseed"
+    assert ds.listing(uri) == [f"file://{tmp_path}/p{k:03d}.mseed" for k in range(6)] and ds.listing(f"file://{tmp_path}") == ds.listing(uri)
+    assert ds.read_data(spark, uri, "mseed").select("n").groupBy().sum().collect()[0][0] == len(x)
+    big = tmp_path / "all.bin"
+    big.write_bytes(b"".join((tmp_path / f"p{k:03d}.mseed").read_bytes() for k in range(6)))
+    assert [tuple(r)[1:] for r in ds.scan(spark, str(big), "mseed", split=512).collect()] == [("XX.A..BHZ", len(x), 1, 1)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolite.sources import formats, metadata
-from tremolite.sources.datasource import listing, read_data
+from tremolite.sources.datasource import listing, read_bytes, read_data
 
 META = "path string, id string, name string, start_us bigint, end_us bigint, lat double, lon double, el double, dep double, az double, inc double, fs double, gain double, units string, a0 double, f0 double, p array<struct<re: double, im: double>>, z array<struct<re: double, im: double>>, stages string"
 EVENTS = "path string, event_id string, typ string, name string, ot_us bigint, lat double, lon double, dep double, nst bigint, gap double, rms double, mag double, mag_scale string, m0 double, mt array<double>, picks string"
@@ -29,9 +29,8 @@ def _parsed(files: DataFrame, schema: str, parse) -> DataFrame:
         for b in batches:
             rows = []
             for path in b["path"]:
-                with open(path, "rb") as f:
-                    for r in parse(f.read(), path):
-                        rows.append({"path": path} | {n: r.get(n) for n in names if n != "path"})
+                for r in parse(read_bytes(path), path):
+                    rows.append({"path": path} | {n: r.get(n) for n in names if n != "path"})
             yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(run, schema)

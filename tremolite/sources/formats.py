@@ -59,6 +59,62 @@ def mseed_rate(a: int, b: int) -> float:
     return float((a if a > 0 else -1 / a) * (b if b > 0 else -1 / b))
 
 
+def mseed_length(data: bytes, at: int) -> int:
+    """Length of the mini-SEED record whose header stands at ``at``; 0 if there is none.
+
+    A header has a sequence number, a quality letter, a possible time in either byte order and blockettes within the record.
+    """
+    if at + 48 > len(data) or data[at + 6] not in b"DRQM" or data[at + 7] not in b" \0" or any(c not in b"0123456789 \0" for c in data[at : at + 6]):
+        return 0
+    for order in ">", "<":
+        y, j, h, m, s = struct.unpack_from(order + "HHBBB", data, at + 20)
+        if not (1900 <= y <= 2100 and 1 <= j <= 366 and h < 24 and m < 60 and s <= 60):
+            continue
+        nb, (begin, blk) = data[at + 39], struct.unpack_from(order + "HH", data, at + 44)
+        for _ in range(nb):
+            if not blk or at + blk + 8 > len(data):
+                break
+            kind, nxt = struct.unpack_from(order + "HH", data, at + blk)
+            if kind == 1000:
+                return 1 << data[at + blk + 6] if 6 <= data[at + blk + 6] <= 28 else 0
+            if nxt and nxt <= blk:
+                return 0
+            blk = nxt
+        return 4096 if begin <= 4096 else 0
+    return 0
+
+
+def mseed_sync(data: bytes, at: int) -> int:
+    """The first place from ``at`` on, in steps of 64 bytes, where a record begins; len(data) if there is none.
+
+    A header counts if the records after it follow on one another as far as the data goes, at most three of them.
+    """
+    while at + 48 <= len(data):
+        n = mseed_length(data, at)
+        if n:
+            nxt, ok = at + n, True
+            for _ in range(3):
+                if nxt + 48 > len(data):
+                    break
+                more = mseed_length(data, nxt)
+                if not more:
+                    ok = False
+                    break
+                nxt += more
+            if ok:
+                return at
+        at += 64
+    return len(data)
+
+
+def mseed_stop(data: bytes, at: int, end: int) -> int:
+    """Where the last record that begins before ``end`` ends; beyond len(data) if it isn't all there."""
+    while at < end and at < len(data):
+        n = mseed_length(data, at)
+        at += n or 64
+    return at
+
+
 def mseed_records(data: bytes, headers_only: bool = False) -> list[dict]:
     """One piece per record; byte order is found from the year; blockettes 100 and 1000 are used, others named in misc."""
     out, at = [], 0
