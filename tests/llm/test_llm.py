@@ -312,6 +312,54 @@ FINE = [
 ]
 
 
+#: Short prose about a parliament; nothing in the operator knows these languages.
+PROSE = {
+    "fi": "Eduskunta kokoontui eilen keskustelemaan uudesta esityksestä, joka koskee kuntien rahoitusta. Ministeri vastasi kysymyksiin pitkään, mutta monet edustajat jäivät odottamaan tarkempia lukuja. Äänestys siirrettiin seuraavaan istuntoon, koska valiokunnan mietintö ei ollut vielä valmis.",
+    "pl": "Sejm zebrał się wczoraj, aby omówić nowy projekt ustawy o finansowaniu gmin. Minister długo odpowiadał na pytania, lecz wielu posłów nadal czeka na dokładne liczby. Głosowanie przełożono na następne posiedzenie, ponieważ sprawozdanie komisji nie było jeszcze gotowe.",
+    "es": "El Parlamento se reunió ayer para debatir el nuevo proyecto de ley sobre la financiación de los municipios. El ministro respondió largamente a las preguntas, pero muchos diputados siguen esperando cifras exactas. La votación se aplazó hasta la próxima sesión, porque el informe de la comisión aún no estaba listo.",
+    "tr": "Meclis dün belediyelerin finansmanına ilişkin yeni tasarıyı görüşmek üzere toplandı. Bakan soruları uzun uzun yanıtladı, ancak birçok milletvekili hâlâ kesin rakamları bekliyor. İstanbul oturumunda oylama ertelendi, çünkü komisyon raporu henüz hazır değildi.",
+    "ru": "Парламент собрался вчера, чтобы обсудить новый проект закона о финансировании общин. Министр долго отвечал на вопросы, однако многие депутаты по-прежнему ждут точных цифр. Голосование перенесли на следующее заседание, поскольку доклад комиссии ещё не был готов.",
+    "el": "Η Βουλή συνεδρίασε χθες για να συζητήσει το νέο νομοσχέδιο για τη χρηματοδότηση των δήμων. Ο υπουργός απάντησε εκτενώς στις ερωτήσεις, αλλά πολλοί βουλευτές περιμένουν ακόμη ακριβή στοιχεία. Η ψηφοφορία αναβλήθηκε για την επόμενη συνεδρίαση, διότι η έκθεση της επιτροπής δεν ήταν έτοιμη.",
+    "hu": "A parlament tegnap összeült, hogy megvitassa az önkormányzatok finanszírozásáról szóló új törvényjavaslatot. A miniszter hosszasan válaszolt a kérdésekre, de sok képviselő továbbra is pontos számokra vár. A szavazást a következő ülésre halasztották, mert a bizottság jelentése még nem készült el.",
+    "hi": "संसद की बैठक कल नगर निकायों के वित्त पर नए विधेयक की चर्चा के लिए हुई। मंत्री ने प्रश्नों के लंबे उत्तर दिए, पर अनेक सदस्य अब भी सही आँकड़ों की प्रतीक्षा में हैं। मतदान अगली बैठक तक टाल दिया गया, क्योंकि समिति की रिपोर्ट तैयार नहीं थी।",
+    "zh": "议会昨天开会讨论关于地方财政的新法案。部长详细回答了问题，但许多议员仍在等待准确的数字。表决推迟到下次会议，因为委员会的报告尚未完成。",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_prose_of_any_language_is_no_list(lang):
+    t = PROSE[lang]
+    wrapped = "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    quoted = t.replace(" ", " “", 1).replace(". ", ".” ", 1)
+    for text in (t, "\n".join([t] * 4), " ".join([t] * 4), wrapped, quoted, t + "\nHome | Login | Search | Print"):
+        assert not listpages.shapes([text]).flagged().any(), text
+
+
+LISTS = {
+    "fi": ["halvat huonekalut Tampere", "halvat renkaat Tampere", "halvat huonekalut Turku", "halvat renkaat Turku", "halvat huonekalut Oulu", "halvat renkaat Oulu"],
+    "ru": ["дешёвые шины Казань", "дешёвые лампы Казань", "дешёвые шины Пермь", "дешёвые лампы Пермь", "дешёвые шины Омск", "дешёвые лампы Омск"],
+    "tr": ["ucuz lastik İzmir", "ucuz lamba İzmir", "ucuz lastik Bursa", "ucuz lamba Bursa", "ucuz lastik Ankara", "ucuz lamba Ankara"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(LISTS))
+@pytest.mark.parametrize("sep", ["\n", ", ", " | ", " > ", " #"])
+def test_lists_of_any_language_are_flagged(lang, sep):
+    assert listpages.shapes([sep.join(LISTS[lang]), sep.join(LISTS[lang]) + "\n" + PROSE[lang].split(". ")[0][:60] + "."]).flagged().all()
+
+
+def test_capitals_of_all_scripts():
+    t = ["Hëllo “World” Ärger im Öl “Ümit” İstanbul ıslak Ωμέγα ωμέγα Жук жук ẞ ab", "", "Plain İ Ⱥx text"]
+    p = [T.plain(x) for x in t]
+    x = T.words_of([q.lower() for q in p])
+    got = [(x.word(k), bool(c)) for k, c in enumerate(T.capitals(p, x))]
+    known = {w: c for w, c in got}
+    assert [known[w] for w in ("hëllo", "world", "ärger", "im", "öl", "ümit", "ıslak", "ωμέγα", "жук", "plain", "text")][:4] == [True, True, True, False]
+    assert [c for w, c in got if w in ("ωμέγα", "жук")] == [True, False, True, False] and len(got) == len(x.h)
+    a, b = listpages.shapes(["Hello World Again, said Tom here."]), listpages.shapes(["Hëllo World Again, said Tom here."])
+    assert (a.words, a.listed) == (b.words, b.listed)
+
+
 def test_list_pages(spark):
     data = list(enumerate(SPAM)) + [(100 + k, t) for k, t in enumerate(FINE)] + [(500, None), (0, SPAM[0]), (501, SPEECH * 3000), (502, (SPAM[0] + "\n") * 3000)]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("t", F.lit(1)).withColumn("words", F.lit(2))

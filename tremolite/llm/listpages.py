@@ -1,9 +1,12 @@
 """Problem 9: keyword-stuffed pages and link lists.
 
-Every line (a stretch up to a line end or a full stop; long ones in pieces) is reduced to a shape:
-its number of words, its capitals, its separators and links.  Shapes are grouped per page, and
-a page is flagged whose words lie mostly in few non-sentence shapes.  Shapes of records of the
-house (numbered lines, names with titles or party codes) are lists too, but count as records.
+A text is cut into stretches (up to the end of a sentence or of a line that isn't continued on the next; long ones
+in pieces), and every piece is reduced to a shape: its number of words, its capitals, its separators and
+links, words said again, and whether its stretch ends like a sentence.  Shapes are grouped per page, and a page is
+flagged whose words lie mostly in few non-sentence shapes.  Nothing depends on a language: no word is
+known by itself, only by its length, its capital and what stands around it.  Lists of persons, votes and numbered
+items are told by their shapes too (numbered lines, codes in parentheses, initials and short forms of address
+before names) and aren't flagged.
 
 One pass over whole texts, arrays only, no shuffle: a page's shapes are grouped where it is read.
 """
@@ -21,43 +24,52 @@ from pyspark.sql import functions as F
 from tremolite.llm import text as T
 from tremolite.session import spread
 
-#: Words of one piece of a long line.
+#: Words of one piece of a long stretch.
 PIECE = 12
 #: A page is flagged if at least this share of its words is in non-sentence shapes that aren't records,
 #: at least SHAPES_SHARE of those in its SHAPES commonest ones, and they are LEAST words or more.
 SHARE, SHAPES, SHAPES_SHARE, LEAST = 0.5, 5, 0.6, 10
-#: A piece with fewer function words than this share, or with separators after more than LISTED of its words, is no sentence.
-FUNCTION, LISTED = 0.1, 0.22
-#: A line of at most WHOLE words that ends like a sentence is judged as a whole.
-WHOLE = 40
-#: Or if this share of its words was said within the NEAR words before, function words and numbers apart.
-NEAR, STUFFED = 12, 0.2
-#: A list page is a record if at least this share of its words starts a numbered line, a title or a party code.
+#: A piece with separators after more than this share of its words is no sentence; a quarter more is allowed in a sentence, half as much more
+#: in a piece of one.
+LISTED = 0.22
+#: A stretch of fewer words is no sentence by itself; one of up to ASIDE that ends like a sentence is an interjection; one of up to
+#: WHOLE is judged as a whole, and of a longer one the last FAR words at most are a sentence.
+SENTENCE, ASIDE, WHOLE, FAR = 4, 3, 40, 72
+#: A line of at least this many words that doesn't end like a sentence goes on in the next line if that begins small, or whatever
+#: it begins with if the line has at least FULL letters.
+WRAPPED, FULL = 6, 40
+#: Said over and over: words of at least LONG letters, and two words in sequence of which one is as long, that are said OFTEN times more within NEAR
+#: words on either side.  A sentence or piece is stuffed if this share of its words is.
+NEAR, OFTEN, LONG, STUFFED = 16, 2, 4, 0.2
+#: Bytes from which a word is a clause of a script that doesn't part words; clauses said again don't stuff a page.
+CLAUSE = 24
+#: An unended stretch of at least RUN words with bars after at most SPARSE of them is prose (a scan without stops) if no more than this share of it was said
+#: before in it, no more than CAPITALS of its words are capitals, and at least BRIEF of them have up to three letters.
+RUN, SPARSE, SAID, CAPITALS, BRIEF = 12, 0.06, 0.25, 0.4, 0.15
+#: A list page is a record if at least this share of its words marks one.
 RECORD = 0.08
-#: Function words of the languages in use.
-FUNCTION_WORDS = (
-    "the of and to in that is for on it by be as was with not which we have has had i an a at or if are were will would can cannot this these those they there their from no yet my you your who what when how why but so than still more most per must should could may its our us them he she his her been before after since into during about between over until "
-    "le la les l un une des du de d à au aux et ou que qu qui est sont pour dans par sur ne n pas plus nous vous ils elles il elle on ce cet cette ces son sa ses leur leurs en y a ont été avec mais comment quand je j ai me se s aucune aucun encore sans après avant depuis "
-    "der die das den dem des ein eine einen einem einer eines und oder in im zu zur zum für ist sind war nicht wir ihr sie er es ich ein mit auf von vom bei aus nach vor über um an am als dass daß man noch bis wie wenn wird werden hat haben doch nur seit keiner niemand sich mir uns gilt"
-).split()
-#: Titles of persons, and words of division lists.
-TITLES = "ayes noes division mr mrs ms miss dr sir dame lord lady hon prof mme mlle herr frau".split()
+#: Letters at most of a form of address, and of a code in parentheses.
+SHORT = 4
 #: First words of links.
 LINKS = "http https www".split()
-_NL, _END, _COMMA, _BAR, _HASH, _PAREN, _COLON, _SPACE = (1 << k for k in range(8))
-_FLAG = np.zeros(256, np.uint8)
-for _chars, _bit in (("\n\r", _NL), (".?!", _END), (",;", _COMMA), ("|>/*~=+•-", _BAR), ("#", _HASH), ("()[]", _PAREN), (":", _COLON), (" \t\n\r", _SPACE)):
-    for _c in _chars.encode("latin-1", "ignore"):
+_NL, _END, _COMMA, _BAR, _HASH, _PAREN, _COLON, _SPACE, _DASH = (1 << k for k in range(9))
+_FLAG = np.zeros(256, np.uint16)
+for _chars, _bit in (("\n\r", _NL), (".?!", _END), (",;", _COMMA), ("|>/*~=+", _BAR), ("-", _DASH), ("#", _HASH), ("()[]", _PAREN), (":", _COLON), (" \t\n\r", _SPACE)):
+    for _c in _chars.encode():
         _FLAG[_c] |= _bit
-for _c in (0xB7, 0xA2, 0x93, 0x94):  # last bytes of middle dot, bullet and dashes
+for _c in (0xB7, 0xA2):  # last bytes of middle dot and bullet
     _FLAG[_c] |= _BAR
+for _c in (0x93, 0x94):  # and of dashes
+    _FLAG[_c] |= _DASH
+#: Sentence ends and commas of scripts that have their own.
+_MARKS = str.maketrans({"。": ". ", "、": ", ", "؟": "? ", "،": ", ", "।": ". ", "۔": ". ", "…": ". "})
 
 
 def _known(ws: list[str]) -> T.Lookup:
     return T.Lookup(np.unique(T.words([" ".join(ws)]).h), 16)
 
 
-_FUNCTION, _TITLE, _LINK = _known(FUNCTION_WORDS), _known(TITLES), _known(LINKS)
+_LINK = _known(LINKS)
 
 
 def _is(known: T.Lookup, h: np.ndarray) -> np.ndarray:
@@ -68,7 +80,7 @@ def _is(known: T.Lookup, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pages:
-    """Per text: words, words in non-sentence shapes, share of its commonest shapes, record marks."""
+    """Per text: words, words in non-sentence shapes, words in its commonest shapes of these, record marks."""
 
     words: np.ndarray
     listed: np.ndarray
@@ -82,7 +94,8 @@ class Pages:
 
 def shapes(texts: list[str | None]) -> Pages:
     """The shape figures of each text; a null or empty text has no words."""
-    x = T.words(texts)
+    plain = [T.plain(t).translate(_MARKS) if t and not t.isascii() else T.plain(t) for t in texts]
+    x = T.words_of([p.lower() for p in plain])
     nt, nw = len(x.first) - 1, len(x.h)
     words = np.diff(x.first)
     if not nw:
@@ -90,86 +103,91 @@ def shapes(texts: list[str | None]) -> Pages:
         return Pages(words, z, z, z)
     b = np.frombuffer(x.buf, np.uint8)
     text = np.repeat(np.arange(nt), words)
+    cap = T.capitals(plain, x)
     # what stands between a word and the next one; the byte after the last word is a line end
     nxt = np.r_[x.a[1:], len(b)]
-    fl = _FLAG[b]
-    after = np.bitwise_or.reduceat(fl, np.stack([x.z, nxt], 1).ravel()[: 2 * nw - 1])[::2] if nw else fl
+    after = np.bitwise_or.reduceat(_FLAG[b], np.stack([x.z, nxt], 1).ravel()[: 2 * nw - 1])[::2]
     last = np.zeros(nw, bool)
     last[x.first[1:][words > 0] - 1] = True
     after[last] |= _NL
-    before = np.r_[np.uint8(_NL), after[:-1]]
+    after[((after & _DASH) > 0) & ((after & _SPACE) > 0)] |= _BAR  # a dash inside a word separates nothing
+    before = np.r_[np.uint16(_NL), after[:-1]]
     before[x.first[:-1][words > 0]] |= _NL
     size = x.z - x.a
-    func, title, link = _is(_FUNCTION, x.h), _is(_TITLE, x.h), _is(_LINK, x.h)
+    link = _is(_LINK, x.h)
     digit = (b[x.a] >= 48) & (b[x.a] <= 57)
-    # an initial ('R. Name') or a title with a full stop ends no line, nor does a number's point
-    end = ((after & _END) > 0) & ((after & _SPACE) > 0) & ~title & ~(size == 1) & ~digit & ~link
-    brk = end | ((after & _NL) > 0)
-    line = np.r_[0, np.cumsum(brk)[:-1]]
-    place = np.arange(nw) - np.r_[0, np.flatnonzero(brk)[:-1] + 1][line] if brk.any() else np.arange(nw)
-    new = (place % PIECE == 0)
-    piece = np.cumsum(new) - 1
+    # a short form of address or an initial before a name; its full stop ends no sentence
+    plainly = (after & (_NL | _COMMA | _BAR | _HASH | _PAREN | _COLON)) == 0
+    begins = (before & (_NL | _COMMA | _BAR | _COLON | _END)) > 0
+    named = np.r_[cap[1:] & (size[1:] >= SHORT), False] & ~last
+    address = cap & (size <= SHORT) & plainly & named & ~digit & begins
+    initial = cap & (size == 1) & ((after & _END) > 0)
+    end = ((after & _END) > 0) & ((after & (_SPACE | _NL)) > 0) & ~(address & (size <= SHORT)) & ~(size == 1) & ~digit & ~link
+    newline = (after & _NL) > 0
+    line = np.r_[0, np.cumsum(newline)[:-1]]
+    per_line = np.bincount(line)
+    at_line = np.flatnonzero(np.r_[True, newline[:-1]])
+    full = (x.z[np.r_[at_line[1:] - 1, nw - 1]] - x.a[at_line])[line] >= FULL
+    goes_on = newline & ~last & ~end & (per_line[line] >= WRAPPED) & (full | ~np.r_[cap[1:] | digit[1:], True]) & ((np.r_[before[1:], np.uint16(0)] & (_HASH | _BAR)) == 0)
+    brk = end | (newline & ~goes_on)
+    unit = np.r_[0, np.cumsum(brk)[:-1]]
+    starts = np.r_[0, np.flatnonzero(brk)[:-1] + 1]
+    place = np.arange(nw) - starts[unit]
+    new = place % PIECE == 0
     first = np.flatnonzero(new)
-    np_ = len(first)
     n = np.diff(np.r_[first, nw])
     count = lambda m: np.add.reduceat(m.astype(np.int32), first)
-    nf, nc, nb, nh, nl = count(func), count((after & _COMMA) > 0), count((after & _BAR) > 0), count((before & _HASH) > 0), count(link)
-    ended = np.zeros(np_, bool)
-    ended[piece[end]] = True
-    # lines that were cut: a sentence's pieces belong to a line of more words
-    whole = np.bincount(line, minlength=line[-1] + 1)[line[first]]
-    ends_line = np.zeros(line[-1] + 1, bool)
-    ends_line[line[end]] = True
-    ended |= ends_line[line[first]] & (whole > PIECE)
-    dense = (nc + nb) > np.where(ended, 1.5 * LISTED, LISTED) * n
-    few = nf < FUNCTION * n
-    short = (whole < 8) & ~ended
-    sentence = ~few & ~dense & ~short & (nh * 3 < n)
-    # a whole sentence of moderate length is one whatever its pieces look like: a speaker's name may head it
-    by_line = lambda v: np.bincount(line[first], v, line[-1] + 1)[line[first]]
-    sentence |= ends_line[line[first]] & (whole <= WHOLE) & (by_line(nf) >= 1.5 * FUNCTION * whole) & (by_line(nc + nb) <= LISTED * whole)
-    # stuffed: a word said again within few words, over and over
-    again = np.zeros(nw, bool)
-    for k in range(1, NEAR + 1):
-        again[k:] |= (x.h[k:] == x.h[:-k]) & (text[k:] == text[:-k])
-    stuffed = count(again & ~func & ~digit) >= STUFFED * n
-    sentence &= ~stuffed
-    aside = ended & (n <= 3) & (whole <= 3) & ~stuffed  # interjections and other short ends are neither
+    nc, nb, nh, nl, nu = count((after & _COMMA) > 0), count((after & _BAR) > 0), count((before & _HASH) > 0), count(link), count(cap)
+    own = unit[first]
+    whole = np.bincount(unit)[own]
+    ends = np.zeros(unit[-1] + 1, bool)
+    ends[unit[end]] = True
+    ended = ends[own]
+    by_unit = lambda v: np.bincount(own, v, unit[-1] + 1)[own]
+    judged = ended & (whole <= WHOLE)
+    dense = np.where(judged, by_unit(nc + nb) > 1.25 * LISTED * whole, (nc + nb) > np.where(ended, 1.5 * LISTED, LISTED) * n)
+    # words said over and over: twice more, or more often, within NEAR words on either side
+    near, pairs = np.zeros(nw, np.int16), np.zeros(nw, np.int16)
+    for k in range(1, min(NEAR, nw - 1) + 1):
+        eq = (x.h[k:] == x.h[:-k]) & (text[k:] == text[:-k])
+        near[k:] += eq
+        near[:-k] += eq
+        two = eq[1:] & eq[:-1]
+        pairs[k + 1 :] += two
+        pairs[1:-k] += two
+    hot = (near >= OFTEN) & (size >= LONG) & (size < CLAUSE)
+    both = pairs >= OFTEN
+    both[1:] &= (size[1:] >= LONG) | (size[:-1] >= LONG)
+    both &= size < CLAUSE
+    hot |= both
+    hot[:-1] |= both[1:]
+    said = count(hot & ~digit)
+    stuffed = np.where(judged, by_unit(said) >= STUFFED * whole, said >= STUFFED * n)
+    # a scan without stops: words of all lengths, hardly one said before in the same stretch
+    key = np.unique(x.h ^ (unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    fresh = np.zeros(nw, bool)
+    fresh[key] = True
+    prose = ~ended & (whole >= RUN) & (by_unit(count(~fresh & (size >= LONG))) <= SAID * whole) & (by_unit(nu) <= CAPITALS * whole) & (by_unit(count((size < LONG) & ~digit)) >= BRIEF * whole) & (by_unit(nb + nh + nl) <= SPARSE * whole)
+    ahead = whole - place[first]
+    sentence = ((ended & (whole >= SENTENCE) & (ahead <= FAR)) | prose) & ~dense & (nh * 3 < n) & ~stuffed
+    aside = ended & (whole <= ASIDE) & ~stuffed  # interjections and other short ends are neither
     listy = ~sentence & ~aside
-    cap = count(_capital(x, texts))
-    sep = np.select([nh * 3 >= n, (nl > 0) | stuffed, nb > LISTED * n, nc > LISTED * n, short], [1, 2, 3, 4, 5], 0)
-    kind = (np.digitize(n, [2, 3, 6, PIECE]) * 3 + np.digitize(cap / n, [0.1, 0.7])) * 6 + sep
+    sep = np.select([nh * 3 >= n, (nl > 0) | stuffed, nb > LISTED * n, nc > LISTED * n, ~ended], [1, 2, 3, 4, 5], 0)
+    kind = (np.digitize(n, [2, 3, 6, PIECE]) * 3 + np.digitize(nu / n, [0.1, 0.7])) * 6 + sep
     page = text[first]
     listed = np.bincount(page, np.where(listy, n, 0), nt)
     # words in each page's commonest shapes
     code = page[listy].astype(np.int64) * 128 + kind[listy]
     by = np.bincount(code, n[listy], minlength=nt * 128).reshape(nt, 128)
     top = np.sort(by, axis=1)[:, -SHAPES:].sum(1)
-    numbered = digit & ((before & _NL) > 0) & ((after & _END) > 0)
-    party = ((before & _PAREN) > 0) & ((after & _PAREN) > 0) & (size <= 4)
-    records = np.bincount(text, title | party | numbered, nt) + 2 * np.bincount(text, numbered, nt)
+    # a number that heads a line, alone or after a short word ('No. 12')
+    heads = (before & _NL) > 0
+    numbered = digit & ((heads & ((after & _END) > 0)) | np.r_[False, (heads & cap & (size <= SHORT))[:-1]])
+    coded = cap & ((before & _PAREN) > 0) & ((after & _PAREN) > 0) & (size <= SHORT)
+    records = np.bincount(text, address | initial | coded | numbered, nt) + 2 * np.bincount(text, numbered, nt)
     return Pages(words, listed, top, records)
 
 
-def _capital(x: T.Words, texts: list[str | None]) -> np.ndarray:
-    """Whether each word starts with a capital in the text as it was; words are matched in their order."""
-    out = np.zeros(len(x.h), bool)
-    for k, t in enumerate(texts):
-        a, z = x.first[k], x.first[k + 1]
-        if z == a or not t:
-            continue
-        s = x.buf[x.a[a] : x.z[z - 1]]
-        low = t if t.isascii() else None
-        if low is None or len(low) < len(s):
-            continue  # the normal form moved: capitals stay unknown, and equal for all its lines
-        off = x.a[a] - low.lower().find(s[:1].decode("ascii", "ignore"))
-        raw = np.frombuffer(low.encode(), np.uint8)
-        p = x.a[a:z] - off
-        ok = (p >= 0) & (p < len(raw))
-        out[a:z][ok] = (raw[p[ok]] >= 65) & (raw[p[ok]] <= 90)
-    return out
-
-
 def list_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc: pages that are mostly keyword, tag, place or product lists or links.
 

@@ -27,8 +27,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def normal(text: str | None) -> str:
-    """Lower case, compatibility forms, invisible characters gone, words broken at line ends joined."""
+def plain(text: str | None) -> str:
+    """Compatibility forms, invisible characters gone, words broken at line ends joined; capitals stay."""
     if not text:
         return ""
     if not text.isascii():
@@ -38,7 +38,12 @@ def normal(text: str | None) -> str:
             text = _INVISIBLE.sub("", text)
     if "-\n" in text or "‐\n" in text or "- \n" in text:
         text = _BROKEN.sub("", text)
-    return text.lower()
+    return text
+
+
+def normal(text: str | None) -> str:
+    """The plain form in lower case."""
+    return plain(text).lower()
 
 
 @dataclass
@@ -58,9 +63,11 @@ class Words:
 
 def words(texts: list[str | None]) -> Words:
     """Words of texts; anything but letters and digits separates.  A null text has no words."""
-    parts = [normal(t).encode("utf-8", "replace") for t in texts]
-    buf = b"\n".join(parts) + b"\n"
-    b = np.frombuffer(buf, np.uint8)
+    return words_of([normal(t) for t in texts])
+
+
+def _edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
     ok = _LETTER[b]
     for lead, n in ((0xE2, 3), (0xC2, 2)):  # general punctuation and Latin-1 signs separate
         k = np.flatnonzero(b == lead)
@@ -69,7 +76,35 @@ def words(texts: list[str | None]) -> Words:
     edge = np.flatnonzero(ok[1:] != ok[:-1]) + 1
     if ok[0]:
         edge = np.r_[0, edge]
-    a, z = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+#: Letters whose lower case has another length in UTF-8.
+_UNEVEN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(128, 0xD800) if len(chr(c).encode()) != len(chr(c).lower().encode())) + "]")
+#: Whether a code point of the first plane is a capital, in any script.
+_UPPER = np.array([chr(c).isupper() or chr(c).istitle() for c in range(0xD800)])
+
+
+def capitals(plains: list[str], x: Words) -> np.ndarray:
+    """Whether each word of ``words_of(lower case of plains)`` begins with a capital there, whatever the script.
+
+    Of the few letters whose lower case is of another length in UTF-8 nothing is known: they count as small.
+    """
+    parts = [(p if p.isascii() else _UNEVEN.sub(lambda m: m[0].lower(), p)).encode("utf-8", "replace") for p in plains]
+    b = np.frombuffer(b"\n".join(parts) + b"\n\0\0", np.uint8)
+    c = b[x.a].astype(np.int64)
+    two, three = (c >= 0xC2) & (c < 0xE0), (c >= 0xE0) & (c < 0xF0)
+    c[two] = ((c[two] & 31) << 6) | (b[x.a[two] + 1] & 63)
+    c[three] = ((c[three] & 15) << 12) | ((b[x.a[three] + 1].astype(np.int64) & 63) << 6) | (b[x.a[three] + 2] & 63)
+    return _UPPER[np.where(c < len(_UPPER), c, 0)]
+
+
+def words_of(normals: list[str]) -> Words:
+    """Words of texts in normal form."""
+    parts = [p.encode("utf-8", "replace") for p in normals]
+    buf = b"\n".join(parts) + b"\n"
+    b = np.frombuffer(buf, np.uint8)
+    a, z = _edges(b)
     ends = np.cumsum([len(p) + 1 for p in parts])
     first = np.r_[0, np.searchsorted(a, ends)]
     if not len(a):
