@@ -219,9 +219,9 @@ def test_leaks_against_planted_cases(spark):
     e = spark.createDataFrame(items, "item_id bigint, text string").withColumn("lang", F.lit("en"))
     got = leak.leaks(d, e).collect()
     pairs = {(r["doc_id"], r["item_id"]) for r in got}
-    assert pairs - want == set() and len(want - pairs) <= 1, (want - pairs, pairs - want)
+    assert pairs == want, (want - pairs, pairs - want)
     assert len(got) == len(pairs) + 1  # a repeated document gives its rows again
-    small = leak.leaks(d, e, block_words=50)
+    small = leak.leaks(d, e, block_words=900)
     assert {(r["doc_id"], r["item_id"]) for r in small.collect()} == pairs
     assert leak.leaks(d.limit(0), e).count() == 0 and leak.leaks(d, e.limit(0)).count() == 0
 
@@ -271,6 +271,102 @@ def test_leaks_in_short_parts_are_found_wherever_they_start(spark, cuts):
     assert sorted((r["doc_id"], r["item_id"]) for r in leak.leaks(d, e).collect()) == [(k, k) for k in range(20)]
 
 
+def fuzzy(rng: random.Random, ws: list[str], kind: str) -> list[str]:
+    """25 to 40 words of an item with edits of a kind at random places."""
+    ws, n = list(ws), len(ws)
+    cut = rng.randrange(8, n - 8)
+    other = lambda k: rng.choices(VOCAB, k=k)
+    if kind == "misspelt":
+        for at in sorted(rng.sample(range(n), 3)):
+            w, k = ws[at], rng.randrange(1, len(ws[at]) - 2)
+            ws[at] = rng.choice([w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k + 1 :], w[:k] + "q" + w[k + 1 :], w[:k] + w[k] + w[k:]])
+    if kind == "joined":
+        ws[cut : cut + 2] = [ws[cut] + ws[cut + 1]]
+    if kind == "split":
+        ws[cut : cut + 1] = [ws[cut][:3], ws[cut][3:]]
+    if kind == "interrupted":
+        ws[cut:cut] = other(rng.randint(1, 12))
+    if kind == "interrupted twice":
+        ws[n - 8 : n - 8] = other(rng.randint(1, 12))
+        ws[8:8] = other(rng.randint(1, 12))
+    if kind == "interrupted far":
+        ws[cut:cut] = other(rng.randint(13, 60))
+    if kind == "misspelt and interrupted":
+        ws = fuzzy(rng, fuzzy(rng, ws, "misspelt"), "interrupted")
+    return ws
+
+
+KINDS = ("literal", "misspelt", "joined", "split", "interrupted", "interrupted twice", "interrupted far", "misspelt and interrupted")
+
+
+def whole(it: leak.Items, o: int, dw: list[str], x: T.Words) -> tuple[int, int, int]:
+    """Brute force: one item against one whole document."""
+    a, z, size = it.first[o], it.first[o + 1], x.z - x.a
+    close = (np.bitwise_count(it.bag[a:z, None] ^ x.bag[None, :]) <= 4) & (np.abs(it.size[a:z, None] - size[None, :]) <= 2)
+    return leak.align(it.words[o], it.own[o], dw, it.h[a:z, None] == x.h[None, :], close, it.size[a:z], size, it.bag[a:z], x.bag)
+
+
+def test_recall_and_extents_against_brute_force_by_kind():
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choices(VOCAB, k=n))
+    items = [say(90) for _ in range(40)]
+    it = leak.Items(list(range(40)), items, leak.Cgk())
+    it.index()
+    for kind in KINDS:
+        docs = []
+        for k in range(40):
+            n, ws = rng.randint(25, 40), items[k % 40].split()
+            a = rng.randrange(0, 90 - n)
+            docs.append(say(rng.randint(5, 60)) + " " + " ".join(fuzzy(rng, ws[a : a + n], kind)) + " " + say(rng.randint(5, 60)))
+        x = T.words(docs)
+        want = {}
+        for k in range(40):
+            one = T.words([docs[k]])
+            dw = [one.word(m) for m in range(len(one.h))]
+            for o in (k % 40, (k + 1) % 40):
+                v = whole(it, o, dw, one)
+                if v[0] >= leak.LEAST:
+                    want[k, o] = v
+        got = {(d, o): v for d, o, v in leak.search(it, x)}
+        assert len(want) >= 36 and got.keys() <= want.keys()
+        assert len(got) >= 0.99 * len(want), (kind, len(got), len(want))
+        assert sum(got[p] == want[p] for p in got) >= 0.99 * len(got), (kind, [(got[p], want[p]) for p in got if got[p] != want[p]])
+
+
+def test_alignment_by_dynamic_programming_takes_back_wrong_turns():
+    def run(item: str, doc: str) -> tuple[int, int, int]:
+        it = leak.Items([0], [item], leak.Cgk())
+        x = T.words([doc])
+        return whole(it, 0, [x.word(k) for k in range(len(x.h))], x)
+
+    words = VOCAB[:40]
+    item = " ".join(words)
+    # an interruption that begins with what could be the next word misspelt, or with the very next words
+    close = words[12][:-2] + words[12][-1] + words[12][-2]
+    assert run(item, " ".join(words[:12] + [close, "zzz"] + words[12:])) == (40, 0, 40)
+    assert run(item, " ".join(words[:12] + [words[12], "zzz", "yyy"] + words[12:])) == (40, 0, 40)
+    assert run(item, " ".join(words[:12] + ["x"] * 60 + words[12:])) == (40, 0, 40)
+    assert run(item, " ".join(words[:12] + ["x"] * 61 + words[12:])) == (28, 12, 40)
+    assert run(item, " ".join(words[:12] + words[13:])) == (27, 13, 40)
+
+
+def test_items_copied_into_many_documents_are_no_formulas():
+    say = random.Random(2)
+    item = " ".join(say.choices(VOCAB, k=100))
+    it = leak.Items([0], [item], leak.Cgk())
+    g = it.grams()[0]
+    it.mark(g)
+    assert it.own[0].all()
+    it.mark(g[:20])
+    assert int((~it.own[0]).sum()) == 31
+
+
+def test_too_many_items(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        leak.leaks(d, spark.createDataFrame([(1, "word " * 100)], "item_id bigint, text string"), item_words=50)
+
+
 def test_embedding_keeps_near_windows_together():
     rng = np.random.default_rng(0)
     c = leak.Cgk(bits=6)

@@ -3,7 +3,7 @@
 Item-sized windows of words are embedded with CGK random walks, which map edit distance to
 Hamming distance; repeated bit sampling gives LSH keys; a document's windows look their keys
 up among the items' windows, and every candidate is verified by an exact edit alignment of the
-words.  Items are a stated query set of bounded size: they go to the documents in blocks, and
+words (dynamic programming over all word pairs that agree).  Items are a stated query set of bounded size: they go to the documents in blocks, and
 the whole search is one pass over the documents without a shuffle.  A first pass counts in how
 many distinct documents each item's word sequences occur, to know procedural formulas.
 """
@@ -26,14 +26,20 @@ WINDOW, STRIDE = 12, 3
 SEED = 6
 #: CGK walks, samples of each walk, positions of a sample.
 WALKS, SAMPLES, BITS = 2, 4, 16
-#: Words in sequence that make a leak; words that an interruption may insert.
-LEAST, INSERTED = 25, 12
+#: Words in sequence that make a leak.
+LEAST = 25
+#: Words that an interruption may insert if RESUMED words agree after it, and if SEED words agree.
+INSERTED, INSERTED_FAR, RESUMED = 12, 60, 2
+#: Own words that the parts of a leak between interruptions have at least, if they follow on one another but for fewer than SEED words.
+FIRST = 9
 #: A sequence of FORMULA words in at least this share of the documents (and FORMULA_LEAST of them) is no own wording.
 FORMULA, FORMULA_SHARE, FORMULA_LEAST = 12, 0.009, 8
+#: ... unless it is part of a stretch of more than so many such words: no formula is so long, an item copied into many documents is.
+FORMULA_MOST = 60
 #: Texts are copies of one another if a band of ROWS minimal hashes of their shingles agrees in any of BANDS.
 SHINGLE, BANDS, ROWS = 5, 4, 2
-#: Words of items sent to the documents at once.
-BLOCK_WORDS = 1_000_000
+#: Words of items sent to the documents at once, and of all items together.
+BLOCK_WORDS, ITEM_WORDS = 1_000_000, 20_000_000
 
 
 class Cgk:
@@ -101,49 +107,15 @@ def similar(a: str, b: str) -> bool:
     return prev[-1] <= 2
 
 
-def extend(iw: list[str], dw: list[str], i: int, j: int, step: int, inserted: int = INSERTED) -> int:
-    """How far the item's words from i on (step 1 or -1) go on in the document's from j on.
+def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, insert: bool | None) -> tuple[np.ndarray, np.ndarray]:
+    """How far alignments from many candidates go, with what hashes, lengths and letters of words tell: the first item word not covered, and the
+    first document word.
 
-    Allowed are misspelt words, words run together or split, and inserted interruptions after which
-    at least two words agree.  Returns the number of item words covered.
+    A word passes for a misspelling by its length and letters only.  ``insert``: where a word may be misspelt or the first of an
+    interruption, it is taken for the interruption; None: all but misspelt words ends an
+    alignment.  i, j: places in it.h and x.h.
     """
-    n, m, i0 = len(iw), len(dw), i
-    get_d = lambda k: dw[k] if 0 <= k < m else None
-    get_i = lambda k: iw[k] if 0 <= k < n else None
-    while 0 <= i < n and 0 <= j < m:
-        if iw[i] == dw[j]:
-            i += step
-            j += step
-            continue
-        ni, nj = get_i(i + step), get_d(j + step)
-        if similar(iw[i], dw[j]) and (ni is None or nj is None or ni == nj or similar(ni, nj)):
-            i += step
-            j += step
-            continue
-        if ni is not None and dw[j] == (iw[i] + ni if step > 0 else ni + iw[i]):
-            i += 2 * step
-            j += step
-            continue
-        if nj is not None and iw[i] == (dw[j] + nj if step > 0 else nj + dw[j]):
-            i += step
-            j += 2 * step
-            continue
-        for g in range(1, inserted + 1):
-            k = j + g * step
-            if get_d(k) == iw[i] and (ni is None or get_d(k + step) == ni or (get_d(k + step) is not None and similar(get_d(k + step), ni))):
-                j = k
-                break
-        else:
-            break
-    return abs(i - i0)
-
-
-def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most: int) -> np.ndarray:
-    """Upper bound of what ``extend`` covers, for many candidates at once: (first word not covered) of the items.
-
-    A word passes for a misspelling by its length and letters only.  i, j: places in it.h and x.h.
-    """
-    o, d = np.searchsorted(it.first, i, "right") - 1, np.searchsorted(x.first, j, "right") - 1
+    o, d = np.searchsorted(it.first, i - (step > 0), "right") - 1, np.searchsorted(x.first, j - (step > 0), "right") - 1
     if step < 0:
         i, j = i - 1, j - 1
     ilo, ihi, dlo, dhi = it.first[o], it.first[o + 1], x.first[d], x.first[d + 1]
@@ -153,14 +125,17 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
     live = np.arange(len(i))
     g = step * np.arange(1, INSERTED + 1)
 
-    for _ in range(most):
+    while True:
         live = live[(i[live] >= ilo[live]) & (i[live] < ihi[live]) & (j[live] >= dlo[live]) & (j[live] < dhi[live])]
         if not len(live):
             break
         eq = it.h[i[live]] == x.h[j[live]]
         k = live[~eq]
         di, dj = np.ones(len(live), np.int64), np.ones(len(live), np.int64)
-        if len(k):
+        if len(k) and insert is None:
+            a, b = i[k], j[k]
+            di[~eq] = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(it.size[a] - size[b]) <= 2)
+        elif len(k):
             a, b = i[k], j[k]
             close = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(it.size[a] - size[b]) <= 2)
             # run together or split words can't be told by hashes: by their lengths
@@ -169,11 +144,14 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
             split = (size[b] + lb == it.size[a]) & ~close & ~joined
             gi, gj = np.where(joined, 2, 1), np.where(split, 2, 1)
             go = close | joined | split
-            m = np.flatnonzero(~go)
+            m = np.arange(len(k)) if insert else np.flatnonzero(~go)
             if len(m):
                 # the nearest place after an interruption where the word comes again
                 q = b[m, None] + g
                 hit = (x.h[np.minimum(np.maximum(q, 0), nd - 1)] == it.h[a[m], None]) & (q >= dlo[k[m], None]) & (q < dhi[k[m], None])
+                if insert:
+                    nxt, q2 = np.minimum(np.maximum(a[m] + step, 0), ni - 1), np.minimum(np.maximum(q + step, 0), nd - 1)
+                    hit &= x.h[q2] == it.h[nxt][:, None]
                 far = hit.argmax(1)
                 found = hit[np.arange(len(m)), far]
                 gi[m[found]], gj[m[found]], go[m[found]] = 1, far[found] + 2, True
@@ -181,57 +159,161 @@ def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, most:
         i[live] += step * di
         j[live] += step * dj
         live = live[di > 0]
-    return i if step > 0 else i + 1
+    return (i, j) if step > 0 else (i + 1, j + 1)
+
+
+def starts(it: Items, x: T.Words, s: np.ndarray, i: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item word, document word, words that agree from there on) to align from: seeds (q, m), and of window pairs (s, i) that hold no
+    seed every diagonal up to three words off on which two words in sequence agree."""
+    w, big, rows = it.cgk.window, np.int64(len(x.h) + 1), np.int64(len(it.h) + 1)
+    # a window pair is settled by a seed on one of its diagonals within it
+    seed = np.sort((q - m + rows) * rows + m)
+    left = np.ones(len(s), bool)
+    for shift in range(-3, 4) if len(seed) else ():
+        key = (s - i + shift + rows) * rows + i
+        at = np.searchsorted(seed, key)
+        left &= ~((at < len(seed)) & (seed[np.minimum(at, len(seed) - 1)] <= key + w - SEED))
+    s, i = s[left], i[left]
+    ps, qs = [m], [q]
+    for shift in range(-3, 4):
+        done = np.zeros(len(s), bool)
+        for a in range(w - 1):
+            p, d = np.minimum(i + a, len(it.h) - 2), np.clip(s + a + shift, 0, len(x.h) - 2)
+            hit = ~done & (it.h[p] == x.h[d]) & (it.h[p + 1] == x.h[d + 1])
+            ps.append(p[hit])
+            qs.append(d[hit])
+            done |= hit
+    known = np.full(sum(map(len, ps)), RESUMED)
+    known[: len(m)] = SEED
+    key, at = np.unique(np.concatenate(ps) * big + np.concatenate(qs), return_index=True)  # of equal ones the seed
+    return key // big, key % big, known[at]
+
+
+def stretches(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, z: np.ndarray, slack: int) -> np.ndarray:
+    """Number of the stretch each alignment (item words lo to hi, document words a to z) belongs to: those of one document and item that are
+    near each other in the document, and of these those that follow on one another in the item but for ``slack`` words."""
+
+    def islands(group: np.ndarray, s: np.ndarray, e: np.ndarray, slack: int) -> np.ndarray:
+        order = np.lexsort((s, group))
+        g, s, e = group[order], s[order], e[order]
+        num = np.cumsum(np.r_[0, g[1:] != g[:-1]])
+        # the furthest end so far within each group: groups are kept apart by an offset
+        off = num * np.int64(max(len(it.h), len(x.h)) + INSERTED_FAR + 99)
+        end = np.maximum.accumulate(e + off) - off
+        out = np.empty(len(g), np.int64)
+        out[order] = np.cumsum(np.r_[0, (num[1:] != num[:-1]) | (s[1:] > end[:-1] + slack)])
+        return out
+
+    near = islands(d * np.int64(len(it.ids)) + o, a, z, INSERTED_FAR + SEED)
+    return islands(near, lo, hi, slack)
+
+
+def promising(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, item, first and last document word, first and last item word) of the stretches whose alignments could hold LEAST own words.
+
+    Most starts go nowhere: they are first followed without interruptions, and those whose stretch has fewer than FIRST own words are left.
+    """
+    own = lambda lo, hi: it.own_before[np.clip(hi, 0, len(it.h))] - it.own_before[np.clip(lo, 0, len(it.h))]
+    d, o = np.searchsorted(x.first, j, "right") - 1, np.searchsorted(it.first, i, "right") - 1
+    for full in (False, True):
+        lo, hi, a, z = i.copy(), i + known, j.copy(), j + known
+        # where one way ends another may go on
+        for ways in ((False, True, False), (True, False, True)) if full else ((None,),):
+            i0, j0, i1, j1 = i, j, i + known, j + known
+            for insert in ways:
+                i1, j1 = reach(it, x, i1, j1, 1, insert)
+                i0, j0 = reach(it, x, i0, j0, -1, insert)
+            lo, hi, a, z = np.minimum(lo, i0), np.maximum(hi, i1), np.minimum(a, j0), np.maximum(z, j1)
+        if not len(i):
+            return (i,) * 6
+        num = stretches(it, x, d, o, lo, hi, a, z, 0 if full else SEED - 1)
+        order = np.argsort(num, kind="stable")
+        at = np.flatnonzero(np.r_[True, num[order][1:] != num[order][:-1]])
+        low, top = np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
+        k = own(low, top) >= (LEAST if full else FIRST)
+        if full:
+            return d[order][at][k], o[order][at][k], np.minimum.reduceat(a[order], at)[k], np.maximum.reduceat(z[order], at)[k], low[k], top[k]
+        keep = k[num]
+        i, j, known, d, o = i[keep], j[keep], known[keep], d[keep], o[keep]
+    raise AssertionError
+
+
+def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close: np.ndarray, li: np.ndarray, ld: np.ndarray, bi: np.ndarray, bd: np.ndarray) -> tuple[int, int, int]:
+    """(own words, first item word, last item word + 1) of the best alignment of consecutive item words with document words in order.
+
+    Exact, by dynamic programming over the word pairs that agree.  Agreeing are equal words, and, beside an equal pair on their diagonal,
+    misspelt ones (``similar``); two words may be run together, or one split.  Between item words the document may
+    have up to INSERTED words more if RESUMED words agree after them, one of them equal, or up to INSERTED_FAR if SEED equal ones follow.
+    eq, close: which pairs are equal, or may be misspelt by their letters; li, ld: sizes of words; bi, bd: their letters.
+    """
+    n, m = eq.shape
+    near = np.zeros_like(eq)
+    near[1:, 1:] |= eq[:-1, :-1]
+    near[:-1, :-1] |= eq[1:, 1:]
+    ok = eq.copy()
+    for a, b in zip(*np.nonzero(close & near & ~eq)):
+        ok[a, b] = similar(iw[a], dw[b])
+    two = np.zeros_like(eq)  # RESUMED words agree from here on; at the item's end one will do
+    two[:-1, :-1] = ok[:-1, :-1] & ok[1:, 1:] & (eq[:-1, :-1] | eq[1:, 1:])
+    two[-1] = eq[-1]
+    run = np.zeros((n + 1, m + 1), np.int16)
+    for a in range(n - 1, -1, -1):
+        run[a, :m] = np.where(eq[a], run[a + 1, 1:] + 1, 0)
+    cells: dict[int, list[int]] = {}
+    for a, b in zip(*(v.tolist() for v in np.nonzero(ok))):
+        cells.setdefault(a, []).append(b)
+    both: dict[int, list[tuple[int, int, int]]] = {}  # last row: (last column, rows, columns)
+    for a, b in zip(*np.nonzero((li[:-1, None] + li[1:, None] == ld[None, :]) & (bi[:-1, None] | bi[1:, None] == bd[None, :]))):
+        if iw[a] + iw[a + 1] == dw[b]:
+            both.setdefault(int(a) + 1, []).append((int(b), 2, 1))
+    for a, b in zip(*np.nonzero((li[:, None] == ld[None, :-1] + ld[None, 1:]) & (bi[:, None] == bd[None, :-1] | bd[None, 1:]))):
+        if iw[a] == dw[b] + dw[b + 1]:
+            both.setdefault(int(a), []).append((int(b) + 1, 1, 2))
+    before = np.r_[0, np.cumsum(own)]
+    best = (0, 0, 0)
+    rows: dict[int, dict[int, int]] = {}  # row: column: the earliest item word from which on all are covered
+    for a in range(n):
+        row, up = {}, rows.get(a - 1, {})
+        for b in cells.get(a, ()):
+            lo = min(a, up.get(b - 1, a))
+            if up and two[a, b]:
+                far = INSERTED_FAR if run[a, b] >= SEED else INSERTED
+                for c, v in up.items():
+                    if v < lo and 2 <= b - c <= far + 1:
+                        lo = v
+            row[b] = lo
+        for b, da, db in both.get(a, ()):
+            lo = min(a - da + 1, rows.get(a - da, {}).get(b - db, a - da + 1))
+            row[b] = min(lo, row.get(b, lo))
+        if row:
+            rows[a] = row
+            lo = min(row.values())
+            v = int(before[a + 1] - before[lo])
+            if v > best[0]:
+                best = (v, lo, a + 1)
+    return best
 
 
-def promising(it: Items, x: T.Words, s: np.ndarray, i: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Candidates (document word s, item word i, words of the window) whose alignment could hold LEAST own words."""
-    keep, left = np.zeros(len(s), bool), np.ones(len(s), bool)
-    for shift in (0, 1, -1, 2, -2, 3, -3):
-        todo = np.flatnonzero(left)
-        if not len(todo):
-            break
-        # the first two words in sequence that agree on this diagonal
-        at = np.full(len(todo), -1)
-        for a in range(int(window.max()) - 2, -1, -1):
-            p, q = np.minimum(i[todo] + a, len(it.h) - 2), np.minimum(np.maximum(s[todo] + a + shift, 0), len(x.h) - 2)
-            at = np.where((it.h[p] == x.h[q]) & (it.h[p + 1] == x.h[q + 1]) & (a + 2 <= window[todo]), a, at)
-        on = at >= 0
-        todo, at = todo[on], at[on]
-        p, q = i[todo] + at, s[todo] + at + shift
-        inside = (q >= 0) & (np.searchsorted(x.first, q, "right") == np.searchsorted(x.first, s[todo], "right"))
-        todo, p, q = todo[inside], p[inside], q[inside]
-        # an alignment from here also reaches the other diagonals, over what is inserted
-        left[todo] = False
-        if not len(todo):
-            continue
-        hi = reach(it, x, p, q, 1, 2 * LEAST)
-        lo = reach(it, x, p, q, -1, 2 * LEAST)
-        keep[todo] = it.own_before[np.clip(hi, 0, len(it.h))] - it.own_before[np.clip(lo, 0, len(it.h))] >= LEAST
-    return np.flatnonzero(keep)
-
-
-def verify(iw: list[str], own: np.ndarray, dw: list[str], i: int, j: int, window: int = WINDOW) -> tuple[int, int, int]:
-    """(own words in sequence, first and last item word) of the alignment around a candidate window.
-
-    The window pair needn't be equal: the alignment starts at any word pair within it that agrees.
+def verified(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, j0: np.ndarray, j1: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+    """(document, item, alignment) of the stretches that hold LEAST own words: of each document and item the best.
+
+    The parts of item and document that are aligned are those the stretch can reach.
     """
-    best = (0, i, i)
-    tried = set()
-    for a in range(i, min(i + window, len(iw))):
-        for b in range(max(j, a - i + j - 3), min(j + window, a - i + j + 4, len(dw))):
-            if iw[a] != dw[b] or (b - a) in tried:
-                continue
-            tried.add(b - a)
-            right = extend(iw, dw, a, b, 1)
-            left = extend(iw, dw, a - 1, b - 1, -1)
-            lo, hi = a - left, a + right
-            n = int(own[lo:hi].sum())
-            if n > best[0]:
-                best = (n, lo, hi)
-            if n >= LEAST:
-                return best
-    return best
+    size = x.z - x.a
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for dk, ok, a, z, l, h in zip(d.tolist(), o.tolist(), j0.tolist(), j1.tolist(), lo.tolist(), hi.tolist()):
+        # and a little more: single words beyond an interruption
+        ia, iz = max(int(it.first[ok]), l - SEED), min(int(it.first[ok + 1]), h + SEED)
+        da, dz = max(int(x.first[dk]), a - SEED - INSERTED), min(int(x.first[dk + 1]), z + SEED + INSERTED)
+        eq = it.h[ia:iz, None] == x.h[None, da:dz]
+        close = (np.bitwise_count(it.bag[ia:iz, None] ^ x.bag[None, da:dz]) <= 4) & (np.abs(it.size[ia:iz, None] - size[None, da:dz]) <= 2)
+        off = int(it.first[ok])
+        v = align(it.words[ok][ia - off : iz - off], it.own[ok][ia - off : iz - off], [x.word(k) for k in range(da, dz)], eq, close, it.size[ia:iz], size[da:dz], it.bag[ia:iz], x.bag[da:dz])
+        v = (v[0], v[1] + ia - off, v[2] + ia - off)
+        if v[0] >= LEAST and v[0] > found.get((dk, ok), (0, 0, 0))[0]:
+            found[dk, ok] = v
+    for (dk, ok), v in sorted(found.items()):
+        yield dk, ok, v
 
 
 class Items:
@@ -263,6 +345,10 @@ class Items:
         off = np.zeros(len(self.h), bool)
         for k in at[np.isin(g, formulas)]:
             off[k : k + n] = True
+        edge = np.flatnonzero(np.diff(np.r_[0, off.astype(np.int8), 0]))
+        for a, z in zip(edge[::2], edge[1::2]):
+            if z - a > FORMULA_MOST:
+                off[a:z] = False
         for j, (a, z) in enumerate(zip(self.first[:-1], self.first[1:])):
             self.own[j] = ~off[a:z]
 
@@ -356,17 +442,18 @@ def formulas(documents: DataFrame, items: list[Items], doc: str, text: str, shar
 
 def leaks(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    share: float = FORMULA_SHARE, least: int = FORMULA_LEAST, block_words: int = BLOCK_WORDS,
+    share: float = FORMULA_SHARE, least: int = FORMULA_LEAST, block_words: int = BLOCK_WORDS, item_words: int = ITEM_WORDS,
 ) -> DataFrame:
-    """doc, item, words (own words in sequence), first_word, last_word (in the item): one row per leak.
+    """doc, item, words (own words in sequence), first_word, last_word (in the item, the last one exclusive): the longest stretch of each leak.
 
     Null and empty texts leak nothing; items of fewer than LEAST own words can't leak.  Repeated
-    documents each give their rows; extra columns are ignored.  No documents, or no items: no rows.
+    documents each give their rows; extra columns are ignored.  No documents, or no items: no rows.  Items of more than
+    ``item_words`` words in all are no bounded query set: ValueError.
     """
     spark = documents.sparkSession
     cgk = Cgk()
     held: list[Items] = []
-    ids, texts, size = [], [], 0
+    ids, texts, size, total = [], [], 0, 0
 
     def flush() -> None:
         nonlocal ids, texts, size
@@ -379,65 +466,60 @@ def leaks(
         ids.append(r["i"])
         texts.append(r["t"])
         size += len(r["t"]) // 5
+        total += len(r["t"]) // 5
+        if total > item_words:
+            raise ValueError(f"more than {item_words} words of items: give them in parts")
         if size > block_words:
             flush()
     flush()
     src = spread(documents.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).where(F.length("_t") > 0))
     kinds = (documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString())
     schema = f"`{doc}` {kinds[0]}, `{item}` {kinds[1]}, words bigint, first_word bigint, last_word bigint"
-    found = formulas(src, held, "_d", "_t", share, least)
     out = None
     for it in held:
-        it.mark(found)
+        it.mark(formulas(src, [it], "_d", "_t", share, least))
         it.index()
         part = src.mapInArrow(_search(spark.sparkContext.broadcast(it)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def search(it: Items, x: T.Words) -> list[tuple[int, int, tuple[int, int, int]]]:
+    """(text, item, alignment) of all leaks in a block of texts."""
+    w, c, n = it.cgk.window, it.cgk, np.diff(x.first)
+    # windows every STRIDE words, and the last one of each text
+    per = np.where(n >= w, (n - w) // STRIDE + 1, 0)
+    d = np.repeat(np.arange(len(n)), per)
+    k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    start = np.r_[x.first[:-1][d] + k * STRIDE, (x.first[1:] - w)[n >= w]]
+    rows = np.int64(max(1, len(it.start)))
+    pairs = [np.zeros(0, np.int64)]
+    for lo in range(0, len(start), 1 << 16):
+        s = start[lo : lo + (1 << 16)]
+        for table, keys in zip(it.tables, c.keys(x.h, s)):
+            q, m = table.find(keys)
+            pairs.append(s[q] * rows + m)
+    pair = np.unique(np.concatenate(pairs))
+    s, i = pair // rows, it.start[pair % rows] if len(it.start) else pair
+    q, m = it.seeds.find(T.ngrams(x.h, SEED))
+    inside = x.first[np.searchsorted(x.first, q, "right")] - q >= SEED
+    q, m = q[inside], it.seed_at[m[inside]]
+    # of seeds that go on from one another the first is enough
+    key = np.sort(q * (len(it.h) + 1) + m)
+    key = key[~np.isin(key, key + len(it.h) + 2, kind="sort")]
+    q, m = key // (len(it.h) + 1), key % (len(it.h) + 1)
+    if not len(s) and not len(q):
+        return []
+    return list(verified(it, x, *promising(it, x, *starts(it, x, s, i, q, m))))
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = shared.value
-        w, c = it.cgk.window, it.cgk
         for b in batches:
             docs, rows = b.column(0), []
             for at, ts in T.blocks(b.column(1)):
-                x = T.words(ts)
-                n = np.diff(x.first)
-                # windows every STRIDE words, and the last one of each text
-                per = np.where(n >= w, (n - w) // STRIDE + 1, 0)
-                d = np.repeat(np.arange(len(n)), per)
-                k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                start = np.r_[x.first[:-1][d] + k * STRIDE, (x.first[1:] - w)[n >= w]]
-                cand = []
-                for lo in range(0, len(start), 1 << 16):
-                    s = start[lo : lo + (1 << 16)]
-                    for table, keys in zip(it.tables, c.keys(x.h, s)):
-                        q, m = table.find(keys)
-                        if len(q):
-                            cand.append((s[q], m))
-                pair = np.unique(np.concatenate([c[0] * len(it.start) + c[1] for c in cand])) if cand else np.zeros(0, np.int64)
-                s, i = pair // max(1, len(it.start)), it.start[pair % max(1, len(it.start))] if len(it.start) else pair
-                q, m = it.seeds.find(T.ngrams(x.h, SEED))
-                inside = x.first[np.searchsorted(x.first, q, "right")] - q >= SEED
-                q, m = q[inside], it.seed_at[m[inside]]
-                # of seeds that go on from one another the first is enough
-                key = np.sort(q * (len(it.h) + 1) + m)
-                key = key[~np.isin(key, key + len(it.h) + 2, kind="sort")]
-                q, m = key // (len(it.h) + 1), key % (len(it.h) + 1)
-                size = np.r_[np.full(len(s), w), np.full(len(q), SEED)]
-                s, i = np.r_[s, q], np.r_[i, m]
-                if not len(s):
-                    continue
-                good = promising(it, x, s, i, size)
-                if not len(good):
-                    continue
-                s, i, size = s[good], i[good], size[good]
-                d = np.searchsorted(x.first, s, "right") - 1
-                own = np.searchsorted(it.first, i, "right") - 1
-                diag = (s - x.first[d]) - (i - it.first[own])
-                order = np.lexsort((s, diag, own, d))
-                rows += [(at + a, o, v) for a, o, v in _verified(it, x, d[order], own[order], s[order], i[order], size[order])]
+                rows += [(at + a, o, v) for a, o, v in search(it, T.words(ts))]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array([r[0] for r in rows])), pa.array([it.ids[r[1]] for r in rows])] + [pa.array([r[2][k] for r in rows], pa.int64()) for k in range(3)],
@@ -445,29 +527,3 @@ def _search(shared):
                 )
 
     return run
-
-
-def _verified(it: Items, x: T.Words, d: np.ndarray, own: np.ndarray, s: np.ndarray, at: np.ndarray, size: np.ndarray):
-    """The candidates of each (document, item) in turn until one is a leak, or all are not."""
-    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (own[1:] != own[:-1]), True])
-    text_of, dw = -1, []
-    for a, z in zip(cut[:-1], cut[1:]):
-        doc, o = int(d[a]), int(own[a])
-        if it.own[o].sum() < LEAST:
-            continue
-        if text_of != doc:
-            dw = [x.word(k) for k in range(x.first[doc], x.first[doc + 1])]
-            text_of = doc
-        best, seen = (0, 0, 0), set()
-        for k in range(a, z):
-            i, j, w = int(at[k] - it.first[o]), int(s[k] - x.first[doc]), int(size[k])
-            if any(i0 <= i and i + w <= i1 and g == j - i for i0, i1, g in seen):
-                continue  # inside an alignment already followed
-            v = verify(it.words[o], it.own[o], dw, i, j, w)
-            seen.add((v[1], v[2], j - i))
-            if v[0] > best[0]:
-                best = v
-            if best[0] >= LEAST:
-                break
-        if best[0] >= LEAST:
-            yield doc, o, best
