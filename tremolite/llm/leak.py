@@ -107,18 +107,18 @@ def similar(a: str, b: str) -> bool:
     return prev[-1] <= 2
 
 
-def reach(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, step: int, insert: bool | None) -> tuple[np.ndarray, np.ndarray]:
+def reach(it: Items, x: T.Words, bounds: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, step: int, insert: bool | None) -> tuple[np.ndarray, np.ndarray]:
     """How far alignments from many candidates go, with what hashes, lengths and letters of words tell: the first item word not covered, and the
     first document word.
 
     A word passes for a misspelling by its length and letters only.  ``insert``: where a word may be misspelt or the first of an
     interruption, it is taken for the interruption; None: all but misspelt words ends an
-    alignment.  i, j: places in it.h and x.h.
+    alignment.  i, j: places in it.h and x.h; bounds: the first and last
+    such places + 1 of each item and document.
     """
-    o, d = np.searchsorted(it.first, i - (step > 0), "right") - 1, np.searchsorted(x.first, j - (step > 0), "right") - 1
+    ilo, ihi, dlo, dhi = bounds
     if step < 0:
         i, j = i - 1, j - 1
-    ilo, ihi, dlo, dhi = it.first[o], it.first[o + 1], x.first[d], x.first[d + 1]
     ni, nd = len(it.h), len(x.h)
     size = x.z - x.a
     i, j = i.copy(), j.copy()
@@ -216,16 +216,17 @@ def promising(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, known: np.nda
     own = lambda lo, hi: it.own_before[np.clip(hi, 0, len(it.h))] - it.own_before[np.clip(lo, 0, len(it.h))]
     d, o = np.searchsorted(x.first, j, "right") - 1, np.searchsorted(it.first, i, "right") - 1
     for full in (False, True):
+        if not len(i):
+            return (i,) * 6
+        bounds = it.first[o], it.first[o + 1], x.first[d], x.first[d + 1]
         lo, hi, a, z = i.copy(), i + known, j.copy(), j + known
         # where one way ends another may go on
-        for ways in ((False, True, False), (True, False, True)) if full else ((None,),):
+        for ways in ((False, True), (True, False)) if full else ((None,),):
             i0, j0, i1, j1 = i, j, i + known, j + known
             for insert in ways:
-                i1, j1 = reach(it, x, i1, j1, 1, insert)
-                i0, j0 = reach(it, x, i0, j0, -1, insert)
-            lo, hi, a, z = np.minimum(lo, i0), np.maximum(hi, i1), np.minimum(a, j0), np.maximum(z, j1)
-        if not len(i):
-            return (i,) * 6
+                i1, j1 = reach(it, x, bounds, i1, j1, 1, insert)
+                i0, j0 = reach(it, x, bounds, i0, j0, -1, insert)
+            lo, hi, a, z = np.minimum(lo, i0), np.maximum(hi, i1), np.minimum(a, np.maximum(j0, bounds[2])), np.maximum(z, np.minimum(j1, bounds[3]))
         num = stretches(it, x, d, o, lo, hi, a, z, 0 if full else SEED - 1)
         order = np.argsort(num, kind="stable")
         at = np.flatnonzero(np.r_[True, num[order][1:] != num[order][:-1]])
@@ -239,7 +240,8 @@ def promising(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, known: np.nda
 
 
 def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close: np.ndarray, li: np.ndarray, ld: np.ndarray, bi: np.ndarray, bd: np.ndarray) -> tuple[int, int, int]:
-    """(own words, first item word, last item word + 1) of the best alignment of consecutive item words with document words in order.
+    """(own words, first item word, last item word + 1) of the best alignment of consecutive item words with document words in order; zeros
+    where it has fewer than LEAST own words.
 
     Exact, by dynamic programming over the word pairs that agree.  Agreeing are equal words, and, beside an equal pair on their diagonal,
     misspelt ones (``similar``); two words may be run together, or one split.  Between item words the document may
@@ -253,6 +255,21 @@ def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close:
     ok = eq.copy()
     for a, b in zip(*np.nonzero(close & near & ~eq)):
         ok[a, b] = similar(iw[a], dw[b])
+    both: dict[int, list[tuple[int, int, int]]] = {}  # last row: (last column, rows, columns)
+    for a, b in zip(*np.nonzero((li[:-1, None] + li[1:, None] == ld[None, :]) & (bi[:-1, None] | bi[1:, None] == bd[None, :]))):
+        if iw[a] + iw[a + 1] == dw[b]:
+            both.setdefault(int(a) + 1, []).append((int(b), 2, 1))
+    for a, b in zip(*np.nonzero((li[:, None] == ld[None, :-1] + ld[None, 1:]) & (bi[:, None] == bd[None, :-1] | bd[None, 1:]))):
+        if iw[a] == dw[b] + dw[b + 1]:
+            both.setdefault(int(a), []).append((int(b) + 1, 1, 2))
+    # an item word with which nothing agrees ends every alignment
+    some = ok.any(1)
+    for a, bs in both.items():
+        some[a - max(b[1] for b in bs) + 1 : a + 1] = True
+    before = np.r_[0, np.cumsum(own)]
+    edge = np.flatnonzero(np.diff(np.r_[0, some.astype(np.int8), 0]))
+    if not len(edge) or (before[edge[1::2]] - before[edge[::2]]).max() < LEAST:
+        return (0, 0, 0)
     two = np.zeros_like(eq)  # RESUMED words agree from here on; at the item's end one will do
     two[:-1, :-1] = ok[:-1, :-1] & ok[1:, 1:] & (eq[:-1, :-1] | eq[1:, 1:])
     two[-1] = eq[-1]
@@ -262,14 +279,6 @@ def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close:
     cells: dict[int, list[int]] = {}
     for a, b in zip(*(v.tolist() for v in np.nonzero(ok))):
         cells.setdefault(a, []).append(b)
-    both: dict[int, list[tuple[int, int, int]]] = {}  # last row: (last column, rows, columns)
-    for a, b in zip(*np.nonzero((li[:-1, None] + li[1:, None] == ld[None, :]) & (bi[:-1, None] | bi[1:, None] == bd[None, :]))):
-        if iw[a] + iw[a + 1] == dw[b]:
-            both.setdefault(int(a) + 1, []).append((int(b), 2, 1))
-    for a, b in zip(*np.nonzero((li[:, None] == ld[None, :-1] + ld[None, 1:]) & (bi[:, None] == bd[None, :-1] | bd[None, 1:]))):
-        if iw[a] == dw[b] + dw[b + 1]:
-            both.setdefault(int(a), []).append((int(b) + 1, 1, 2))
-    before = np.r_[0, np.cumsum(own)]
     best = (0, 0, 0)
     rows: dict[int, dict[int, int]] = {}  # row: column: the earliest item word from which on all are covered
     for a in range(n):
