@@ -276,3 +276,28 @@ def test_spikes_of_a_noisy_recorder_are_held_against_the_channel(spark):
     runs = spark.createDataFrame([(1, "A", 100.0, "m/s2"), (2, "A", 100.0, "m/s2")], "run_id bigint, id string, fs double, units string")
     got = {r["t_us"] for r in spikes.flagged(readings, runs, shard=512).collect() if r["reason"] == "spike"}
     assert {int(k) * 10_000 + 2 * 10**9 for k in at} <= got and not any(t < 2 * 10**9 for t in got)
+
+
+def test_offsets_of_absolute_quantities(spark):
+    df = spark.createDataFrame([(1, 0.0, "degC", "K"), (2, 32.0, "degF", "degC"), (3, 300.0, "K", "degF"), (4, 1013.25, "mbar", "pascals"), (5, 1.0, "nonsense", "K"), (6, None, "K", "K"), (7, 1.0, "K", "Pa"), (8, 1.0, None, None), (9, -40.0, "deg F", "Celsius")], "k int, x double, u string, w string")
+    got = {r["k"]: r["y"] for r in unitgraph.convert(df, "x", "u", "w", "y").collect()}
+    want = {1: 273.15, 2: 0.0, 3: 80.33, 4: 101325.0, 5: None, 6: None, 7: None, 8: None, 9: -40.0}
+    assert got.keys() == want.keys() and all(v is None if want[k] is None else v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+    si = {r["k"]: (r["si_units"], r["si_value"]) for r in unitgraph.convert(df, "x", "u").collect()}
+    assert si[2] == ("K", pytest.approx(273.15)) and si[5] == (None, None) and len(si) == 9
+    assert unitgraph.convert(df.limit(0), "x", "u").count() == 0
+
+
+def test_losses_name_what_the_table_cannot_keep(spark):
+    files = spark.createDataFrame([(1, "P", 1), (2, "P", 2)], "file_id bigint, producer string, w int").withColumn("written", F.timestamp_seconds("w"))
+    rows = [(k, 1, f'{{"id": "c{k}", "loc": {{"elev": {k}.5}}}}') for k in range(1, 6)]
+    rows[4] = (5, 1, '{"id": "c5", "loc": {"elev": "no idea"}}')
+    rows += [(10 + k, 2, f'{{"id": "c{k}", "loc": {{"el": {k}.5}}}}') for k in range(1, 5)]
+    rows += [(20, 1, '{"id": "c9", "loc": {"elev": 7, "el": 8}}'), (21, 1, "broken"), (22, 1, None), (23, 1, "[1]"), (24, 1, '{"loc": NaN}')]
+    rec = spark.createDataFrame(rows, "line_id bigint, file_id bigint, raw string")
+    got = sorted(tuple(r) for r in drift.losses(rec, files).collect())
+    assert (5, 1, "loc.elev", "loc.el", "cast", "no idea") in got
+    table = {r["line_id"]: r["loc"] for r in drift.consistent_table(rec, files).collect()}
+    assert table[1] == {"el": "1.5"} and table[5] == {"el": None} and 21 not in table
+    if len(table[20]) == 1:  # both fields have one canonical name
+        assert table[20] == {"el": "8.0"} and (20, 1, "loc.elev", "loc.el", "collision", "7") in got

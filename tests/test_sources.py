@@ -124,6 +124,19 @@ def test_store_modes(spark, tmp_path):
         store.write(rows(("A.B..Z", 0, 9.0)), path)
 
 
+def test_store_keeps_ids_of_any_shape(spark, tmp_path):
+    from tremolite.sources import store
+
+    path = str(tmp_path / "s")
+    rows = lambda *v: spark.createDataFrame(v, "id string, t_us bigint, x double")
+    ids = ("click", "007", "007.1", "", None, "A.B..Z")
+    store.write(rows(*[(i, t, 1.0) for i in ids for t in (0, 1, 2)]), path)
+    store.write(rows(*[(i, 1, 5.0) for i in ids]), path, "ovr")
+    store.write(rows(*[(i, 3, 7.0) for i in ids]), path, "add")
+    got = store.read(spark, path).collect()
+    assert sorted((str(r["id"]), r["t_us"], r["x"]) for r in got) == sorted((str(i), t, x) for i in ids for t, x in ((0, 1.0), (1, 5.0), (2, 1.0), (3, 7.0)))
+
+
 def mixed(n: int = 40) -> tuple[bytes, int]:
     """Records of 512, 4096 and 256 bytes in turn, with their number of samples."""
     rng = np.random.default_rng(4)

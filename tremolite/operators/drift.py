@@ -4,19 +4,22 @@ Every file gets a versioned schema fingerprint; the steps from one file of a pro
 next (added, removed, renamed, retyped) are explicit rows; records are then routed through the
 chained rename, default and cast rules of all later steps into one consistent table.
 
-Records are exploded into (file, channel, field, type, value) with JVM-side VARIANT functions;
-everything after that is equi-joins and pre-aggregated counts.
+Records are exploded into (file, channel, field, type, value), parsed once by an Arrow kernel (JSON types have to be told
+apart, for which built-in functions parse a record several times over); everything after that is equi-joins and
+pre-aggregated counts.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolite.session import stored
+from tremolite.session import spread, stored
 
 #: A gone and a new field are one renamed field if at least this share of the channels that hold both agree.
 RENAME_SHARE = 0.6
@@ -25,28 +28,59 @@ RENAME_LEAST = 2
 GROUPS = ("loc", "resp", "misc")
 
 
+def _kind(v) -> str | None:
+    """The JSON type of a value, null's being None."""
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, (int, float)):
+        return "number"
+    return {str: "string", dict: "object", list: "array"}[type(v)]
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def fields_of(records: DataFrame) -> DataFrame:
     """line_id, file_id, id, field ('group.key'), kind (JSON type), value (text; null for JSON null).
 
     Nested and flat layouts give the same rows.  Broken lines, and lines that are no object,
-    give none; keys outside the groups are ignored.
+    give none; keys outside the groups are ignored; of a key given twice the last value counts.
     """
-    # a record is parsed once: no filter repeats the parse, and an unreadable line explodes to nothing
-    m = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
-    x = records.select("line_id", "file_id", m.alias("_m"))
-    x = x.select("line_id", "file_id", F.try_variant_get(F.try_element_at("_m", F.lit("id")), "$", "string").alias("id"), F.explode_outer("_m").alias("_k", "_v"))
-    inner = F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))
-    pair = lambda k, v: F.struct(k.alias("field"), v.alias("v"))
-    nested = F.transform(inner, lambda e: pair(F.concat_ws(".", F.col("_k"), e["key"]), e["value"]))
-    rows = F.when(F.col("_k").isin(*GROUPS), nested).when(F.col("_k").rlike(rf"^(?:{'|'.join(GROUPS)})\."), F.array(pair(F.col("_k"), F.col("_v"))))
-    x = x.select("line_id", "file_id", "id", F.inline_outer(rows)).where(F.col("field").isNotNull())
-    x = x.select("line_id", "file_id", "id", "field", "v", F.when(F.col("v").isNotNull() & ~F.is_variant_null("v"), F.schema_of_variant("v")).alias("_s"))
-    s = F.col("_s")
-    return x.select(
-        "line_id", "file_id", "id", "field",
-        F.when(s.isNull(), None).when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").otherwise("number").alias("kind"),
-        F.when(s.isNotNull(), F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v"))).alias("value"),
-    )
+    flat = tuple(f"{g}." for g in GROUPS)
+    dump = lambda v: json.dumps(v, separators=(",", ":"), ensure_ascii=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, ids, fields, kinds, values = [], [], [], [], []
+            for n, raw in enumerate(b.column(2).to_pylist()):
+                try:
+                    m = json.loads(raw, parse_constant=_constant) if raw else None
+                except (ValueError, RecursionError):
+                    continue
+                if type(m) is not dict:
+                    continue
+                who = m.get("id")
+                who = who if who is None or isinstance(who, str) else dump(who)
+                for k, v in m.items():
+                    if k in GROUPS:
+                        inner = [(f"{k}.{q}", w) for q, w in v.items()] if type(v) is dict else ()
+                    else:
+                        inner = ((k, v),) if k.startswith(flat) else ()
+                    for f, w in inner:
+                        row.append(n)
+                        ids.append(who)
+                        fields.append(f)
+                        kinds.append(_kind(w))
+                        values.append(w if w is None or isinstance(w, str) else dump(w))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(ids, pa.string()), pa.array(fields, pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["line_id", "file_id", "id", "field", "kind", "value"])
+
+    kept = records.select("line_id", "file_id", "raw")
+    one, two = (kept.schema[c].dataType.simpleString() for c in ("line_id", "file_id"))
+    return spread(kept).mapInArrow(run, f"line_id {one}, file_id {two}, id string, field string, kind string, value string")
 
 
 def plain_value(value, kind):
@@ -56,14 +90,18 @@ def plain_value(value, kind):
     return F.when(F.lower(s).isin("", "n/a", "null", "none"), None).otherwise(F.coalesce(n.cast("string"), F.lower(s)))
 
 
+def hashed(fields: DataFrame) -> DataFrame:
+    """file_id, channel, field, kind, v: fields with 64-bit hashes of their channel and plain value."""
+    plain = plain_value(F.col("value"), F.col("kind"))
+    return fields.select("file_id", F.when(F.col("id").isNotNull(), F.xxhash64("id")).alias("channel"), "field", "kind", F.when(plain.isNotNull(), F.xxhash64(plain)).alias("v"))
+
+
 def values_of(records: DataFrame) -> DataFrame:
-    """file_id, channel, field, kind, v: every non-null field of a record, with 64-bit hashes of its channel and plain value.
+    """``hashed`` of every non-null field of all records.
 
     Records are parsed once: the narrow table is stored, and everything else is made from it.
     """
-    plain = plain_value(F.col("value"), F.col("kind"))
-    f = fields_of(records).where(F.col("kind").isNotNull())
-    return stored(f.select("file_id", F.when(F.col("id").isNotNull(), F.xxhash64("id")).alias("channel"), "field", "kind", F.when(plain.isNotNull(), F.xxhash64(plain)).alias("v")))
+    return stored(hashed(fields_of(records).where(F.col("kind").isNotNull())))
 
 
 def file_fields(values: DataFrame) -> DataFrame:
@@ -105,9 +143,9 @@ def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, l
     field whose type changes as well is one 'renamed' row.  A producer's first file has no changes.
     A file without readable records has removed everything.
     """
-    chain = file_chain(files)
     values = values_of(records) if values is None else values
-    ff = file_fields(values)
+    # both narrow and used several times
+    chain, ff = stored(file_chain(files)), stored(file_fields(values))
     now = ff.join(chain.where(F.col("prev_file").isNotNull()).select("file_id"), "file_id").select("file_id", "field", F.col("kind").alias("new_type"))
     was = ff.join(chain.where(F.col("next_file").isNotNull()).select("file_id", "next_file"), "file_id").select(F.col("next_file").alias("file_id"), "field", F.col("kind").alias("old_type"))
     d = was.join(now, ["file_id", "field"], "full").where(~F.col("old_type").eqNullSafe(F.col("new_type")))
@@ -168,20 +206,52 @@ def migration_rules(changed: DataFrame, fields: DataFrame, files: DataFrame) ->
     return have.unionByName(ren).groupBy("producer").applyInPandas(rules, "file_id bigint, field string, canonical string, target string, steps int")
 
 
+def routed(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """fields with canonical, target and v, the value cast by the rules: numbers as numbers' text, a single value where an array or
+    object of one was delivered, null where a cast is impossible."""
+    f = fields.join(rules, ["file_id", "field"])
+    # a list of one or a wrapped value becomes the bare value where the target is a scalar, and is kept otherwise
+    bare = F.regexp_replace("value", r'^[\[{](?:"(?:value|items)":)?"?([^,"\[\]{}]*)"?[\]}]$', "$1")
+    v = F.when(F.col("target") == "number", bare.try_cast("double").cast("string")).when(F.col("target").isin("string", "boolean"), bare).otherwise(F.col("value"))
+    return f.withColumn("v", v)
+
+
+def _parsed(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fields of records, hashed values, rules), all from one parse, whose rows are stored."""
+    f = stored(fields_of(records).where(F.col("kind").isNotNull()))
+    values = hashed(f)
+    return f, values, migration_rules(changes(records, files, values=values), file_fields(values), files)
+
+
 def consistent_table(records: DataFrame, files: DataFrame) -> DataFrame:
     """line_id, file_id, producer, version, id, loc, resp, misc: all readable records in one schema.
 
-    The maps hold canonical field names and values cast by the rules: numbers as numbers' text, a single
-    value where an array or object of one was delivered, null ('default') where a cast is impossible.
+    The maps hold canonical field names and values as ``routed``.  Where two fields of a line have one canonical name, a value that could be
+    cast goes before none, then the field that has that name itself, then the first in the alphabet; ``losses`` reports what gives way.
     """
-    values = values_of(records)
-    rules = migration_rules(changes(records, files, values=values), file_fields(values), files)
-    f = fields_of(records).where(F.col("kind").isNotNull()).join(rules, ["file_id", "field"])
-    # a list of one or a wrapped value becomes the bare value where the target is a scalar, and is kept otherwise
-    bare = F.regexp_replace("value", r'^[\[{](?:"(?:value|items)":)?"?([^,"\[\]{}]*)"?[\]}]$', "$1")
-    v = F.when(F.col("target") == "number", bare.try_cast("double").cast("string")).when(F.col("target").isin("string", "boolean"), bare).otherwise(F.col("value"))
-    f = f.select("line_id", "file_id", "id", F.split_part("canonical", F.lit("."), F.lit(1)).alias("g"), F.regexp_replace("canonical", r"^[^.]*\.", "").alias("k"), v.alias("v"))
+    fields, values, rules = _parsed(records, files)
+    f = routed(fields, rules)
+    f = f.select("line_id", "file_id", "id", "field", "canonical", F.split_part("canonical", F.lit("."), F.lit(1)).alias("g"), F.regexp_replace("canonical", r"^[^.]*\.", "").alias("k"), "v")
     ent = lambda g: F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("g") == g, F.struct("k", "v")))))
-    f = f.groupBy("line_id", "file_id", "id", "g", "k").agg(F.min("v").alias("v"))
+    f = f.groupBy("line_id", "file_id", "id", "g", "k").agg(F.min(_order()).alias("_m")).withColumn("v", F.col("_m.v"))
     wide = f.groupBy("line_id", "file_id", "id").agg(*[ent(g).alias(g) for g in GROUPS])
     return wide.join(fingerprints(records, files, values).select("file_id", "producer", "version"), "file_id").select("line_id", "file_id", "producer", "version", "id", *GROUPS)
+
+
+def _order():
+    """Values of one canonical field of a line in order of precedence."""
+    return F.struct(F.col("v").isNull().alias("a"), (F.col("field") != F.col("canonical")).alias("b"), "field", "v")
+
+
+def losses(records: DataFrame, files: DataFrame) -> DataFrame:
+    """line_id, file_id, field, canonical, loss, value: every value that ``consistent_table`` couldn't keep as it came.
+
+    loss is 'cast' (the text can't be cast to the canonical type; the table holds null unless another field has a value) or
+    'collision' (another field of the line has the same canonical name, with another value, and goes before this one).
+    """
+    fields, _, rules = _parsed(records, files)
+    f = routed(fields, rules).withColumn("_o", _order())
+    best = f.groupBy(F.col("line_id").alias("_l"), F.col("canonical").alias("_c")).agg(F.min("_o").alias("_best"))
+    j = f.join(best, (F.col("line_id") == F.col("_l")) & (F.col("canonical") == F.col("_c")))
+    loss = F.when(F.col("v").isNull(), "cast").when(~F.col("v").eqNullSafe(F.col("_best.v")), "collision")
+    return j.withColumn("loss", loss).where(F.col("loss").isNotNull()).select("line_id", "file_id", "field", "canonical", "loss", "value")

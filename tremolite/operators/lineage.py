@@ -49,6 +49,13 @@ def header_hash(channels: DataFrame, cols: tuple[str, ...] = ("id", "name", "fs"
     return channels.select("ch", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]).alias("hash"))
 
 
+def changed_sources(before: DataFrame, after: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows saying that the source of a channel changed, with the old and the new one (track_src); null counts as ''."""
+    was = before.select("ch", F.coalesce("src", F.lit("")).alias("_was"))
+    now = after.select("ch", F.coalesce("src", F.lit("")).alias("_now")).join(was, "ch", "left").where(~F.col("_now").eqNullSafe(F.col("_was")))
+    return now.select("ch", (at if at is not None else F.current_timestamp()).alias("ts"), F.lit("+source").alias("category"), F.lit("track_src").alias("call"), F.concat(F.coalesce("_was", F.lit("")), F.lit(" -> "), F.col("_now")).alias("descr"))
+
+
 def changed_headers(before: DataFrame, after: DataFrame, cols: tuple[str, ...] = ("id", "name", "fs", "gain", "units")) -> DataFrame:
     """Channels whose header fields differ from before, or that are new."""
     a = header_hash(before, cols).withColumnRenamed("hash", "_was")

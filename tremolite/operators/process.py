@@ -1,18 +1,19 @@
 """Sample-wise processing as built-in expressions: V1-V5, V10-V13, N2-N5, A1-A3.
 
 Samples are rows (keys..., t_us, x) with x NaN where a sample is missing.  Operators keep their
-keys and need one shuffle on them at most; channel statistics are pre-aggregated before the join back,
-so a channel of any length is never sorted where only its mean is needed.
+keys; channel statistics are pre-aggregated before the join back, so a channel of any length is never sorted
+where only its mean is needed, and where order matters channels are cut into time shards (``timeaxis.carried``).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolite.timeaxis import segments_of_samples
+from tremolite import timeaxis
+from tremolite.timeaxis import SHARD_STEPS, segments_of_samples
 
 
 def valid(x: Column | str = "x") -> Column:
@@ -39,13 +40,15 @@ def nanfill(df: DataFrame, keys: list[str]) -> DataFrame:
 def detrend(df: DataFrame, keys: list[str], t: str = "t_us") -> DataFrame:
     """V2 (n = 1): subtract the least-squares line over the whole channel; NaNs are ignored and stay.
 
-    Time counts in seconds from the channel's first sample, which keeps the regression well conditioned.
+    One aggregate of slope and means, and one join.  The regression runs around its means, so large times cost no digits.
     """
-    d = _with(df, keys, _t0=F.min(t)).withColumn("_s", (F.col(t) - F.col("_t0")) / 1e6)
-    ok = F.when(~F.isnan("x"), F.col("_s"))
-    d = _with(d, keys, _b=F.regr_slope(valid(), ok), _a=F.regr_intercept(valid(), ok), _mu=F.avg(valid()))
-    line = F.coalesce(F.col("_a") + F.col("_b") * F.col("_s"), "_mu", F.lit(0.0))
-    return d.withColumn("x", F.col("x") - line).drop("_t0", "_s", "_a", "_b", "_mu")
+    s = F.col(t) / 1e6
+    ok = F.when(~F.isnan("x"), s)
+    one = df.groupBy(*keys).agg(
+        F.regr_slope(valid(), ok).alias("_b"), F.regr_avgx(valid(), ok).alias("_ms"), F.avg(valid()).alias("_mu")
+    )
+    line = F.coalesce(F.col("_mu") + F.col("_b") * (s - F.col("_ms")), "_mu", F.lit(0.0))
+    return df.join(one, keys).withColumn("x", F.col("x") - line).drop("_b", "_ms", "_mu")
 
 
 def ungap(df: DataFrame, keys: list[str], step: int, mean: bool = True, t: str = "t_us", chunk: int = 4096) -> DataFrame:
@@ -73,28 +76,31 @@ def taper(df: DataFrame, keys: list[str], fs: float | Column, t_max: float = 10.
     """
     fs = F.lit(float(fs)) if not isinstance(fs, Column) else fs
     d = _with(df, keys, _mu=F.avg(valid()))
-    d = _with(d, [*keys, seg], _n=F.count(F.lit(1)))
-    w = Window.partitionBy(*keys, seg).orderBy(order)
-    i = F.row_number().over(w)
-    edge = F.least(F.rint(F.lit(t_max) * fs), F.rint(F.lit(min(alpha, 0.5)) * F.col("_n")))
-    d = d.withColumn("_i", i).withColumn("_l", edge)
+    d = _with(d, [*keys, seg], _n=F.count(F.lit(1)), _w=shard_width(order))
+    d = timeaxis.running(d, [*keys, seg], order, F.col("_w"), F.lit(1), "_i")
+    d = d.withColumn("_l", F.least(F.rint(F.lit(t_max) * fs), F.rint(F.lit(min(alpha, 0.5)) * F.col("_n"))))
     k = F.least(F.col("_i"), F.col("_n") - F.col("_i") + 1)
     wt = F.when((F.col("_n") >= n_min) & (k <= F.col("_l")), 0.5 * (1 - F.cos(math.pi * (k - 1) / F.col("_l")))).otherwise(1.0)
-    return d.withColumn("x", (F.col("x") - F.col("_mu")) * wt + F.col("_mu")).drop("_mu", "_n", "_i", "_l")
+    return d.withColumn("x", (F.col("x") - F.col("_mu")) * wt + F.col("_mu")).drop("_mu", "_n", "_w", "_i", "_l")
+
+
+def shard_width(order: str) -> Column:
+    """Width of shards that hold SHARD_STEPS rows each if rows are evenly spread over a group: an aggregate."""
+    return F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) * SHARD_STEPS / F.count(F.lit(1)))).cast("long")
 
 
 def differentiate(df: DataFrame, keys: list[str], fs: float | Column, order: str = "t_us", seg: str = "seg") -> DataFrame:
     """First difference within a segment times fs; the first sample is kept (times fs)."""
     fs = F.lit(float(fs)) if not isinstance(fs, Column) else fs
-    w = Window.partitionBy(*keys, seg).orderBy(order)
-    return df.withColumn("x", F.coalesce(F.col("x") - F.lag("x").over(w), F.col("x")) * fs)
+    d = timeaxis.previous(_with(df, [*keys, seg], _w=shard_width(order)), [*keys, seg], order, F.col("_w"), "x", "_p")
+    return d.withColumn("x", F.coalesce(F.col("x") - F.col("_p"), F.col("x")) * fs).select(*df.columns)
 
 
 def integrate(df: DataFrame, keys: list[str], fs: float | Column, order: str = "t_us", seg: str = "seg") -> DataFrame:
     """Running sum within a segment over fs; the inverse of ``differentiate``."""
     fs = F.lit(float(fs)) if not isinstance(fs, Column) else fs
-    w = Window.partitionBy(*keys, seg).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("x", F.sum("x").over(w) / fs)
+    d = timeaxis.running(_with(df, [*keys, seg], _w=shard_width(order)), [*keys, seg], order, F.col("_w"), F.col("x"), "_s")
+    return d.withColumn("x", F.col("_s") / fs).select(*df.columns)
 
 
 #: Powers of seconds that seismic units differ by.
@@ -158,11 +164,10 @@ def sync(df: DataFrame, keys: list[str], step: int, start: str | int = "last", e
 
 
 def merge_near(df: DataFrame, keys: list[str], step: int, t: str = "t_us") -> DataFrame:
-    """Runs of samples less than half a step apart become one: mean of values (NaNs ignored) and of times."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) >= F.lit(step) / 2).cast("int"), F.lit(1))
-    d = df.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "_g").agg(F.min(t).alias(t), F.coalesce(F.avg(valid()), F.lit(float("nan"))).alias("x")).drop("_g")
+    """Runs of samples less than half a step apart become one: keys, t (the first time), x (mean of values that aren't NaN), n (samples)."""
+    near = F.lit((step + 1) // 2 - 1).cast("long")
+    d = timeaxis.islands(df, keys, t, step * SHARD_STEPS, F.lit(-1).cast("long"), near, "_g")
+    return d.groupBy(*keys, "_g").agg(F.min(t).alias(t), F.coalesce(F.avg(valid()), F.lit(float("nan"))).alias("x"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
 def merge_overlap(a: DataFrame, b: DataFrame, keys: list[str], t: str = "t_us") -> DataFrame:

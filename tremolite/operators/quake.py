@@ -21,6 +21,31 @@ def distaz(channels: DataFrame, events: DataFrame, key: str = "event_id") -> Dat
     return j.select(*channels.columns, "_g.dist", "_g.az", "_g.baz")
 
 
+#: Sources that one call of ``source_receiver`` takes.
+MOST_SOURCES = 1000
+
+
+def source_receiver(sources: list[tuple[str, float, float]], receivers: DataFrame, lat: str = "loc.lat", lon: str = "loc.lon") -> DataFrame:
+    """Every receiver with its distance and azimuths from each source (name, lat, lon): receivers' columns, source, dist, az, baz.
+
+    Sources are a stated query set of at most MOST_SOURCES (ValueError beyond; give them in blocks); they go with the plan, so nothing is
+    joined.  Receivers without a place have null figures.
+    """
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: give them in blocks")
+    if not sources:
+        return receivers.select("*", F.lit(None).cast("string").alias("source"), *[F.lit(None).cast("double").alias(k) for k in ("dist", "az", "baz")]).limit(0)
+    one = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(float(a)).alias("lat"), F.lit(float(o)).alias("lon")) for n, a, o in sources])
+    g = gcdist("_s.lat", "_s.lon", lat, lon)
+    return receivers.select("*", F.explode(one).alias("_s")).select("*", g.alias("_g")).select(*receivers.columns, "_s.source", "_g.dist", "_g.az", "_g.baz")
+
+
+def source_headers(headers: DataFrame, sources: DataFrame, key: str = "event_id", order: str = "src_id") -> DataFrame:
+    """Each event header with its event's first source by ``order`` (null where there is none; of equal ones the least); column names must differ but for the key."""
+    first = sources.groupBy(key).agg(F.min(F.struct(order, *[c for c in sources.columns if c not in (key, order)])).alias("_s"))
+    return headers.join(first, key, "left").select(*headers.columns, "_s.*")
+
+
 def show_phases(picks: DataFrame, catalog: str = "pha") -> DataFrame:
     """Picks of each channel, one row per phase, sorted by travel time."""
     return picks.select("id", F.explode(catalog).alias("phase", "p")).select("id", "phase", "p.*").orderBy("id", "tt")
@@ -32,6 +57,13 @@ def merge_trace_fields(df: DataFrame, keys: list[str], latest: str) -> DataFrame
     return df.groupBy(*keys).agg(*[val(c).alias(c) for c in ("az", "baz", "dist")])
 
 
+def merge_phases(df: DataFrame, keys: list[str], latest: str, pha: str = "pha") -> DataFrame:
+    """One phase map of merged event traces: of each phase the latest member's pick; entries are reduced before they are collected."""
+    from tremolite.operators.select import merge_maps
+
+    return merge_maps(df, keys, pha, latest)
+
+
 def travel_times(pairs: DataFrame, table: DataFrame, phase: str = "P") -> DataFrame:
     """W9 without a web service: travel times of a phase by linear interpolation of a table (phase, dist, tt).
 

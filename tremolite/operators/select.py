@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolite import timeaxis
 from tremolite.functions.ids import inst_code, wildcard_to_regex
-from tremolite.model import KW
+from tremolite.model import DAY, KW
 
 
 def by_position(df: DataFrame, chans: list[int] | range) -> DataFrame:
@@ -53,6 +54,12 @@ def find_ids(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("id").join(first, "id", "left").select("id", F.coalesce("ch", F.lit(0).cast("long")).alias("ch"))
 
 
+def present(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """P10: each wanted id with whether the table has it."""
+    have = df.select("id").distinct().withColumn("_p", F.lit(True))
+    return wanted.select("id").join(have, "id", "left").select("id", F.coalesce("_p", F.lit(False)).alias("present"))
+
+
 def find_pattern(df: DataFrame, pattern: str) -> DataFrame:
     """Rows whose id contains a match."""
     return df.where(F.col("id").rlike(pattern))
@@ -101,19 +108,37 @@ MATCH = ("id", "fs", "gain", "loc", "resp", "units")
 
 
 def channel_match(a: DataFrame, b: DataFrame, use_gain: bool = True, keys: tuple[str, ...] = MATCH) -> DataFrame:
-    """Pairs (ch, ch_b) of channels that agree in all keys; null equals null."""
+    """Side ('a' or 'b'), ch, grp, links: the channels of two tables that agree in all keys with one of the other table; null equals null.
+
+    Channels that agree form a class: grp is the first position of a in it, links the number of channels of the other side.  All pairs are
+    those of equal grp; they aren't written out, so a much repeated channel costs its rows and no more.
+    """
     ks = [k for k in keys if use_gain or k != "gain"]
-    r = b.select(F.col("ch").alias("ch_b"), *[F.col(k).alias(f"_{k}") for k in ks])
-    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ks])
-    return a.join(r, cond).select("ch", "ch_b")
+    u = a.select(F.lit("a").alias("side"), "ch", *ks).unionByName(b.select(F.lit("b").alias("side"), "ch", *ks))
+    n = u.groupBy(*ks).agg(F.min(F.when(F.col("side") == "a", F.col("ch"))).alias("grp"), F.count(F.when(F.col("side") == "a", 1)).alias("_a"), F.count(F.when(F.col("side") == "b", 1)).alias("_b")).where("_a > 0 and _b > 0")
+    same = reduce(lambda x, y: x & y, [u[k].eqNullSafe(n[k]) for k in ks])
+    return u.join(n, same).select("side", "ch", "grp", F.when(F.col("side") == "a", F.col("_b")).otherwise(F.col("_a")).alias("links"))
+
+
+def header_classes(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """ch, grp: the first position among the channels of the same id and keys (null equals null)."""
+    g = df.groupBy("id", *keys).agg(F.min("ch").alias("grp"))
+    return df.join(g, reduce(lambda x, y: x & y, [df[k].eqNullSafe(g[k]) for k in ("id", *keys)])).select(df["ch"], g["grp"])
 
 
 def match_unset(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("fs", "gain", "units")) -> DataFrame:
-    """Pairs of equal id whose other keys agree or are unset (null) on either side, with the values filled both ways."""
-    r = b.select(F.col("ch").alias("ch_b"), F.col("id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in keys])
-    j = a.join(r, F.col("id") == F.col("_id"))
+    """Id, ch, n, ch_b, n_b and the keys filled both ways: pairs of equal id whose keys agree or are unset (null) on either side.
+
+    Channels of equal id and keys are one class: a pair is given once for two classes, with their first positions and numbers of
+    channels (``header_classes`` gives the membership).  An id has few header classes, however many channels.
+    """
+    def classes(d: DataFrame, p: str) -> DataFrame:
+        return d.groupBy("id", *keys).agg(F.min("ch").alias(f"ch{p}"), F.count(F.lit(1)).alias(f"n{p}"))
+
+    r = classes(b, "_b").select(F.col("id").alias("_id"), "ch_b", "n_b", *[F.col(k).alias(f"_{k}") for k in keys])
+    j = classes(a, "").join(r, F.col("id") == F.col("_id"))
     j = j.where(reduce(lambda x, y: x & y, [F.col(k).isNull() | F.col(f"_{k}").isNull() | (F.col(k) == F.col(f"_{k}")) for k in keys]))
-    return j.select("id", "ch", "ch_b", *[F.coalesce(k, f"_{k}").alias(k) for k in keys])
+    return j.select("id", "ch", "n", "ch_b", "n_b", *[F.coalesce(k, f"_{k}").alias(k) for k in keys])
 
 
 def interval_join(a: DataFrame, b: DataFrame, key: str, a_int: tuple[str, str], b_int: tuple[str, str], bucket: int) -> DataFrame:
@@ -132,11 +157,16 @@ def interval_join(a: DataFrame, b: DataFrame, key: str, a_int: tuple[str, str],
     return x.join(y, on).drop("_key", "_bk", "_bk2")
 
 
-def bag_difference(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For every row of b one row of a with equal keys is dropped, the last ones first."""
-    ra = a.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
-    nb = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    return ra.join(nb, keys, "left").where(F.col("_n") > F.coalesce("_m", F.lit(0))).drop("_n", "_m")
+def bag_difference(a: DataFrame, b: DataFrame, keys: list[str], order: str, width: int = 65_536) -> DataFrame:
+    """For every row of b one row of a with equal keys is dropped, the last ones first.
+
+    ``width``: how much of ``order`` one task ranks; equal places are told apart by chance.
+    """
+    na, nb = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")), b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    null_safe = lambda x, y: reduce(lambda p, q: p & q, [x[k].eqNullSafe(y[k]) for k in keys])
+    n = na.join(nb, null_safe(na, nb), "left").select(*[na[k] for k in keys], (F.col("_all") - F.coalesce("_m", F.lit(0))).alias("_keep")).where("_keep > 0")
+    r = timeaxis.running(a, keys, order, width, F.lit(1), "_n")
+    return r.join(n, null_safe(r, n)).where(F.col("_n") <= F.col("_keep")).select(*[r[c] for c in a.columns])
 
 
 def union_unique(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -190,15 +220,20 @@ def changed(before: DataFrame, after: DataFrame, size: str = "nx") -> DataFrame:
     return a.join(b, "id", "full").where(~F.col("was").eqNullSafe(F.col("now")))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, t: str, value: str, width: int = DAY) -> DataFrame:
     """J13 (an addition): each left row with the value of the last right row of its key at or before its time.
 
-    Both sides are merged in one window per key: no range join.  Equal times match; ties on the right go to the larger value.
+    Both sides are merged in one window per key and time shard of ``width``, and a shard takes over the last value of those
+    before it: no range join, and no task sorts a key.  Equal times match; ties on the right go to the larger value; null values don't count.
     """
     u = left.withColumn("_r", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
     r = right.select(key, t, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).withColumn("_r", F.lit(0))
-    w = Window.partitionBy(key).orderBy(t, "_r", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return u.unionByName(r, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_r = 1").drop("_r", "_v")
+    d = timeaxis.sharded(u.unionByName(r, allowMissingColumns=True), [key], t, width)
+    last = F.max_by(F.struct("_v"), F.when(F.col("_r") == 0, F.struct(t, "_v")))
+    d = timeaxis.carried(d, {"_last": last}, lambda _, before: {"_carry": F.last("_last", ignorenulls=True).over(before)})
+    w = timeaxis.within(t, "_r", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    out = F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_carry._v"))
+    return d.withColumn(value, out).where("_r = 1").select(*left.columns, value)
 
 
 def without_flagged(df: DataFrame, flag: str = "flagged") -> DataFrame:

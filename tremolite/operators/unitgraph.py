@@ -120,6 +120,25 @@ def unit_table(spark) -> DataFrame:
     return spark.createDataFrame([(u, *v) for u, v in sorted(compositions().items())], "unit string, si_units string, scale double, offset double, steps int")
 
 
+def convert(df: DataFrame, value: str, unit: str, to: str | None = None, out: str = "si_value") -> DataFrame:
+    """df with ``out``, the values of a quantity in the canonical unit of its kind, or in the unit that column ``to`` names, and si_units.
+
+    Both scale and offset are applied: 0 degC is 273.15 K.  (A gain, counts per unit, has no offset: see ``to_si``.)  Units may be spelt
+    freely.  A null value, an unknown unit, or two units of different kinds give null; no row is lost.
+    """
+    table = unit_table(df.sparkSession).select("unit", "si_units", "scale", "offset")  # about a hundred rows whatever the data
+    a = table.select(F.col("unit").alias("_ua"), "si_units", F.col("scale").alias("_sa"), F.col("offset").alias("_oa"))
+    d = df.withColumn("_k", unit_key(F.col(unit))).join(F.broadcast(a), F.col("_k") == F.col("_ua"), "left")
+    y = F.col(value) * F.col("_sa") + F.col("_oa")
+    gone = ["_k", "_ua", "_sa", "_oa"]
+    if to is not None:
+        b = table.select(F.col("unit").alias("_ub"), F.col("si_units").alias("_kind"), F.col("scale").alias("_sb"), F.col("offset").alias("_ob"))
+        d = d.withColumn("_l", unit_key(F.col(to))).join(F.broadcast(b), F.col("_l") == F.col("_ub"), "left")
+        y = F.when(F.col("si_units") == F.col("_kind"), (y - F.col("_ob")) / F.col("_sb"))
+        gone += ["_l", "_ub", "_kind", "_sb", "_ob"]
+    return d.withColumn(out, y).drop(*gone)
+
+
 def stated_unit(text: Column) -> Column:
     """The unit that a phrase such as 'counts/(nm/s)' or 'gain refers to one kelvin' gives the gain in."""
     pats = (

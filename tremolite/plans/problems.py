@@ -37,6 +37,10 @@ def p2_versions(spark: SparkSession, d: str) -> DataFrame:
     return drift.fingerprints(load(spark, d, "meta_records"), load(spark, d, "meta_files"))
 
 
+def p2_losses(spark: SparkSession, d: str) -> DataFrame:
+    return drift.losses(load(spark, d, "meta_records"), load(spark, d, "meta_files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     w = timeaxis.windows(load(spark, d, "traces"), ["id"])
     return intervals.periods_and_gaps(w, "id", "t0_us", "t1_us", F.col("d") + F.expr("d div 2"))
@@ -59,15 +63,59 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unitgraph.to_si(load(spark, d, "channels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_impossible, p2_found, p2_table, p2_versions, p3_found, p5_found, p5_series, p5_status, p6_found)}
-
-#: The fixed conversions and spellings, written out for SQL.
-_UNIT_ROWS = ", ".join(f"('{k}', '{unitgraph.compositions()[u][0]}', {unitgraph.compositions()[u][1]!r})" for k, u in [*((u, u) for u in unitgraph.compositions()), *unitgraph.SPELLED.items()])
+def p6_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings of absolute temperatures, pressures and more, by turns in other units of the same quantity (offsets included)."""
+    u = load(spark, d, "runs").groupBy("run_id").agg(F.max("units").alias("unit"))
+    r = load(spark, d, "readings").select("rd_id", "run_id", "x").join(u, "run_id", "left")
+    other = {"K": ("degC", "degF", "K"), "Pa": ("hPa", "psi", "mbar"), "m/s": ("in/s", "nm/s", "kine"), "V": ("mV", "uV", "V"), "%": ("fraction", "%", "%")}
+    to = F.create_map(*[v for k, t in other.items() for v in (F.lit(k), F.array(*[F.lit(x) for x in t]))])
+    r = r.withColumn("to", F.element_at(F.try_element_at(to, F.col("unit")), (F.col("rd_id") % 3 + 1).cast("int")))
+    c = unitgraph.convert(r, "x", "unit", "to", "y")
+    real = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
+    return c.select("rd_id", "to", F.when(real, F.format_string("%.8e", "y").cast("double")).alias("y"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_impossible, p2_found, p2_table, p2_versions, p2_losses, p3_found, p5_found, p5_series, p5_status, p6_found, p6_readings)}
+
+#: Fixed values, typed out for SQL beside the graph: unit, SI unit, scale, offset.
+_UNITS = """
+('m','m',1,0), ('nm','m',1e-9,0), ('um','m',1e-6,0), ('mm','m',1e-3,0), ('cm','m',1e-2,0), ('km','m',1e3,0), ('in','m',0.0254,0),
+('m/s','m/s',1,0), ('nm/s','m/s',1e-9,0), ('um/s','m/s',1e-6,0), ('mm/s','m/s',1e-3,0), ('cm/s','m/s',1e-2,0), ('km/s','m/s',1e3,0), ('in/s','m/s',0.0254,0), ('kine','m/s',0.01,0),
+('m/s2','m/s2',1,0), ('nm/s2','m/s2',1e-9,0), ('um/s2','m/s2',1e-6,0), ('mm/s2','m/s2',1e-3,0), ('cm/s2','m/s2',1e-2,0), ('gal','m/s2',0.01,0), ('mgal','m/s2',1e-5,0), ('gravity','m/s2',9.80665,0), ('milligravity','m/s2',0.00980665,0),
+('pa','Pa',1,0), ('mpa','Pa',1e-3,0), ('hpa','Pa',100,0), ('kpa','Pa',1000,0), ('mbar','Pa',100,0), ('bar','Pa',100000,0), ('psi','Pa',6894.757293168,0),
+('k','K',1,0), ('mk','K',1e-3,0), ('degc','K',1,273.15), ('degf','K',0.5555555555555556,255.3722222222222),
+('v','V',1,0), ('mv','V',1e-3,0), ('uv','V',1e-6,0), ('nv','V',1e-9,0),
+('rad','rad',1,0), ('mrad','rad',1e-3,0), ('urad','rad',1e-6,0), ('nrad','rad',1e-9,0), ('deg','rad',0.017453292519943295,0), ('arcmin','rad',0.0002908882086657216,0), ('arcsec','rad',4.84813681109536e-06,0),
+('%','%',1,0), ('fraction','%',100,0), ('hz','Hz',1,0), ('mhz','Hz',1e-3,0), ('khz','Hz',1000,0), ('rad/s','Hz',0.15915494309189535,0)
+"""
+#: Spellings, for SQL.
+_SPELLED = ", ".join(f"('{k}', '{u}')" for k, u in unitgraph.SPELLED.items())
 _UNIT_SQL = "lower(trim(t))"
 for _a, _b in unitgraph.REWRITES:
     _UNIT_SQL = f"regexp_replace({_UNIT_SQL}, '{_a}', '{_b}', 'g')"
+#: Fields of records with their JSON types, for SQL.
+_FIELDS = """r as (select file_id, raw from meta_records where json_valid(raw) and json_type(raw) = 'OBJECT'),
+k as (select file_id, json_extract_string(raw, '$.id') as id, unnest(json_keys(raw)) as k, raw from r),
+n as (select file_id, id, k as g, unnest(json_keys(json_extract(raw, '$.' || k))) as kk, json_extract(raw, '$.' || k) as o from k where k in ('loc', 'resp', 'misc') and json_type(json_extract(raw, '$.' || k)) = 'OBJECT'),
+f as (select file_id, id, k as field, json_extract(raw, '$."' || k || '"') as v from k where regexp_matches(k, '^(loc|resp|misc)\\.')
+      union all select file_id, id, g || '.' || kk, json_extract(o, '$."' || kk || '"') from n),
+t as (select file_id, id, field, v, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as kind from f where v is not null and json_type(v) <> 'NULL'),
+c as (select file_id, field, kind, count(*) as n from t group by all),
+ff as (select file_id, field, arg_max(kind, n * 1000000 - ascii(kind) * 1000 - ascii(kind[2:])) as kind from c group by file_id, field)"""
 
 SQL = {
+    "p2_versions": f"""
+with {_FIELDS},
+g as (select file_id, sha256(string_agg(field || ':' || kind, '|' order by field || ':' || kind)) as fingerprint, count(*) as n_fields from ff group by file_id),
+ch as (select m.file_id, producer, row_number() over w as seq, fingerprint, lag(fingerprint) over w as was, coalesce(n_fields, 0) as n_fields from meta_files m left join g using (file_id) window w as (partition by producer order by written nulls first, m.file_id))
+select file_id, producer, seq, fingerprint, cast(sum((fingerprint is distinct from was)::int) over (partition by producer order by seq rows unbounded preceding) as bigint) as version, n_fields from ch
+""",
+    "p6_readings": f"""
+with si(unit, si_units, scale, off) as (values {_UNITS}), u as (select run_id, max(units) as unit from runs group by run_id),
+r as (select rd_id, x, unit, case unit when 'K' then ['degC', 'degF', 'K'] when 'Pa' then ['hPa', 'psi', 'mbar'] when 'm/s' then ['in/s', 'nm/s', 'kine'] when 'V' then ['mV', 'uV', 'V'] when '%' then ['fraction', '%', '%'] end[rd_id % 3 + 1] as "to" from readings left join u using (run_id)),
+c as (select rd_id, "to", (x * a.scale + a.off - b.off) / b.scale as y from r left join si a on a.unit = lower(r.unit) left join si b on b.unit = lower(r."to"))
+select rd_id, "to", case when isnan(y) or isinf(y) then null else cast(printf('%.8e', y) as double) end as y from c
+""",
     "p1_impossible": """
 select distinct r.id, r.t as t_us from readings r left join runs u on r.run_id = u.run_id
 where r.x is not null and not isnan(r.x) and r.t is not null and r.id is not null and (abs(r.x) >= 1e18 or (r.x = -12345 and lower(u.units) not in ('counts', '{counts}'))
@@ -137,7 +185,7 @@ select d.file_id, case when ren.new is not null then 'renamed' when ok is null t
 from d left join ren on d.file_id = ren.file_id and d.field = ren.old where not exists (select 1 from ren x where x.file_id = d.file_id and x.new = d.field)
 """,
     "p6_found": f"""
-with tab(unit, si_units, scale) as (values {_UNIT_ROWS}),
+with si(unit, si_units, scale, off) as (values {_UNITS}), sp(t, unit) as (values {_SPELLED}), tab as (select unit, si_units, scale from si union all select sp.t, si_units, scale from sp join si using (unit)),
 c as (select rec_id, gain, [units, misc['Sensitivity'], misc['gain_units'], misc['unit']] || coalesce(list_transform(notes, lambda n: coalesce(nullif(regexp_extract(n, '(?i)calibrated per\\s+(.+?)(?:,.*|\\.?)$', 1), ''), nullif(regexp_extract(n, '(?i)amplitudes? of this channel (?:is|are) in\\s+(.+?)(?: after unscaling)?\\.?$', 1), ''),
        nullif(regexp_extract(n, '(?i)gain refers to (?:one|1|an?)\\s+(.+?)\\.?$', 1), ''), nullif(regexp_extract(n, '(?i)\\bone\\s+(.+?)\\s+gives the stated number of counts', 1), ''), case when regexp_matches(n, '(?i)counts') then n end)), []) || [resp.i] as cand from channels where gain > 0 and gain <> 1 and not isnan(gain) and gain < 1e300),
 u as (select rec_id, gain, generate_subscripts(cand, 1) as k, unnest(cand) as t from c),

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tremolite import model, timeaxis
 from tremolite.functions import ids, scalar
 from tremolite.model import DAY, HOUR
-from tremolite.operators import dsp, lineage, merge, process, select, synth
+from tremolite.operators import dsp, lineage, merge, process, quake, select, synth
 from tremolite.plans import sqlapi
-from tremolite.session import load
+from tremolite.session import load, shared_folder
 from tremolite.sources import formats
 from tremolite.streaming import packets
 
@@ -75,14 +75,7 @@ def gap_segments(spark, d):
 @query(EV + ", lg as (select *, t_us - lag(t_us) over (partition by id order by t_us) as dt, row_number() over (partition by id order by t_us) as i, count(*) over (partition by id) as n from ev) select id, i, case when i = 1 then t_us when dt <> 3600000000 then dt - 3600000000 else 0 end as us from lg where i = 1 or i = n or dt <> 3600000000")
 def t_collapse(spark, d):
     """Sample times to time-matrix rows: the first, every deviation, the last."""
-    from pyspark.sql import Window
-
-    e = _ev(spark, d)
-    w = Window.partitionBy("id").orderBy("t_us")
-    dt = F.col("t_us") - F.lag("t_us").over(w)
-    x = e.withColumn("dt", dt).withColumn("i", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    x = x.where((F.col("i") == 1) | (F.col("i") == F.col("n")) | (F.col("dt") != HOUR))
-    return x.select("id", F.col("i").cast("long").alias("i"), F.when(F.col("i") == 1, F.col("t_us")).when(F.col("dt") != HOUR, F.col("dt") - HOUR).otherwise(0).alias("us"))
+    return timeaxis.collapse(_ev(spark, d), ["id"], "t_us", HOUR)
 
 
 WIN = """with m as (select tr_id, id, cast(round_even(1e6 / fs, 0) as bigint) as d, t from traces where fs > 0 and len(t) > 0),
@@ -238,16 +231,14 @@ def merge_irregular(spark, d):
     return process.merge_irregular(r.where(m != 0), r.where(m != 1), ["id"]).select("id", "t_us", (F.col("x") + 0.0).alias("x"))
 
 
-@query("""with r as (select id, run_id, t as t_us, x from readings where x is not null and not isnan(x) and not isinf(x) and abs(x) < 1e9), l as (select *, case when t_us - lag(t_us) over (partition by id, run_id order by t_us, x) < 500 then 0 else 1 end as n from r),
-g as (select *, sum(n) over (partition by id, run_id order by t_us, x rows unbounded preceding) as g from l) select id, run_id, min(t_us) as t_us, round(avg(x), 9) as x, count(*) as n from g group by id, run_id, g having count(*) > 1""")
+@query("""with r as (select id, run_id, t as t_us, x from readings where x is not null and not isnan(x)), l as (select *, case when t_us - lag(t_us) over (partition by id, run_id order by t_us, x) < 500 then 0 else 1 end as n from r),
+g as (select *, sum(n) over (partition by id, run_id order by t_us, x rows unbounded preceding) as g from l), m as (select id, run_id, min(t_us) as t_us, avg(x) as x, count(*) as n from g group by id, run_id, g having count(*) > 1)
+select id, run_id, t_us, case when isinf(x) then x else cast(printf('%.8e', x) as double) end as x, n from m""")
 def near_duplicates(spark, d):
-    """Samples less than half a step (1 ms) apart become one."""
-    from pyspark.sql import Window
-
-    r = load(spark, d, "readings").where("x is not null and not isnan(x) and abs(x) < 1e9").select("id", "run_id", F.col("t").alias("t_us"), "x")
-    w = Window.partitionBy("id", "run_id").orderBy("t_us", "x")
-    g = r.withColumn("n", F.coalesce((F.col("t_us") - F.lag("t_us").over(w) >= 500).cast("int"), F.lit(1))).withColumn("g", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("id", "run_id", "g").agg(F.min("t_us").alias("t_us"), F.round(F.avg("x"), 9).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "run_id", "t_us", "x", "n")
+    """Samples less than half a step (1 ms) apart become one; means to nine digits."""
+    r = load(spark, d, "readings").where("x is not null and not isnan(x)").select("id", "run_id", F.col("t").alias("t_us"), "x")
+    m = process.merge_near(r, ["id", "run_id"], 1000).where("n > 1")
+    return m.withColumn("x", F.when(F.abs("x") == float("inf"), F.col("x")).otherwise(F.format_string("%.8e", "x").cast("double"))).select("id", "run_id", "t_us", "x", "n")
 
 
 @query("select id, run_id, t, x, max(rd_id) as rd_id from readings where x is not null and not isnan(x) group by id, run_id, t, x having count(*) > 1")
@@ -310,17 +301,19 @@ def time_range(spark, d):
     return select.between(load(spark, d, "readings"), 1_230_768_000_000_000, 1_230_854_400_000_000, "t").select("rd_id", "t")
 
 
-@query(CH + " select a.ch, b.ch as ch_b from c a join c b on a.id is not distinct from b.id and a.fs is not distinct from b.fs and a.units is not distinct from b.units where a.src = 'NDC' and b.src is distinct from 'NDC'")
+@query("""with c as (select rec_id as ch, regexp_replace(translate(regexp_replace(upper(trim(id)), '([./])\\s*(?:--|__|\\s+)\\s*([./])', '\\1\\2'), '_-/', '...'), '\\s+', '', 'g') as id, fs, gain, units, src, loc.lat as lat, loc.lon as lon, resp.f0 as f0 from channels),
+k as (select *, dense_rank() over (order by id, fs, gain, units, lat, lon, f0) as g, case when src = 'NDC' then 'a' else 'b' end as side from c), n as (select g, min(ch) filter (side = 'a') as grp, count(*) filter (side = 'a') as na, count(*) filter (side = 'b') as nb from k group by g)
+select side, ch, grp, case when side = 'a' then nb else na end as links from k join n using (g) where na > 0 and nb > 0""")
 def channel_match(spark, d):
-    """Records of one source and of all others that agree in id, rate and units (null equals null)."""
-    c = _ch(spark, d)
-    return select.channel_match(c.where("src = 'NDC'"), c.where("not src <=> 'NDC'"), keys=("id", "fs", "units"))
+    """Records of one source and of all others that agree in id, rate, gain, units, place and corner (null equals null), as classes."""
+    c = load(spark, d, "channels").select(F.col("rec_id").alias("ch"), ids.canonical_id("id").alias("id"), "fs", "gain", "units", "src", F.col("loc.lat").alias("lat"), F.col("loc.lon").alias("lon"), F.col("resp.f0").alias("f0"))
+    return select.channel_match(c.where("src = 'NDC'"), c.where("not src <=> 'NDC'"), keys=("id", "fs", "gain", "units", "lat", "lon", "f0"))
 
 
-@query(CH + """, u as (select ch, id, fs, case when lower(trim(units)) in ('', '?', 'see notes') then null else units end as units, src from c), a as (select * from u where src = 'NDC'), b as (select * from u where src = 'SXML')
-select a.id, a.ch, b.ch as ch_b, coalesce(a.fs, b.fs) as fs, coalesce(a.units, b.units) as units from a join b on a.id = b.id and (a.fs is null or b.fs is null or a.fs = b.fs) and (a.units is null or b.units is null or a.units = b.units)""")
+@query(CH + """, u as (select ch, id, fs, case when lower(trim(units)) in ('', '?', 'see notes') then null else units end as units, src from c), a as (select id, fs, units, min(ch) as ch, count(*) as n from u where src = 'NDC' group by 1, 2, 3), b as (select id, fs, units, min(ch) as ch, count(*) as n from u where src = 'SXML' group by 1, 2, 3)
+select a.id, a.ch, a.n, b.ch as ch_b, b.n as n_b, coalesce(a.fs, b.fs) as fs, coalesce(a.units, b.units) as units from a join b on a.id = b.id and (a.fs is null or b.fs is null or a.fs = b.fs) and (a.units is null or b.units is null or a.units = b.units)""")
 def cmatch_wildcard(spark, d):
-    """Two sources' records of one id that agree, unset matching anything; values filled both ways."""
+    """Two sources' header classes of one id that agree, unset matching anything; values filled both ways."""
     c = _ch(spark, d).withColumn("units", F.when(~F.lower(F.trim("units")).isin("", "?", "see notes"), F.col("units")))
     return select.match_unset(c.where("src = 'NDC'"), c.where("src = 'SXML'"), keys=("fs", "units"))
 
@@ -375,11 +368,11 @@ def map_merge(spark, d):
     return m.select("id", F.size("misc").cast("long").alias("n"), F.array_join(F.transform(F.map_entries("misc"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("merged"))
 
 
-@query(WIN + ", e as (select id, tr_id, max(t1_us) as te from win group by id, tr_id) select id, max_by(tr_id, te * 1.0 + 0) as tr_id, max(te) as te from e group by id having count(*) = count(distinct te)")
+@query(WIN + ", e as (select id, tr_id, max(t1_us) as te from win group by id, tr_id), rk as (select *, row_number() over (partition by id order by te desc, tr_id desc) as k from e) select id, tr_id, te from rk where k = 1")
 def latest_end(spark, d):
-    """The trace with each channel's latest end, where it is unique."""
-    e = timeaxis.windows(load(spark, d, "traces"), ["id", "tr_id"]).groupBy("id", "tr_id").agg(F.max("t1_us").alias("te"))
-    return e.groupBy("id").agg(F.max_by("tr_id", "te").alias("tr_id"), F.max("te").alias("te"), F.count(F.lit(1)).alias("n"), F.countDistinct("te").alias("m")).where("n = m").select("id", "tr_id", "te")
+    """The trace with each channel's latest end, of equal ends that of the highest number."""
+    e = timeaxis.windows(load(spark, d, "traces"), ["id", "tr_id"])
+    return e.groupBy("id").agg(F.max(F.struct(F.col("t1_us").alias("te"), "tr_id")).alias("m")).select("id", "m.tr_id", "m.te")
 
 
 @query("select event_id, abs(epoch_us(ts) - 1704067200000000) as away from events order by 2, 1 limit 10")
@@ -399,10 +392,11 @@ def compact_requests(spark, d):
 # --- scalar functions
 
 
-@query("""select rec_id, case when fs >= 1000 then 'G' when fs >= 250 then 'C' when fs >= 80 then 'E' when fs >= 10 then 'S' when fs > 1 then 'M' when fs > 0.1 then 'L' when fs > 0.01 then 'V' when fs > 0.001 then 'U' else 'R' end as short,
-case when fs >= 1000 then 'F' when fs >= 250 then 'D' when fs >= 80 then 'H' when fs >= 10 then 'B' when fs > 1 then 'M' when fs > 0.1 then 'L' when fs > 0.01 then 'V' when fs > 0.001 then 'U' else 'R' end as broad from channels where fs > 0.0001""")
+@query("""with c as (select rec_id, fs / power(10, rec_id % 9) as fs from channels) select rec_id, case when fs >= 1000 then 'G' when fs >= 250 then 'C' when fs >= 80 then 'E' when fs >= 10 then 'S' when fs > 1 then 'M' when fs > 0.1 then 'L' when fs > 0.01 then 'V' when fs > 0.001 then 'U' when fs > 0.0001 then 'R' when fs > 0.00001 then 'P' when fs > 0.000001 then 'T' when fs is not null then 'Q' end as short,
+case when fs >= 1000 then 'F' when fs >= 250 then 'D' when fs >= 80 then 'H' when fs >= 10 then 'B' when fs > 1 then 'M' when fs > 0.1 then 'L' when fs > 0.01 then 'V' when fs > 0.001 then 'U' when fs > 0.0001 then 'R' when fs > 0.00001 then 'P' when fs > 0.000001 then 'T' when fs is not null then 'Q' end as broad from c""")
 def bandcode(spark, d):
-    c = load(spark, d, "channels").where("fs > 0.0001")
+    """letters of rates from 1000 Hz down to a millionth, and below."""
+    c = load(spark, d, "channels").select("rec_id", (F.col("fs") / F.pow(F.lit(10.0), F.col("rec_id") % 9)).alias("fs"))
     return c.select("rec_id", scalar.bandcode("fs").alias("short"), scalar.bandcode("fs", 0.05).alias("broad"))
 
 
@@ -425,14 +419,15 @@ def namestrip(spark, d):
     return load(spark, d, "channels").select("rec_id", scalar.namestrip(n, "Strict").alias("strict"), scalar.namestrip(n, "SEED").alias("seed"))
 
 
-@query("""with c as (select rec_id, tan(radians(loc.lat)) as ta, loc.lat as lat, loc.lon as lon from channels where loc.lat between -90 and 90 and loc.lon between -180 and 180), p as (select rec_id, atan(ta * 0.9933056) as p2, radians(lon) as l2, atan(tan(radians(46.8523)) * 0.9933056) as p1, radians(-121.7603) as l1 from c),
+@query("""with c as (select rec_id, tan(radians(loc.lat)) as ta, loc.lat as lat, loc.lon as lon from channels where loc.lat between -90 and 90 and loc.lon between -180 and 180), s as (select r_name as source, -60.0 + 25.5 * r_regionkey as la, -170.0 + 71.25 * r_regionkey as lo from region),
+p as (select rec_id, source, atan(ta * 0.9933056) as p2, radians(lon) as l2, atan(tan(radians(la)) * 0.9933056) as p1, radians(lo) as l1 from c, s),
 h as (select *, power(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * power(sin((l2 - l1) / 2), 2) as h, atan2(sin(l2 - l1) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(l2 - l1)) as az, atan2(sin(l1 - l2) * cos(p1), cos(p2) * sin(p1) - sin(p2) * cos(p1) * cos(l1 - l2)) as baz from p)
-select rec_id, round(degrees(2 * asin(least(1.0, sqrt(h)))), 5) as dist, round(degrees(case when az < 0 then az + 2 * pi() else az end), 5) as az, round(degrees(case when baz < 0 then baz + 2 * pi() else baz end), 5) as baz from h""")
+select rec_id, source, round(degrees(2 * asin(least(1.0, sqrt(h)))), 5) as dist, round(degrees(case when az < 0 then az + 2 * pi() else az end), 5) as az, round(degrees(case when baz < 0 then baz + 2 * pi() else baz end), 5) as baz from h""")
 def gcdist(spark, d):
-    """distance and azimuths from one event to every channel with a point on Earth."""
-    c = load(spark, d, "channels").where("loc.lat between -90 and 90 and loc.lon between -180 and 180")
-    g = scalar.gcdist(F.lit(46.8523), F.lit(-121.7603), "loc.lat", "loc.lon")
-    return c.select("rec_id", g.alias("g")).select("rec_id", *[F.round(f"g.{k}", 5).alias(k) for k in ("dist", "az", "baz")])
+    """Distance and azimuths from several sources to every channel with a point on Earth."""
+    c = load(spark, d, "channels").where("loc.lat between -90 and 90 and loc.lon between -180 and 180").select("rec_id", "loc")
+    s = [(r["r_name"], -60.0 + 25.5 * r["r_regionkey"], -170.0 + 71.25 * r["r_regionkey"]) for r in load(spark, d, "region").collect()]
+    return quake.source_receiver(s, c).select("rec_id", "source", *[F.round(k, 5).alias(k) for k in ("dist", "az", "baz")])
 
 
 @query("select rec_id, round(2 * pi() * resp.f0 * -sqrt(0.5), 6) as re, round(2 * pi() * resp.f0 * sqrt(0.5), 6) as im, round(resp.f0, 6) as fc from channels where resp.f0 > 0 and not isnan(resp.f0)")
@@ -598,13 +593,10 @@ _file_query("slist", lambda p: formats.slist_write(p), lambda b: formats.slist_r
 @query(SQL["packet_segments"])
 def stream_append_equals_batch(spark, d):
     """T4: the packets as a stream with state per channel; its rows land in a Parquet folder that is read back."""
-    import os
-    import tempfile
     import uuid
 
     src = load(spark, d, "traces")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tremolite-")
-    at = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    at = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     t = spark.readStream.schema(src.schema).parquet(f"{d}/traces.parquet*").where("fs > 0 and size(t) > 0 and nx > 0")
     p = t.select("id", F.col("tr_id").alias("ord"), F.col("t")[0]["us"].alias("t0_us"), F.col("nx").alias("n"), timeaxis.delta_us("fs").alias("dt_us"))
     q = packets.segments_stream(p).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
@@ -612,12 +604,13 @@ def stream_append_equals_batch(spark, d):
     return spark.read.schema(packets.OUT).parquet(f"{at}/out")
 
 
-@query("with q as (select l_orderkey as k, epoch_us(l_shipdate) as t, l_linenumber from lineitem), r as (select o_orderkey as k, epoch_us(o_orderdate) as t, o_totalprice as v from orders) select q.k, q.t, l_linenumber, r.v from q left join r on q.k = r.k and r.t <= q.t")
+@query("""with q as (select event_id, user_id as k, epoch_us(ts) as t from events), r as (select user_id as k, epoch_us(ts) as t, max(value) as v from events where event_type in (select min(event_type) from events) group by 1, 2)
+select q.event_id, q.k, q.t, r.v as v from q asof left join r on q.k = r.k and q.t >= r.t""")
 def asof_join(spark, d):
-    """Each shipment with the last order price of its order known by then."""
-    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), model.us("l_shipdate").alias("t"), "l_linenumber")
-    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), model.us("o_orderdate").alias("t"), F.col("o_totalprice").alias("v"))
-    return select.asof_join(li, o, "k", "t", "v")
+    """Each event with its user's last value of one type known by then (many candidates each)."""
+    e = load(spark, d, "events").select("event_id", F.col("user_id").alias("k"), model.us("ts").alias("t"), "value", "event_type")
+    kind = e.agg(F.min("event_type")).first()[0]
+    return select.asof_join(e.select("event_id", "k", "t"), e.where(F.col("event_type") == kind).select("k", "t", F.col("value").alias("v")), "k", "t", "v")
 
 
 @query("select rec_id, regexp_replace(translate(regexp_replace(upper(trim(id)), '([./])\\s*(?:--|__|\\s+)\\s*([./])', '\\1\\2'), '_-/', '...'), '\\s+', '', 'g') as id, cast(round_even(1e6 / fs, 0) as bigint) as step from channels where fs > 0")
@@ -724,12 +717,12 @@ def changed_headers(spark, d):
     return lineage.changed_headers(a, a.withColumn("name", F.upper("name")), ("id", "name", "gain", "units"))
 
 
-@query("select s_suppkey as event_id, c_custkey as ch, s_nationkey as nat from supplier join customer on s_nationkey = c_nationkey")
+@query("""with s as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey) as k from lineitem) select o_orderkey as event_id, o_orderstatus as typ, coalesce(l_linenumber, 0) as src_id, coalesce(l_suppkey, 0) as m0 from orders left join s on l_orderkey = o_orderkey and k = 1""")
 def event_channels(spark, d):
-    """Channels of events by key."""
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("event_id"), F.col("s_nationkey").alias("nat"))
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("ch"), F.col("c_nationkey").alias("nat"))
-    return s.join(c, "nat").select("event_id", "ch", "nat")
+    """Event headers with the first source of each event."""
+    h = load(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("typ"))
+    s = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("src_id"), F.col("l_suppkey").alias("m0"))
+    return quake.source_headers(h, s).na.fill(0, ["src_id", "m0"])
 
 
 @query(GAPPED + " select id, cast(seg as bigint) as seg, min(t_us) as start_us, max(t_us) as end_us, count(*) as n, round(sum(x + 0.5), 4) as sum_x from sg group by id, seg")

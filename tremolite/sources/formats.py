@@ -142,6 +142,9 @@ def mseed_records(data: bytes, headers_only: bool = False) -> list[dict]:
         t0 = doy_us(y, j, h, m, s, frac * 100) + (0 if act & 2 else corr * 100)
         misc["encoding"] = str(enc)
         x = np.zeros(0)
+        if enc == 0:  # text, not samples
+            misc["text"] = data[at + begin : at + begin + n].decode("latin-1")
+            n = 0
         if not headers_only and n:
             x, ok = codecs.decode(data[at + begin : at + length], n, enc, dorder)
             misc["integrity_ok"] = str(ok).lower()

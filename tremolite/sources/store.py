@@ -11,9 +11,14 @@ from tremolite.model import DAY
 VERSION = "1"
 
 
+#: Columns of a store; partition values are read as what they are, not guessed ('007' is a text).
+SCHEMA = "id string, t_us bigint, x double, net_sta string, day date"
+
+
 def with_partitions(samples: DataFrame) -> DataFrame:
-    """net_sta and day columns of samples (id, t_us, x)."""
-    return samples.withColumn("net_sta", F.regexp_extract("id", r"^([^.]*\.[^.]*)", 1)).withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"(t_us - pmod(t_us, {DAY})) div {DAY}").cast("int")))
+    """net_sta and day columns of samples (id, t_us, x); an id without a dot is a station of its own, a missing one is 'none'."""
+    station = F.regexp_extract("id", r"^([^.]*\.[^.]*)", 1)
+    return samples.withColumn("net_sta", F.coalesce(F.nullif(station, F.lit("")), F.nullif(F.col("id"), F.lit("")), F.lit("none"))).withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.expr(f"(t_us - pmod(t_us, {DAY})) div {DAY}").cast("int")))
 
 
 def write(samples: DataFrame, path: str, mode: str = "new", compression: str = "lz4") -> None:
@@ -30,8 +35,9 @@ def write(samples: DataFrame, path: str, mode: str = "new", compression: str = "
     if mode not in ("add", "ovr"):
         raise ValueError("modes are new, add and ovr")
     touched = new.select("net_sta", "day").distinct()
-    old = spark.read.parquet(path).join(touched, ["net_sta", "day"], "left_semi")
-    j = old.select("id", "t_us", F.col("x").alias("_old")).join(new.select("id", "t_us", F.col("x").alias("_new")), ["id", "t_us"], "full")
+    old = spark.read.schema(SCHEMA).parquet(path).join(touched, ["net_sta", "day"], "left_semi")
+    # a missing id is one like any other
+    j = old.select(F.struct("id").alias("_id"), "t_us", F.col("x").alias("_old")).join(new.select(F.struct("id").alias("_id"), "t_us", F.col("x").alias("_new")), ["_id", "t_us"], "full").withColumn("id", F.col("_id.id"))
     x = F.coalesce("_old", "_new") if mode == "add" else F.coalesce("_new", "_old")
     # the old files are read by the plan that replaces them, so the result is made firm first
     from tremolite.session import cut
@@ -42,7 +48,7 @@ def write(samples: DataFrame, path: str, mode: str = "new", compression: str = "
 
 def read(spark: SparkSession, path: str, id: str = "*", start_us: int | None = None, end_us: int | None = None) -> DataFrame:
     """Samples of ids that contain a match of a wildcard pattern, in a closed time range; days outside aren't read."""
-    s = spark.read.parquet(path)
+    s = spark.read.schema(SCHEMA).parquet(path)
     if id != "*":
         s = s.where(F.col("id").rlike(wildcard_to_regex(id)))
     day = lambda us: F.date_add(F.lit("1970-01-01").cast("date"), us // DAY)
@@ -61,7 +67,7 @@ def read_event(spark: SparkSession, path: str, events: DataFrame, event_id: str,
 
 def scan(spark: SparkSession, path: str, level: str = "station") -> DataFrame:
     """Stations or channels in the store; stations come from the partitions alone."""
-    s = spark.read.parquet(path)
+    s = spark.read.schema(SCHEMA).parquet(path)
     return s.select("net_sta").distinct() if level == "station" else s.select("id").distinct()
 
 

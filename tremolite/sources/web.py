@@ -6,6 +6,7 @@ supplies, run on executors, one partition per sub-request.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,20 @@ from tremolite.sources import formats
 #: Short names of data centres that speak the FDSN protocol.
 SERVERS = {
     "BGR": "http://eida.bgr.de", "EMSC": "http://www.seismicportal.eu", "ETH": "http://eida.ethz.ch", "GEONET": "http://service.geonet.org.nz", "GFZ": "http://geofon.gfz-potsdam.de", "ICGC": "http://ws.icgc.cat", "INGV": "http://webservices.ingv.it",
-    "IPGP": "http://eida.ipgp.fr", "IRIS": "http://service.iris.edu", "ISC": "http://isc-mirror.iris.washington.edu", "KOERI": "http://eida-service.koeri.boun.edu.tr", "LMU": "http://erde.geophysik.uni-muenchen.de", "NCEDC": "http://service.ncedc.org", "NIEP": "http://eida-sc3.infp.ro",
-    "NOA": "http://eida.gein.noa.gr", "ORFEUS": "http://www.orfeus-eu.org", "RESIF": "http://ws.resif.fr", "SCEDC": "http://service.scedc.caltech.edu", "TEXNET": "http://rtserve.beg.utexas.edu", "USGS": "http://earthquake.usgs.gov", "USP": "http://sismo.iag.usp.br",
+    "IPGP": "http://eida.ipgp.fr", "IRIS": "http://service.iris.edu", "ISC": "http://isc-mirror.iris.washington.edu", "KOERI": "http://eida.koeri.boun.edu.tr", "LMU": "http://erde.geophysik.uni-muenchen.de", "NCEDC": "http://service.ncedc.org", "NIEP": "http://eida-sc3.infp.ro",
+    "NOA": "http://eida.gein.noa.gr", "ODC": "http://www.orfeus-eu.org", "ORFEUS": "http://www.orfeus-eu.org", "RESIF": "http://ws.resif.fr", "SCEDC": "http://service.scedc.caltech.edu", "TEXNET": "http://rtserve.beg.utexas.edu", "USGS": "http://earthquake.usgs.gov", "USP": "http://sismo.iag.usp.br",
 }
 
+#: Data centres of assembled data of dense arrays, with a path of their own.
+PH5 = {"IRISPH5": "http://service.iris.edu"}
+
+
+def server(src: str) -> str:
+    """Base address of a data centre's services; what is no known short name is taken for an address."""
+    if "PH5" in src:
+        return f"{PH5[src]}/ph5ws" if src in PH5 else src.rstrip("/")
+    return f"{SERVERS[src]}/fdsnws" if src in SERVERS else src.rstrip("/")
+
 
 def parse_channels(text: str) -> list[tuple[str, str, str, str]]:
     """W10: 'NET.STA.LOC.CHA, ...' to four codes each; missing or blank codes are wildcards."""
@@ -68,7 +79,7 @@ class Request:
     def url(self, service: str = "dataselect") -> str:
         iso = lambda us: formats._when(us).strftime("%Y-%m-%dT%H:%M:%S.%f")
         loc = "--" if self.loc == "" else self.loc
-        return f"{SERVERS[self.src]}/fdsnws/{service}/1/query?net={self.net}&sta={self.sta}&loc={loc}&cha={self.cha}&start={iso(self.start_us)}&end={iso(self.end_us)}"
+        return f"{server(self.src)}/{service}/1/query?net={self.net}&sta={self.sta}&loc={loc}&cha={self.cha}&start={iso(self.start_us)}&end={iso(self.end_us)}"
 
 
 def plan(channels: str, start_us: int, end_us: int, src: str = KW.src, days: float = KW.nd) -> list[Request]:
@@ -77,7 +88,8 @@ def plan(channels: str, start_us: int, end_us: int, src: str = KW.src, days: flo
 
 
 def fetch_all(spark: SparkSession, requests: list[Request], fetch: Callable[[Request], bytes], fmt: str = "mseed") -> DataFrame:
-    """Pieces of all requests, one partition each; a failed request gives a row with id XX.FAIL..nnn and the reason in misc."""
+    """Pieces of all requests, one partition each; a failed request gives a row with id XX.FAIL..nnn and the reason in misc, an
+    unreadable answer one with id XX.FMT..nnn that holds the bytes as they came (W12)."""
     idx = spark.createDataFrame([(k,) for k in range(len(requests))], "k int").repartition(max(1, len(requests)), "k")
     cols = formats.COLUMNS
 
@@ -90,22 +102,38 @@ def fetch_all(spark: SparkSession, requests: list[Request], fetch: Callable[[Req
                     try:
                         got = formats.READERS[fmt](raw, "")
                     except Exception as e:  # noqa: BLE001
-                        got = [formats.piece(id=f"XX.FMT..{k + 1:03d}", fs=0.0, t0_us=0, x=[], misc={"error": str(e)[:500], "bytes": str(len(raw))})]
+                        got = [formats.piece(id=f"XX.FMT..{k + 1:03d}", fs=0.0, t0_us=0, x=[], misc={"error": str(e), "bytes": str(len(raw)), "raw_base64": base64.b64encode(raw).decode()})]
                 except Exception as e:  # noqa: BLE001
-                    got = [formats.piece(id=f"XX.FAIL..{k + 1:03d}", fs=0.0, t0_us=0, x=[], misc={"error": str(e)[:500], "url": requests[k].url()})]
+                    got = [formats.piece(id=f"XX.FAIL..{k + 1:03d}", fs=0.0, t0_us=0, x=[], misc={"error": str(e), "url": requests[k].url()})]
                 rows += [{c: p[c] for c in cols} for p in got]
             yield pd.DataFrame(rows, columns=cols)
 
     return idx.mapInPandas(run, formats.PIECE)
 
 
-def finish(samples: DataFrame, keys: list[str], step: int, fs: float, sync: bool = False, unscale: bool = False, demean: bool = False, detrend: bool = False, taper: bool = False, ungap: bool = False) -> DataFrame:
-    """What follows a download, in its fixed order; every flag is honoured by itself."""
+def finish(
+    samples: DataFrame, keys: list[str], step: int, fs: float, prune: bool = False, sync: bool = False, unscale: bool = False, demean: bool = False, detrend: bool = False,
+    taper: bool = False, ungap: bool = False, rr: DataFrame | None = None, seismic_only: bool = False,
+) -> DataFrame:
+    """What follows a download, in its fixed order; every flag is honoured by itself.
+
+    prune drops channels without a value; sync is for all channels; the rest is done for channels with a seismic instrument
+    code only if ``seismic_only`` (others stay as they are).  rr: responses of channels (keys and resp) to be removed at last, from
+    contiguous segments; channels without one stay as they are.
+    """
+    from tremolite.functions.ids import inst_code
+    from tremolite.operators import dsp
     from tremolite.timeaxis import segments_of_samples
 
     d = samples
+    if prune:
+        d = d.join(d.groupBy(*keys).agg(F.count(process.valid()).alias("_n")).where("_n > 0").select(*keys), keys, "left_semi")
     if sync:
         d = process.sync(d, keys, step)
+    rest = None
+    if seismic_only and "id" in keys:
+        code = F.coalesce(inst_code("id").isin(*KW.seismic), F.lit(False))
+        d, rest = d.where(code), d.where(~code)
     if unscale and "gain" in d.columns:
         d = process.unscale(d)
     if demean:
@@ -116,7 +144,13 @@ def finish(samples: DataFrame, keys: list[str], step: int, fs: float, sync: bool
         d = process.taper(segments_of_samples(d, keys, "t_us", step), keys, fs).drop("seg")
     if ungap:
         d = process.ungap(d, keys, step)
-    return d
+    if rr is not None:
+        s = segments_of_samples(d, keys, "t_us", step).groupBy(*keys, "seg").agg(F.min("t_us").alias("t0_us"), F.array_sort(F.collect_list(F.struct("t_us", "x"))).alias("_v"))
+        s = s.join(rr.select(*keys, "resp"), keys, "left").withColumn("x", F.col("_v.x")).withColumn("fs", F.lit(float(fs)))
+        with_, without = s.where("resp is not null").drop("_v"), s.where("resp is null").drop("_v")
+        done = dsp.translate_traces(with_).select(*keys, "t0_us", "x").unionByName(without.select(*keys, "t0_us", "x"))
+        d = done.select(*keys, "t0_us", F.posexplode("x").alias("_k", "x")).select(*keys, (F.col("t0_us") + F.col("_k") * step).alias("t_us"), "x")
+    return d if rest is None else d.unionByName(rest.select(*[c for c in d.columns if c in rest.columns]), allowMissingColumns=True)
 
 
 def live_stations(streams: DataFrame, now_us: int, stations: list[str], gap_s: int = KW.sl_gap_s) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tremolite import timeaxis
+
 OUT = "id string, seg bigint, i0 bigint, t0_us bigint, t1_us bigint, n bigint, gap_us bigint"
 STATE = "end_us bigint, n bigint, seg bigint"
 
@@ -51,18 +53,17 @@ def segments_stream(packets: DataFrame) -> DataFrame:
     return packets.groupBy("id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def segments_batch(packets: DataFrame) -> DataFrame:
-    """The same rows from a finished table, by built-in windows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("id").orderBy("ord")
+def segments_batch(packets: DataFrame, width: int = 65_536) -> DataFrame:
+    """The same rows from a finished table, by built-in windows over shards of ``width`` places in the order of arrival."""
     x = packets.where("n > 0").withColumn("t1_us", F.col("t0_us") + (F.col("n") - 1) * F.col("dt_us"))
-    gap = F.col("t0_us") - F.lag("t1_us").over(w) - F.col("dt_us")
+    x = timeaxis.previous(x, ["id"], "ord", width, "t1_us", "_p")
+    gap = F.col("t0_us") - F.col("_p") - F.col("dt_us")
     new = F.coalesce((F.abs(gap) > F.expr("dt_us div 2")).cast("long"), F.lit(1).cast("long"))
     x = x.withColumn("_g", gap).withColumn("_new", new)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = timeaxis.running(x, ["id"], "ord", width, F.col("_new"), "_seg")
+    x = timeaxis.running(x, ["id"], "ord", width, F.col("n"), "_all")
     return x.select(
-        "id", (F.sum("_new").over(up) - 1).alias("seg"), (F.sum("n").over(up) - F.col("n")).alias("i0"), "t0_us", "t1_us", F.col("n").cast("long").alias("n"),
+        "id", (F.col("_seg") - 1).alias("seg"), (F.col("_all") - F.col("n")).cast("long").alias("i0"), "t0_us", "t1_us", F.col("n").cast("long").alias("n"),
         F.when((F.col("_new") == 1) & F.col("_g").isNotNull(), F.col("_g")).otherwise(0).alias("gap_us"),
     )
 
