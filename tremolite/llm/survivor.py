@@ -1,9 +1,9 @@
 """Problem 4: the best representative of each duplicate group, field by field.
 
 Token-level consensus: the distinct usable values of a group are aligned progressively, weighted
-tokens vote per column, and the existing value closest to the consensus survives.  Large groups are
-aligned in blocks whose profiles are then aligned with each other, so no task holds a group's
-records: copies of a value are one row beforehand, and a block holds BLOCK values.
+tokens vote per column, and the existing value closest to the consensus survives.  A group of up to BLOCK values is
+settled where it is aligned; larger groups are aligned in blocks, whose profiles are aligned with each other in a tree of
+BLOCK profiles at a time, so no task holds a group's records.  Copies of a value are one row beforehand.
 
 Weights are records' ranks (trust, updated, key).  'rank' votes let the highest rank in a column win
 (the limit of weights of which each exceeds the sum of all lower ones); 'sum' votes add up trust + 1
@@ -13,6 +13,7 @@ over all records, so that a common value can outvote a trusted one.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremolite.functions.ids import canonical_id
+from tremolite.session import stored
 
 #: Distinct values that are aligned in one block.
 BLOCK = 64
@@ -151,6 +153,30 @@ def consensus(profile: list[dict]) -> list[str]:
     return [t for t in won if t != GAP]
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance of two texts; what they begin and end with in common costs nothing to compare."""
+    p = 0
+    while p < min(len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    q = 0
+    while q < min(len(a), len(b)) - p and a[-1 - q] == b[-1 - q]:
+        q += 1
+    a, b = a[p : len(a) - q], b[p : len(b) - q]
+    if not a or not b:
+        return len(a) + len(b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def away(tokens: list[str], agreed: list[str]) -> int:
+    """How far a value is from the consensus: 0 if it is the same."""
+    return 0 if list(tokens) == agreed else 1 + distance(" ".join(tokens), " ".join(agreed))
+
+
 def survivors(
     records: DataFrame, sources: DataFrame | None = None, votes: str = "rank", fields: tuple[str, ...] = FIELDS, key: str = "rec_id", block: int = BLOCK,
 ) -> DataFrame:
@@ -175,36 +201,58 @@ def survivors(
     v = x.select("id", "rank", F.explode("rows").alias("r")).where(F.col("r").isNotNull()).select("id", "rank", "r.field", "r.tokens")
     v = v.groupBy("id", "field", "tokens").agg(F.max("rank").alias("rank"), F.sum(F.col("rank.trust") + 1).alias("weight")).join(many, "id")
     # a channel has at most as many values of a field as records
-    blocks = F.ceil(F.col("n") / F.lit(block))
-    b = v.select("id", "field", F.pmod(F.xxhash64(F.concat_ws("\u0001", "tokens")), blocks).alias("block"), "tokens", F.col("rank.trust").alias("trust"), F.col("rank.us").alias("us"), F.col("rank.rec").alias("rec"), "weight")
-    add = max if votes == "rank" else (lambda a, c: a + c)
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    v = stored(v.select("id", "field", F.pmod(F.xxhash64(F.concat_ws("\u0001", "tokens")), blocks).alias("block"), blocks.alias("blocks"), "tokens", F.col("rank.trust").alias("trust"), F.col("rank.us").alias("us"), F.col("rank.rec").alias("rec"), "weight"))
+    add = max if votes == "rank" else (lambda a, c: (a[0] + c[0],))
+
+    def place(t, u, r) -> tuple:
+        return int(t), -1 if pd.isna(u) else int(u), int(r)
 
-    def weigh(t, u, r, w):
-        return (int(t), -1 if pd.isna(u) else int(u), int(r)) if votes == "rank" else (int(w),)
+    def weigh(t, u, r, w) -> tuple:
+        return place(t, u, r) if votes == "rank" else (int(w),)
 
-    plus = add if votes == "rank" else (lambda a, c: (a[0] + c[0],))
+    def pick(agreed: list[str], tokens, trust, us, rec) -> int:
+        """The record of the value closest to the consensus, of equally close ones that of the highest rank."""
+        far = [away(t, agreed) for t in tokens]
+        return max((-d, place(*x), int(x[2])) for d, x in zip(far, zip(trust, us, rec)))[2]
 
-    def first(keys: tuple, tokens, trust, us, rec, weight) -> tuple:
-        ps = []
-        for toks, t, u, r, w in zip(tokens, trust, us, rec, weight):
-            k = weigh(t, u, r, w)
-            ps.append(([{tok: k} for tok in toks], k))
-        p, w = progressive(ps, plus)
-        return keys[0], keys[1], json.dumps(p), json.dumps(w)
+    def first(keys: tuple, many, tokens, trust, us, rec, weight) -> tuple:
+        ps = [([{tok: k} for tok in toks], k) for toks, k in ((t, weigh(*x)) for t, x in zip(tokens, zip(trust, us, rec, weight)))]
+        p, w = progressive(ps, add)
+        if many[0] == 1:
+            return *keys, 1, None, None, pick(consensus(p), tokens, trust, us, rec)
+        return *keys, int(many[0]), json.dumps(p), json.dumps(w), None
 
-    def last(keys: tuple, cols, weights) -> tuple:
+    def merged(keys: tuple, many, cols, weights) -> tuple:
         ps = [([{t: tuple(k) for t, k in c.items()} for c in json.loads(c_)], tuple(json.loads(w))) for c_, w in zip(cols, weights)]
-        p, _ = progressive(ps, plus)
-        return keys[0], keys[1], consensus(p)
-
-    shape = "id string, field string, cols string, w string"  # a profile travels as JSON
-    one = b.repartition("id", "field", "block").sortWithinPartitions("id", "field", "block")
-    prof = one.mapInPandas(lambda it: group_stream(it, ["id", "field", "block"], ["tokens", "trust", "us", "rec", "weight"], first, ["id", "field", "cols", "w"]), shape)
-    prof = prof.repartition("id", "field").sortWithinPartitions("id", "field")
-    agreed = prof.mapInPandas(lambda it: group_stream(it, ["id", "field"], ["cols", "w"], last, ["id", "field", "agreed"]), "id string, field string, agreed array<string>")
-    text = lambda c: F.concat_ws(" ", c)
-    far = F.when(F.col("tokens") == F.col("agreed"), 0).otherwise(1 + F.levenshtein(text("tokens"), text("agreed")))
-    near = v.join(agreed, ["id", "field"]).groupBy("id", "field").agg(
-        F.max_by("rank.rec", F.struct((-far).alias("d"), F.col("rank"))).alias(key)
-    )
-    return near.select("id", "field", key)
+        p, w = progressive(ps, add)
+        return *keys, int(many[0]), json.dumps(p), json.dumps(w)
+
+    group = ["id", "field", "block"]
+
+    def run(df: DataFrame, cols: list[str], fn: Callable[..., tuple], out: str) -> DataFrame:
+        names = [c.split()[0] for c in out.split(", ")]
+        return df.select(*group, *cols).repartition(*group).sortWithinPartitions(*group).mapInPandas(lambda it: group_stream(it, group, cols, fn, names), out)
+
+    shape = "id string, field string, block bigint, blocks bigint, cols string, w string"  # a profile travels as JSON
+    values = ["tokens", "trust", "us", "rec", "weight"]
+    most = v.agg(F.max("blocks")).first()[0] or 1
+    done = run(v, ["blocks", *values], first, f"{shape}, found bigint")
+    if most == 1:
+        return done.select("id", "field", F.col("found").alias(key))
+    done = stored(done)
+    prof = done.where(F.col("found").isNull()).drop("found")
+    for _ in range(math.ceil(math.log(most, block) - 1e-9)):
+        prof = run(prof.withColumn("block", F.floor(F.col("block") / block)), ["blocks", "cols", "w"], merged, shape)
+    agreed = F.udf(lambda c: json.dumps(consensus([{t: tuple(k) for t, k in x.items()} for x in json.loads(c)])))  # a row a large group
+    # values of large groups are compared where they are, block by block, and the best of each block with one another
+    large = v.where("blocks > 1").join(prof.select("id", "field", agreed("cols").alias("cols")), ["id", "field"])
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["far"] = [away(t, json.loads(c)) for t, c in zip(b["tokens"], b["cols"])]
+            yield b[["id", "field", "far", "trust", "us", "rec"]]
+
+    far = large.select("id", "field", "cols", "tokens", "trust", "us", "rec").mapInPandas(close, "id string, field string, far bigint, trust bigint, us bigint, rec bigint")
+    best = far.groupBy("id", "field").agg(F.max(F.struct((-F.col("far")).alias("d"), "trust", "us", "rec")).alias("m")).select("id", "field", F.col("m.rec").alias(key))
+    return done.where(F.col("found").isNotNull()).select("id", "field", F.col("found").alias(key)).unionByName(best)
