@@ -330,12 +330,14 @@ def polyfit(t: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.linalg.lstsq(np.vander(np.asarray(t, float), n + 1), np.asarray(x, float), rcond=None)[0]
 
 
-def apply_segments(traces: DataFrame, fn: Callable[[np.ndarray, pd.Series], np.ndarray], x: str = "x") -> DataFrame:
-    """fn(samples, row) of every segment; null segments stay null.  The extension point for own kernels; no shuffle."""
+def apply_segments(traces: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], x: str = "x") -> DataFrame:
+    """fn(samples, the row's other columns by name) of every segment; null segments stay null.  The extension point for own kernels; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b[x] = [None if v is None else fn(np.asarray(v, float), r) for v, (_, r) in zip(b[x], b.drop(columns=x).iterrows())]
+            others = [c for c in b.columns if c != x]
+            rows = zip(*[b[c] for c in others]) if others else iter(lambda: (), None)
+            b[x] = [None if v is None else fn(np.asarray(v, float), dict(zip(others, r))) for v, r in zip(b[x], rows)]
             yield b
 
     return traces.mapInPandas(run, traces.schema)

@@ -137,7 +137,7 @@ def rescale_from(target: DataFrame, source: DataFrame, key: str = "id", order: s
     return rescale(j, F.coalesce("_g", "gain")).drop("_g")
 
 
-def sync(df: DataFrame, keys: list[str], step: int, start: str | int = "last", end: str | int = "none", pad: bool = False, t: str = "t_us") -> DataFrame:
+def sync(df: DataFrame, keys: list[str], step: int, start: str | int = "last", end: str | int = "none", pad: bool = False, t: str = "t_us", chunk: int = 4096) -> DataFrame:
     """A common window. start/end: 'first', 'last' (of the channels' starts or ends), microseconds, or 'none' for end.
 
     Samples outside are cut; with pad, channels that begin late or end early are filled up with their
@@ -156,10 +156,14 @@ def sync(df: DataFrame, keys: list[str], step: int, start: str | int = "last", e
     if not pad:
         return cut
     live = b.join(one, F.lit(True)).where((F.col("_t0").isNull() | (F.col("_z") >= F.col("_t0"))) & (F.col("_t1").isNull() | (F.col("_a") <= F.col("_t1"))))
-    none = F.array().cast("array<bigint>")
-    pre = F.when(F.col("_t0").isNotNull() & (F.col("_a") - F.col("_t0") >= step), F.expr(f"transform(sequence(1L, (_a - _t0) div {step}), k -> _a - k * {step})")).otherwise(none)
-    post = F.when(F.col("_t1").isNotNull() & (F.col("_t1") - F.col("_z") >= step), F.expr(f"transform(sequence(1L, (_t1 - _z) div {step}), k -> _z + k * {step})")).otherwise(none)
-    fill = live.select(*keys, F.explode(F.concat(pre, post)).alias(t), F.coalesce("_mu", F.lit(0.0)).alias("x"))
+    # pads are made in chunks: (from, steps, sign)
+    pre = F.struct(F.col("_a").alias("at"), F.expr(f"(_a - _t0) div {step}").alias("n"), F.lit(-step).cast("long").alias("by"))
+    post = F.struct(F.col("_z").alias("at"), F.expr(f"(_t1 - _z) div {step}").alias("n"), F.lit(step).cast("long").alias("by"))
+    ends = live.select(*keys, F.coalesce("_mu", F.lit(0.0)).alias("x"), F.explode(F.array(pre, post)).alias("_p")).where("_p.n > 0")
+    parts = ends.select(*keys, "x", "_p", F.explode(F.expr(f"sequence(0L, (_p.n - 1) div {chunk})")).alias("_c"))
+    lo = F.col("_c") * chunk
+    k = F.sequence(lo + 1, F.least(F.col("_p.n"), lo + chunk))
+    fill = parts.select(*keys, F.explode(F.transform(k, lambda v: F.col("_p.at") + v * F.col("_p.by"))).alias(t), "x")
     return cut.select(*keys, t, "x").unionByName(fill)
 
 

@@ -162,9 +162,11 @@ def segment_table(samples: DataFrame, keys: list[str], t: str, step: int | Colum
 
 
 def expand(windows_df: DataFrame, keys: list[str]) -> DataFrame:
-    """Windows to sample times: keys, seg, i, t_us (``t_expand``)."""
+    """Windows to sample times: keys, seg, i, t_us (``t_expand``); long windows in chunks of SHARD_STEPS."""
     n = F.col("i1") - F.col("i0")
-    return windows_df.select(*keys, "seg", "i0", "t0_us", "d", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("_k")).select(
+    c = windows_df.select(*keys, "seg", "i0", "t0_us", "d", n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / SHARD_STEPS))).alias("_c"))
+    lo = F.col("_c") * SHARD_STEPS
+    return c.select(*keys, "seg", "i0", "t0_us", "d", F.explode(F.sequence(lo, F.least(F.col("_n"), lo + SHARD_STEPS - 1))).alias("_k")).select(
         *keys, "seg", (F.col("i0") + F.col("_k")).alias("i"), (F.col("t0_us") + F.col("_k") * F.col("d")).alias("t_us")
     )
 
