@@ -217,6 +217,8 @@ def survivors(
         return max((-d, place(*x), int(x[2])) for d, x in zip(far, zip(trust, us, rec)))[2]
 
     def first(keys: tuple, many, tokens, trust, us, rec, weight) -> tuple:
+        if many[0] == 1 and len(tokens) == 1:  # nothing to align: the only value is its own consensus
+            return *keys, 1, None, None, int(rec[0])
         ps = [([{tok: k} for tok in toks], k) for toks, k in ((t, weigh(*x)) for t, x in zip(tokens, zip(trust, us, rec, weight)))]
         p, w = progressive(ps, add)
         if many[0] == 1:
