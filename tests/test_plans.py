@@ -52,7 +52,7 @@ def test_long_channels_are_cut_into_shards(spark, name):
     # a window that isn't over shards reads an aggregate by shard
     for line in p.splitlines():
         if "Window [" in line and "], [_key#" in line and "_sh#" not in line.split("], [")[1]:
-            assert re.search(r"_(sum|last|n|first|head|before|step)#|_carry#|_off#", line), line
+            assert re.search(r"_(sum|last|n|first|head|before|step|w\d)#|_carry#|_off#", line), line
 
 
 def test_segments_exchange_data_once(spark):

@@ -300,3 +300,25 @@ def test_losses_name_what_the_table_cannot_keep(spark):
     table = {r["line_id"]: r["loc"] for r in drift.consistent_table(rec, files).collect()}
     assert table[1] == {"el": "51.0"} and table[5] == {"el": "5.5"} and table[11] == {"el": "1.5"} and table[16] == {"el": None} and table.keys() == {r[0] for r in rows} - {26, 27, 28, 29}
     assert drift.losses(rec.limit(0), files).count() == 0
+
+
+def test_chained_renames_against_brute_force():
+    import pandas as pd
+
+    rng = random.Random(6)
+    for _ in range(200):
+        ren = {}
+        for _ in range(rng.randint(0, 12)):
+            a, b = rng.sample("abcdef", 2)
+            ren[rng.randint(2, 9), a] = b
+        g = pd.DataFrame([(s, a, b) for (s, a), b in ren.items()], columns=["seq", "field", "new_field"])
+        rules = drift.chained(g)
+        for s in range(1, 10):
+            for name in "abcdef":
+                c, n = name, 0
+                for later in range(s + 1, 10):
+                    if (later, c) in ren:
+                        c, n = ren[later, c], n + 1
+                hit = rules[(rules["field"] == name) & (rules["lo"] <= s) & (rules["hi"] > s)]
+                got = (name, 0) if hit.empty else (hit["canonical"].iloc[0], hit["steps"].iloc[0])
+                assert len(hit) <= 1 and got == (c, n)

@@ -175,35 +175,47 @@ def changes(records: DataFrame, files: DataFrame, share: float = RENAME_SHARE, l
     return d.select("file_id", kind.alias("change_kind"), "field", F.coalesce("to", F.lit("")).alias("new_field"), "old_type", F.coalesce("to_type", "new_type").alias("new_type"))
 
 
+def chained(renames: pd.DataFrame) -> pd.DataFrame:
+    """field, lo, hi, canonical, steps: what a producer's renames (seq, field, new_field) make of a field's name in its files lo to hi - 1.
+
+    From the last file backwards: before a rename its old name stands for whatever the new name stands for after it.
+    """
+    stands: dict[str, tuple[str, int]] = {}
+    rows: list[list] = []
+    since: dict[str, list] = {}
+    for seq, g in sorted(renames.groupby("seq"), reverse=True):
+        new = {a: (stands.get(b, (b, 0))[0], stands.get(b, (b, 0))[1] + 1) for a, b in zip(g["field"], g["new_field"])}
+        for a, (c, n) in new.items():
+            if a in since:
+                since[a][1] = int(seq)
+            since[a] = [a, 0, int(seq), c, n]
+            rows.append(since[a])
+        stands |= new
+    return pd.DataFrame(rows, columns=["field", "lo", "hi", "canonical", "steps"])
+
+
 def migration_rules(changed: DataFrame, fields: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, field, canonical (name in the producer's last file that has it), target (its type there), steps.
 
-    Renames are chained over the files of a producer.  Only field-level rows are grouped: a producer's
-    files times its fields (tests' producers have at most eleven files), never its records.
+    Only a producer's renames are chained in one place; files and fields are joined to what comes of them.
     """
-    chain = file_chain(files)
-    ren = changed.where(F.col("change_kind") == "renamed").join(chain.select("file_id", "producer", "seq"), "file_id").select("producer", "seq", "file_id", F.col("field").alias("field"), "new_field", F.lit(None).cast("string").alias("kind"))
-    have = fields.join(chain.select("file_id", "producer", "seq"), "file_id").select("producer", "seq", "file_id", "field", F.lit("").alias("new_field"), "kind")
-
-    def rules(g: pd.DataFrame) -> pd.DataFrame:
-        to: dict[int, dict[str, str]] = {}
-        for s, a, b in zip(g["seq"], g["field"], g["new_field"]):
-            if b:
-                to.setdefault(s, {})[a] = b
-        seqs = sorted(set(g["seq"]))
-        rows = g[g["new_field"] == ""]
-        out, last = [], {}
-        for s, f, name, kind in zip(rows["seq"], rows["file_id"], rows["field"], rows["kind"]):
-            c, n = name, 0
-            for later in seqs:
-                if later > s and c in to.get(later, {}):
-                    c, n = to[later][c], n + 1
-            out.append((f, name, c, n))
-            if name == c and s >= last.get(c, (0, ""))[0]:
-                last[c] = (s, kind)
-        return pd.DataFrame([(f, a, c, last.get(c, (0, "string"))[1], n) for f, a, c, n in out], columns=["file_id", "field", "canonical", "target", "steps"])
-
-    return have.unionByName(ren).groupBy("producer").applyInPandas(rules, "file_id bigint, field string, canonical string, target string, steps int")
+    chain = stored(file_chain(files)).select("file_id", "producer", "seq")
+    ren = changed.where(F.col("change_kind") == "renamed").join(chain, "file_id").select("producer", "seq", "field", "new_field")
+    kind = files.schema["producer"].dataType.simpleString()
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        out = chained(g)
+        out.insert(0, "producer", g["producer"].iloc[0])
+        return out
+
+    # a null producer is a producer like any other
+    rules = ren.groupBy("producer").applyInPandas(one, f"producer {kind}, field string, lo bigint, hi bigint, canonical string, steps int").select(F.struct("producer").alias("_p"), F.col("field").alias("_f"), "lo", "hi", "canonical", "steps")
+    have = fields.join(chain, "file_id").select("file_id", "field", "kind", "seq", F.struct("producer").alias("_q"))
+    on = (F.col("_p") == F.col("_q")) & (F.col("_f") == F.col("field")) & (F.col("seq") >= F.col("lo")) & (F.col("seq") < F.col("hi"))
+    named = have.join(rules, on, "left").select("file_id", "field", "kind", "seq", "_q", F.coalesce("canonical", "field").alias("canonical"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    last = named.where(F.col("field") == F.col("canonical")).groupBy(F.col("_q").alias("_r"), F.col("canonical").alias("_c")).agg(F.max_by("kind", "seq").alias("target"))
+    j = named.join(last, (F.col("_q") == F.col("_r")) & (F.col("canonical") == F.col("_c")), "left")
+    return j.select("file_id", "field", "canonical", F.coalesce("target", F.lit("string")).alias("target"), "steps")
 
 
 def routed(fields: DataFrame, rules: DataFrame) -> DataFrame:
