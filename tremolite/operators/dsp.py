@@ -377,10 +377,14 @@ def envelope_traces(traces: DataFrame) -> DataFrame:
     return apply_segments(traces, lambda x, _: envelope(x))
 
 
-def resample_traces(traces: DataFrame, f0: float) -> DataFrame:
-    """V8 on a traces table: x and fs change, start times stay."""
+def resample_traces(traces: DataFrame, f0: float | None = None) -> DataFrame:
+    """V8 on a traces table: x and fs change, start times stay.  Without a rate it is the lowest above 0 in the table (one small job)."""
     from pyspark.sql import functions as F
 
+    if f0 is None:
+        f0 = traces.where("fs > 0").agg(F.min("fs")).first()[0]
+        if f0 is None:
+            return traces
     return apply_segments(traces, lambda x, r: resample(x, float(r["fs"]), f0)).withColumn("fs", F.lit(float(f0)))
 
 
@@ -389,5 +393,14 @@ def _complex(v) -> np.ndarray:
 
 
 def translate_traces(traces: DataFrame, new: tuple = FLAT) -> DataFrame:
-    """V14 on a traces table with a ``resp`` struct (a0, p, z); V15 (remove_resp) is the default."""
-    return apply_segments(traces, lambda x, r: translate(x, float(r["fs"]), (float(r["resp"]["a0"]), _complex(r["resp"]["z"]), _complex(r["resp"]["p"])), new))
+    """V14 on a traces table with a ``resp`` struct (a0, p, z); V15 (remove_resp) is the default.
+
+    Where the table has ``units`` and they are m/s2, poles beyond twice the rate of sampling (in rad/s over pi) are left out and two zeros added.
+    """
+    def one(x: np.ndarray, r: dict) -> np.ndarray:
+        z, p, fs = _complex(r["resp"]["z"]), _complex(r["resp"]["p"]), float(r["fs"])
+        if r.get("units") == "m/s2":
+            z, p = np.r_[z, 0, 0], p[np.abs(p) / np.pi <= fs]
+        return translate(x, fs, (float(r["resp"]["a0"]), z, p), new)
+
+    return apply_segments(traces, one)

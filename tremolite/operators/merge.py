@@ -82,6 +82,21 @@ def merge_many(*tables: DataFrame, key: str = "id") -> DataFrame:
     return merge_traces(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), key)
 
 
+def merge_matching(c: DataFrame, c_traces: DataFrame, d: DataFrame, d_traces: DataFrame, keys: tuple[str, ...] = ("fs", "gain", "units")) -> DataFrame:
+    """Traces of channels d merged into those of channels c of the same id whose rate, gain and units agree, unset matching anything.
+
+    c, d: header tables (ch, id and keys); traces: ch, t0_us, fs, x.  Traces of c all stay; those of d only where their header agrees with one
+    of c.  Output as ``merge_traces``, by id.
+    """
+    from tremolite.operators.select import header_classes, match_unset
+
+    hit = match_unset(c, d, keys).select(F.col("ch_b").alias("grp")).distinct()
+    into = header_classes(d, keys).join(hit, "grp", "left_semi").select("ch")
+    one = c_traces.join(c.select("ch", "id"), "ch").select("id", "t0_us", "fs", "x")
+    two = d_traces.join(into, "ch", "left_semi").join(d.select("ch", "id"), "ch").select("id", "t0_us", "fs", "x")
+    return merge_many(one, two)
+
+
 def align_traces(traces: DataFrame, key: str = "id", most: int = 4, least: int = 8, rtol: float = 1e-5, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Traces whose samples repeat those of an overlapping trace, but up to ``most`` samples early or late, moved to where the data agree.
 

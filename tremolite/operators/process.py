@@ -27,9 +27,15 @@ def _with(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys)
 
 
-def demean(df: DataFrame, keys: list[str]) -> DataFrame:
-    """V1: subtract the channel's mean; NaNs are ignored and stay."""
-    return _with(df, keys, _mu=F.avg(valid())).withColumn("x", F.col("x") - F.coalesce("_mu", F.lit(0.0))).drop("_mu")
+def demean(df: DataFrame, keys: list[str], fs: str | None = None, irr: bool = False) -> DataFrame:
+    """V1: subtract the channel's mean; NaNs are ignored and stay.
+
+    fs: a column of rates: channels whose rate isn't above 0 stay as they are, unless ``irr``.
+    """
+    mu = F.coalesce("_mu", F.lit(0.0))
+    if fs is not None and not irr:
+        mu = F.when(F.col(fs) > 0, mu).otherwise(0.0)
+    return _with(df, keys, _mu=F.avg(valid())).withColumn("x", F.col("x") - mu).drop("_mu")
 
 
 def nanfill(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,12 +57,14 @@ def detrend(df: DataFrame, keys: list[str], t: str = "t_us") -> DataFrame:
     return df.join(one, keys).withColumn("x", F.col("x") - line).drop("_b", "_ms", "_mu")
 
 
-def ungap(df: DataFrame, keys: list[str], step: int, mean: bool = True, t: str = "t_us", chunk: int = 4096) -> DataFrame:
+def ungap(df: DataFrame, keys: list[str], step: int, mean: bool = True, t: str = "t_us", chunk: int = 4096, tap: bool = False) -> DataFrame:
     """V4: every grid time between a channel's first and last sample; gaps hold the mean (NaNs ignored) or NaN.
 
     Samples off the grid go to the grid time before them, measured from the first sample; two samples at one grid time
-    are averaged.  The grid is made in chunks, so a long channel is spread over tasks.
+    are averaged.  The grid is made in chunks, so a long channel is spread over tasks.  ``tap`` tapers every segment first.
     """
+    if tap:
+        df = taper(segments_of_samples(df, keys, t, step), keys, 1e6 / step, order=t).select(*keys, t, "x")
     b = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.avg(valid()).alias("_mu"))
     d = F.lit(step)
     n = F.expr(f"(_t1 - _t0) div {step}")

@@ -57,6 +57,23 @@ def merge_trace_fields(df: DataFrame, keys: list[str], latest: str) -> DataFrame
     return df.groupBy(*keys).agg(*[val(c).alias(c) for c in ("az", "baz", "dist")])
 
 
+def event_table(events: DataFrame, channels: DataFrame, samples: DataFrame, before_us: int, after_us: int, table: DataFrame | None = None, phase: str = "P") -> DataFrame:
+    """event_id, id, dist, az, baz, phase, tt, n, t0_us: every channel of every event with its geometry, the travel time of a phase
+    (null without a ``table``) and its samples from before_us to after_us around the origin time.
+
+    events: event_id, ot_us, lat, lon; channels: event_id, id, loc; samples: id, t_us, x.  Samples are joined by id and time bucket; channels
+    without samples in the window have n 0.
+    """
+    from tremolite.operators.select import interval_join
+
+    g = distaz(channels.select("event_id", "id", "loc"), events).select("event_id", "id", "dist", "az", "baz")
+    g = travel_times(g, table, phase) if table is not None else g.select("*", F.lit(phase).alias("phase"), F.lit(None).cast("double").alias("tt"))
+    w = channels.select("event_id", "id").distinct().join(events.select("event_id", (F.col("ot_us") - before_us).alias("_a"), (F.col("ot_us") + after_us).alias("_z")), "event_id")
+    s = samples.select("id", "t_us", F.col("t_us").alias("_t2"))
+    n = interval_join(w, s, "id", ("_a", "_z"), ("t_us", "_t2"), max(1, before_us + after_us)).groupBy("event_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("t0_us"))
+    return g.join(n, ["event_id", "id"], "left").select("event_id", "id", "dist", "az", "baz", "phase", "tt", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "t0_us")
+
+
 def merge_phases(df: DataFrame, keys: list[str], latest: str, pha: str = "pha") -> DataFrame:
     """One phase map of merged event traces: of each phase the latest member's pick; entries are reduced before they are collected."""
     from tremolite.operators.select import merge_maps

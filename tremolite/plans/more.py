@@ -458,3 +458,39 @@ def download_steps(spark, d):
     s = model.ship_day(load(spark, d, "lineitem"))
     f = web.finish(s, ["id"], model.DAY, 1 / 86400, demean=True, ungap=True)
     return process.demean(f, ["id"]).select("id", "t_us", (F.round("x", 4) + 0.0).alias("x"))
+
+
+# --- compositions
+
+
+@query("select event_id, round(case when event_id % 5 = 0 then -value when event_id % 2 = 0 then value else value + 1 end, 6) as value from events")
+def store_events(spark, d):
+    """K9: a table of events written, added to and overwritten by key."""
+    e, at = load(spark, d, "events").select("event_id", "value"), _folder(spark, "events")
+    store.write_table(e.where("event_id % 2 = 0"), at, "event_id")
+    store.write_table(e.withColumn("value", F.col("value") + 1), at, "event_id", "add")
+    store.write_table(e.where("event_id % 5 = 0").withColumn("value", -F.col("value")), at, "event_id", "ovr")
+    return spark.read.parquet(at).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("with e as (select vec_id, label, generate_subscripts(embedding, 1) as i, cast(round(unnest(embedding)::double * 1000) as bigint) as v from embeddings), w as (select 'V' || vec_id % 25 as id, (vec_id // 25) * 32 + i as k, v from e where vec_id % 2 = 0 or label < 7), m as (select id, k, avg(v) as v from w group by id, k) select id, count(*) as n, round(sum(v), 4) as total from m group by id")
+def merge_matching(spark, d):
+    """Odd-numbered channels merged into even-numbered ones of their id where the units agree or are unset."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("ch"), F.concat(F.lit("V"), F.col("vec_id") % 25).alias("id"), F.lit(1.0).alias("fs"), F.lit(1.0).alias("gain"), "label", (F.expr("vec_id div 25") * 32_000_000).alias("t0_us"), F.transform(F.col("embedding").cast("array<double>"), lambda v: F.round(v * 1000)).alias("x"))
+    units = F.when(F.col("ch") % 2 == 0, "m").when(F.col("label") < 3, None).when(F.col("label") < 7, "m").otherwise("Pa")
+    h, t = e.select("ch", "id", "fs", "gain", units.alias("units")), e.select("ch", "t0_us", "fs", "x")
+    even = F.col("ch") % 2 == 0
+    m = merge.merge_matching(h.where(even), t.where(even), h.where(~even), t.where(~even))
+    return m.groupBy("id").agg(F.sum(F.size("x")).alias("n"), F.round(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)), 4).alias("total"))
+
+
+@query(_HOURS + ", r as (select r_regionkey as event_id, 1704067200000000 + r_regionkey * 259200000000 as ot from region), c as (select event_id, ot, id from r, (select distinct id from ev)) select c.event_id, c.id, count(ev.t_us) as n, coalesce(min(ev.t_us), 0) as t0_us, round(c.event_id * 10.0, 6) as dist from c left join ev on ev.id = c.id and ev.t_us between ot - 86400000000 and ot + 86400000000 group by c.event_id, c.id")
+def event_data(spark, d):
+    """Events with their channels, distances and samples around the origin time."""
+    ev = model.ev_hour(load(spark, d, "events"))
+    r = load(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("event_id"), (F.lit(1_704_067_200_000_000) + F.col("r_regionkey") * 259_200_000_000).alias("ot_us"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    kinds = [q[0] for q in ev.select("id").distinct().collect()]
+    c = r.select("event_id", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("id"))
+    c = c.withColumn("loc", F.named_struct(F.lit("lat"), F.lit(0.0), F.lit("lon"), F.col("event_id") * 10.0))
+    t = quake.event_table(r, c, ev, model.DAY, model.DAY)
+    return t.select("event_id", "id", "n", F.coalesce("t0_us", F.lit(0).cast("long")).alias("t0_us"), F.round("dist", 6).alias("dist"))

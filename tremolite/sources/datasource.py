@@ -144,7 +144,8 @@ class WaveformReader(DataSourceReader):
 
 
 class PacketStream(DataSourceStreamReader):
-    """Packet files of a folder as a stream: each is read once, whenever it comes and whatever its name.
+    """Packet files of a folder as a stream: each is read once, whenever it comes and whatever its name (option ``mode``: all of
+    them, those that come after the query's first start, or the packets of a time window).
 
     Files are numbered as they are discovered: a log beside them (option ``log``, by default the folder ``_seen``) has one
     entry per discovery with the names and times of change of its files, and offsets count entries.  An offset so stands for
@@ -155,13 +156,27 @@ class PacketStream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.fmt, self.pattern = options.get("fmt", "mseed"), options.get("path", "")
         self.most = int(options.get("maxFilesPerTrigger", 0)) or None
+        # T2: 'fetch' reads everything from the start, 'data' only what comes after the query's start, 'time' what lies in a time window
+        self.mode = options.get("mode", "fetch")
+        if self.mode not in ("data", "fetch", "time"):
+            raise ValueError("modes are data, fetch and time")
+        us = lambda k: int(options[k]) if options.get(k) else None
+        self.window = (us("start_us"), us("end_us")) if self.mode == "time" else (None, None)
         self.log = options.get("log") or f"{_base(self.pattern.split(',')[0]).rstrip('/')}/_seen"
         self.entries: list[list[list]] = []
         self.seen: set[tuple[str, int]] = set()
 
     def initialOffset(self) -> dict:
+        if self.mode == "data":
+            while (n := self.latestOffset()["n"]) and self._more():
+                pass
+            return {"n": n}
         return {"n": 0}
 
+    def _more(self) -> bool:
+        before = len(self.entries)
+        return self.latestOffset()["n"] > before
+
     def _entry(self, k: int) -> str:
         return f"{self.log}/{k:09d}.json"
 
@@ -217,7 +232,7 @@ class PacketStream(DataSourceStreamReader):
         return [FileRange(p) for files in self.entries[start["n"] : end["n"]] for p, _ in files]
 
     def read(self, part: FileRange) -> Iterator[tuple]:
-        yield from read_range(self.fmt, part.path)
+        yield from read_range(self.fmt, part.path, start_us=self.window[0], end_us=self.window[1])
 
     def commit(self, end: dict) -> None:
         pass

@@ -59,6 +59,26 @@ def read(spark: SparkSession, path: str, id: str = "*", start_us: int | None = N
     return s.select("id", "t_us", "x")
 
 
+def write_table(rows: DataFrame, path: str, key: str, mode: str = "new") -> None:
+    """K9: a table of events, picks or auxiliary data beside the samples, one row a key.
+
+    mode 'new' fails on an existing table; 'add' keeps stored rows where both have a key; 'ovr' takes the new ones.
+    """
+    spark = rows.sparkSession
+    if mode == "new":
+        rows.write.parquet(path)
+        return
+    if mode not in ("add", "ovr"):
+        raise ValueError("modes are new, add and ovr")
+    from tremolite.session import cut
+
+    old = spark.read.parquet(path)
+    first, rest = (old, rows) if mode == "add" else (rows, old)
+    # the old files are read by the plan that replaces them, so the result is made firm first
+    out = cut(first.unionByName(rest.join(first.select(key), key, "left_anti"), allowMissingColumns=True))
+    out.write.mode("overwrite").parquet(path)
+
+
 def read_event(spark: SparkSession, path: str, events: DataFrame, event_id: str, before_us: int, after_us: int) -> DataFrame:
     """Samples around one event's origin time."""
     one = events.where(F.col("event_id") == event_id).select(F.col("ot_us").alias("_ot"))
