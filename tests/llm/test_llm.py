@@ -350,6 +350,52 @@ def test_alignment_by_dynamic_programming_takes_back_wrong_turns():
     assert run(item, " ".join(words[:12] + words[13:])) == (27, 13, 40)
 
 
+def test_search_passes_equal_words_together_and_spells_out_few(monkeypatch):
+    say = random.Random(8)
+    item = say.choices(VOCAB, k=600)
+    it = leak.Items([0], [" ".join(item)], leak.Cgk())
+    it.index()
+    reads, spelt, word = [], [], T.Words.word
+
+    class Counted(np.ndarray):
+        def __getitem__(self, k):
+            reads.append(1)
+            return np.asarray(self)[k]
+
+    x = T.words([" ".join(say.choices(VOCAB, k=50) + item + say.choices(VOCAB, k=50))])
+    x.h = x.h.view(Counted)
+    monkeypatch.setattr(T.Words, "word", lambda self, k: spelt.append(k) or word(self, k))
+    assert leak.search(it, x) == [(0, 0, (600, 0, 600))]
+    # a step a word were thousands of reads, and each of the 700 words was spelt out
+    assert len(reads) < 1500 and len(spelt) < 350
+
+
+def test_words_and_pairs_that_come_soon():
+    h = T.words([" ".join(random.Random(4).choices(VOCAB, k=50))]).h
+    for step in (1, -1):
+        pairs = leak.pairs_of(h, step)
+        for k in range(50):
+            assert int(pairs[k]) == (int(h[k]) * 0xD6E8FEB86659FD93 + int(h[min(max(k + step, 0), 49)])) % 2**64
+        for v in (h, pairs):
+            bits, soon = [1 << (int(c) >> 58) for c in v], leak.ahead(v, step)
+            for k in range(50):
+                want = 0
+                for g in range(1, leak.INSERTED + 1):
+                    want |= bits[k + step * g] if 0 <= k + step * g < 50 else 0
+                assert int(soon[k]) == want
+
+
+def test_word_hashes():
+    texts = ["a bc \u00e9t\u00e9 " + "x" * 63 + " " + "y" * 200, None, "", "end"]
+    w = T.words(texts)
+    assert [w.word(k) for k in range(len(w.h))] == ["a", "bc", "\u00e9t\u00e9", "x" * 63, "y" * 200, "end"] and w.first.tolist() == [0, 5, 5, 5, 6]
+    for k in range(len(w.h)):
+        h = 0
+        for n, c in enumerate(w.buf[w.a[k] : w.z[k]]):
+            h = (h + int(T._BYTE[c]) * int(T._POW[n & 63])) % 2**64
+        assert int(w.h[k]) == (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+
+
 def test_items_copied_into_many_documents_are_no_formulas():
     say = random.Random(2)
     item = " ".join(say.choices(VOCAB, k=100))

@@ -38,6 +38,10 @@ FORMULA, FORMULA_SHARE, FORMULA_LEAST = 12, 0.009, 8
 FORMULA_MOST = 60
 #: Texts are copies of one another if a band of ROWS minimal hashes of their shingles agrees in any of BANDS.
 SHINGLE, BANDS, ROWS = 5, 4, 2
+#: Equal words that are passed together at most.
+PAD = 32
+#: Windows whose keys are made at once: their arrays stay in the processor's cache.
+PIECE = 1 << 13
 #: Words of items sent to the documents at once, and of all items together.
 BLOCK_WORDS, ITEM_WORDS = 1_000_000, 20_000_000
 
@@ -55,24 +59,27 @@ class Cgk:
 
     def keys(self, h: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
         """For each sample the keys of the windows of h that start at ``start``."""
-        w = np.int64(self.window)
-        pad = np.uint64(0)
+        w, pad = self.window, np.uint64(0)
+        end, tmp = start + w, np.empty(len(start), np.uint64)
         for mul, ats, coefs in zip(self.mul, self.at, self.coef):
             need = max(int(a[-1]) for a in ats) + 1
             wanted = {int(p) for a in ats for p in a}
-            ptr = np.zeros(len(start), np.int64)
+            ptr = start.astype(np.int64)
             out = {}
             for s in range(need):
-                tok = h[start + np.minimum(ptr, w - 1)]
-                if s >= self.window:  # only now a walk can be past the end
-                    tok = np.where(ptr < w, tok, pad)
+                if s >= w:  # only now a walk can be past the end
+                    tok = np.where(ptr < end, h[np.minimum(ptr, end - 1)], pad)
+                else:
+                    tok = h[ptr]
                 if s in wanted:
                     out[s] = tok
-                ptr += ((tok * mul[s]) >> np.uint64(63)).astype(np.int64)
+                np.multiply(tok, mul[s], out=tmp)
+                np.right_shift(tmp, np.uint64(63), out=tmp)
+                ptr += tmp.view(np.int64)
             for a, c in zip(ats, coefs):
                 key = np.zeros(len(start), np.uint64)
                 for p, m in zip(a, c):
-                    key += out[int(p)] * m
+                    key += np.multiply(out[int(p)], m, out=tmp)
                 key ^= key >> np.uint64(32)
                 yield key * np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,14 +114,47 @@ def similar(a: str, b: str) -> bool:
     return prev[-1] <= 2
 
 
-def reach(it: Items, x: T.Words, bounds: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, step: int, insert: bool | None) -> tuple[np.ndarray, np.ndarray]:
-    """How far alignments from many candidates go, with what hashes, lengths and letters of words tell: the first item word not covered, and the
-    first document word.
+def pairs_of(h: np.ndarray, step: int) -> np.ndarray:
+    """Hash of each word and the one after it in the direction of ``step``; the last word stands for the one after it."""
+    after = np.r_[h[1:], h[-1:]] if step > 0 else np.r_[h[:1], h[:-1]]
+    return h * np.uint64(0xD6E8FEB86659FD93) + after
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    """The bit of a hash in a set of 64 bits."""
+    return h >> np.uint64(58)
+
+
+def ahead(h: np.ndarray, step: int) -> np.ndarray:
+    """For each place the set (of 64 bits) of the INSERTED hashes after it in the direction of ``step``."""
+    s = np.r_[np.uint64(1) << slots(h)[::step], np.zeros(INSERTED, np.uint64)][1:]
+    n = 1
+    while 2 * n <= INSERTED:
+        s = s[: len(s) - n] | s[n:]
+        n *= 2
+    more = INSERTED - n  # the sets overlap
+    return (s[: len(h)] | s[more : more + len(h)])[::step]
+
+
+class Ahead:
+    """Of a block of texts, for each word and both directions, the sets of words and word pairs that come within INSERTED words; the words with PAD
+    zeros around them."""
+
+    def __init__(self, x: T.Words):
+        self.padded = np.pad(x.h, PAD)
+        self.sets = {(step, insert): ahead(pairs_of(x.h, step) if insert else x.h, step) for step in (1, -1) for insert in (False, True)}
+
+
+def reach(
+    it: Items, x: T.Words, bounds: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, step: int, insert: bool | None, soon: Ahead
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far alignments from many candidates go, with what hashes, lengths and letters of words tell: the first item word not covered, the
+    first document word, and whether they went over anything but equal words.
 
     A word passes for a misspelling by its length and letters only.  ``insert``: where a word may be misspelt or the first of an
     interruption, it is taken for the interruption; None: all but misspelt words ends an
     alignment.  i, j: places in it.h and x.h; bounds: the first and last
-    such places + 1 of each item and document.
+    such places + 1 of each item and document; soon: the sets of x, to look for the end of an interruption only where there may be one.
     """
     ilo, ihi, dlo, dhi = bounds
     if step < 0:
@@ -122,44 +162,66 @@ def reach(it: Items, x: T.Words, bounds: tuple[np.ndarray, ...], i: np.ndarray,
     ni, nd = len(it.h), len(x.h)
     size = x.z - x.a
     i, j = i.copy(), j.copy()
+    bent = np.zeros(len(i), bool)
     live = np.arange(len(i))
     g = step * np.arange(1, INSERTED + 1)
 
     while True:
-        live = live[(i[live] >= ilo[live]) & (i[live] < ihi[live]) & (j[live] >= dlo[live]) & (j[live] < dhi[live])]
+        a, b = i[live], j[live]
+        if step > 0:
+            room = np.minimum(ihi[live] - a, dhi[live] - b)
+        else:
+            room = np.minimum(a - ilo[live], b - dlo[live]) + 1
+        inside = room > 0
+        if not inside.all():
+            live, a, b, room = live[inside], a[inside], b[inside], room[inside]
         if not len(live):
             break
-        eq = it.h[i[live]] == x.h[j[live]]
-        k = live[~eq]
+        same = it.h[a] == x.h[b]
+        eq, ne = np.flatnonzero(same), np.flatnonzero(~same)
         di, dj = np.ones(len(live), np.int64), np.ones(len(live), np.int64)
-        if len(k) and insert is None:
-            a, b = i[k], j[k]
-            di[~eq] = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(it.size[a] - size[b]) <= 2)
-        elif len(k):
-            a, b = i[k], j[k]
-            close = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(it.size[a] - size[b]) <= 2)
-            # run together or split words can't be told by hashes: by their lengths
-            la, lb = it.size[np.minimum(np.maximum(a + step, 0), ni - 1)], size[np.minimum(np.maximum(b + step, 0), nd - 1)]
-            joined = (it.size[a] + la == size[b]) & ~close
-            split = (size[b] + lb == it.size[a]) & ~close & ~joined
-            gi, gj = np.where(joined, 2, 1), np.where(split, 2, 1)
-            go = close | joined | split
-            m = np.arange(len(k)) if insert else np.flatnonzero(~go)
-            if len(m):
-                # the nearest place after an interruption where the word comes again
-                q = b[m, None] + g
-                hit = (x.h[np.minimum(np.maximum(q, 0), nd - 1)] == it.h[a[m], None]) & (q >= dlo[k[m], None]) & (q < dhi[k[m], None])
-                if insert:
-                    nxt, q2 = np.minimum(np.maximum(a[m] + step, 0), ni - 1), np.minimum(np.maximum(q + step, 0), nd - 1)
-                    hit &= x.h[q2] == it.h[nxt][:, None]
-                far = hit.argmax(1)
-                found = hit[np.arange(len(m)), far]
-                gi[m[found]], gj[m[found]], go[m[found]] = 1, far[found] + 2, True
-            di[~eq], dj[~eq] = np.where(go, gi, 0), gj
+        if len(eq):  # equal words are passed together
+            run = PAD + step * np.arange(1, PAD + 1 if len(live) < 512 else 5)
+            other = it.padded[a[eq, None] + run] != soon.padded[b[eq, None] + run]
+            n = np.minimum(np.where(other.any(1), other.argmax(1), len(run)) + 1, room[eq])
+            di[eq], dj[eq] = n, n
+        if len(ne):
+            k, a, b = live[ne], a[ne], b[ne]
+            sa, sb = it.size[a], size[b]
+            close = (np.bitwise_count(it.bag[a] ^ x.bag[b]) <= 4) & (np.abs(sa - sb) <= 2)
+            if insert is None:
+                di[ne] = close
+            else:
+                # run together or split words can't be told by hashes: by their lengths
+                la, lb = it.size[np.minimum(np.maximum(a + step, 0), ni - 1)], size[np.minimum(np.maximum(b + step, 0), nd - 1)]
+                joined = (sa + la == sb) & ~close
+                split = (sb + lb == sa) & ~close & ~joined
+                gi, gj = np.where(joined, 2, 1), np.where(split, 2, 1)
+                go = close | joined | split
+                m = np.arange(len(k)) if insert else np.flatnonzero(~go)
+                m = m[(soon.sets[step, insert][b[m]] >> it.slots[step, insert][a[m]]) & np.uint64(1) != 0]
+                if len(m):
+                    # the nearest place after an interruption where the word comes again
+                    q = b[m, None] + g
+                    hit = (x.h[np.minimum(np.maximum(q, 0), nd - 1)] == it.h[a[m], None]) & (q >= dlo[k[m], None]) & (q < dhi[k[m], None])
+                    if insert:
+                        nxt, q2 = np.minimum(np.maximum(a[m] + step, 0), ni - 1), np.minimum(np.maximum(q + step, 0), nd - 1)
+                        hit &= x.h[q2] == it.h[nxt][:, None]
+                    far = hit.argmax(1)
+                    found = hit[np.arange(len(m)), far]
+                    gi[m[found]], gj[m[found]], go[m[found]] = 1, far[found] + 2, True
+                di[ne], dj[ne] = np.where(go, gi, 0), gj
+            bent[k] |= di[ne] > 0
         i[live] += step * di
         j[live] += step * dj
         live = live[di > 0]
-    return (i, j) if step > 0 else (i + 1, j + 1)
+    return (i, j, bent) if step > 0 else (i + 1, j + 1, bent)
+
+
+def distinct(v: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    v = np.sort(v)
+    return v[np.r_[True, v[1:] != v[:-1]]] if len(v) else v
 
 
 def starts(it: Items, x: T.Words, s: np.ndarray, i: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,25 +230,28 @@ def starts(it: Items, x: T.Words, s: np.ndarray, i: np.ndarray, q: np.ndarray, m
     w, big, rows = it.cgk.window, np.int64(len(x.h) + 1), np.int64(len(it.h) + 1)
     # a window pair is settled by a seed on one of its diagonals within it
     seed = np.sort((q - m + rows) * rows + m)
+    order = np.argsort((s - i + rows) * rows + i)  # what is looked up in order is found faster
+    s, i = s[order], i[order]
     left = np.ones(len(s), bool)
     for shift in range(-3, 4) if len(seed) else ():
         key = (s - i + shift + rows) * rows + i
         at = np.searchsorted(seed, key)
         left &= ~((at < len(seed)) & (seed[np.minimum(at, len(seed) - 1)] <= key + w - SEED))
     s, i = s[left], i[left]
-    ps, qs = [m], [q]
-    for shift in range(-3, 4):
-        done = np.zeros(len(s), bool)
+    ks = [np.zeros(0, np.int64)]
+    for shift in range(-3, 4) if len(s) else ():
+        p, d = i, s + shift
         for a in range(w - 1):
-            p, d = np.minimum(i + a, len(it.h) - 2), np.clip(s + a + shift, 0, len(x.h) - 2)
-            hit = ~done & (it.h[p] == x.h[d]) & (it.h[p + 1] == x.h[d + 1])
-            ps.append(p[hit])
-            qs.append(d[hit])
-            done |= hit
-    known = np.full(sum(map(len, ps)), RESUMED)
-    known[: len(m)] = SEED
-    key, at = np.unique(np.concatenate(ps) * big + np.concatenate(qs), return_index=True)  # of equal ones the seed
-    return key // big, key % big, known[at]
+            pa, da = np.minimum(p + a, len(it.h) - 2), np.clip(d + a, 0, len(x.h) - 2)
+            hit = it.h[pa] == x.h[da]
+            hit[hit] = it.h[pa[hit] + 1] == x.h[da[hit] + 1]
+            ks.append(pa[hit] * big + da[hit])
+            p, d = p[~hit], d[~hit]
+    key, known = distinct(np.concatenate(ks)), np.sort(m * big + q)
+    if len(known):  # of equal ones the seed
+        key = key[known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key]
+    both = np.r_[known, key]
+    return both // big, both % big, np.repeat([SEED, RESUMED], [len(known), len(key)])
 
 
 def stretches(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, z: np.ndarray, slack: int) -> np.ndarray:
@@ -194,7 +259,8 @@ def stretches(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, lo: np.ndarra
     near each other in the document, and of these those that follow on one another in the item but for ``slack`` words."""
 
     def islands(group: np.ndarray, s: np.ndarray, e: np.ndarray, slack: int) -> np.ndarray:
-        order = np.lexsort((s, group))
+        top = max(len(it.h), len(x.h)) + 1
+        order = np.argsort(group * np.int64(top) + s) if (int(group.max()) + 1) * top < 2**63 else np.lexsort((s, group))
         g, s, e = group[order], s[order], e[order]
         num = np.cumsum(np.r_[0, g[1:] != g[:-1]])
         # the furthest end so far within each group: groups are kept apart by an offset
@@ -214,32 +280,50 @@ def promising(it: Items, x: T.Words, i: np.ndarray, j: np.ndarray, known: np.nda
     Most starts go nowhere: they are first followed without interruptions, and those whose stretch has fewer than FIRST own words are left.
     """
     own = lambda lo, hi: it.own_before[np.clip(hi, 0, len(it.h))] - it.own_before[np.clip(lo, 0, len(it.h))]
+    soon = Ahead(x)
+
+    def follow(bounds: tuple[np.ndarray, ...], i0: np.ndarray, j0: np.ndarray, i1: np.ndarray, j1: np.ndarray, *way: bool | None) -> tuple[np.ndarray, ...]:
+        """Where alignments end that cover i0 to i1 and j0 to j1, and whether they went over anything but equal words."""
+        bent = np.zeros(len(i0), bool)
+        for insert in way:
+            i1, j1, b1 = reach(it, x, bounds, i1, j1, 1, insert, soon)
+            i0, j0, b0 = reach(it, x, bounds, i0, j0, -1, insert, soon)
+            bent |= b1 | b0
+        return i0, j0, i1, j1, bent
+
     d, o = np.searchsorted(x.first, j, "right") - 1, np.searchsorted(it.first, i, "right") - 1
     for full in (False, True):
         if not len(i):
             return (i,) * 6
         bounds = it.first[o], it.first[o + 1], x.first[d], x.first[d + 1]
-        lo, hi, a, z = i.copy(), i + known, j.copy(), j + known
-        # where one way ends another may go on
-        for ways in ((False, True), (True, False)) if full else ((None,),):
-            i0, j0, i1, j1 = i, j, i + known, j + known
-            for insert in ways:
-                i1, j1 = reach(it, x, bounds, i1, j1, 1, insert)
-                i0, j0 = reach(it, x, bounds, i0, j0, -1, insert)
-            lo, hi, a, z = np.minimum(lo, i0), np.maximum(hi, i1), np.minimum(a, np.maximum(j0, bounds[2])), np.maximum(z, np.minimum(j1, bounds[3]))
+        if not full:
+            lo, a, hi, z, bent = follow(bounds, i, j, i + known, j + known, None)
+        else:
+            # where one way ends another may go on; up to lo and hi the first one follows the diagonal
+            first = lo, j - (i - lo), hi, j + (hi - i)
+            i0, j0, i1, j1, turned = follow(bounds, *first, False, True)
+            # both ways are the same where neither goes over anything but equal words: a word more after an interruption is all that the second one sees
+            far = INSERTED + 1
+            beyond = (it.h[np.minimum(hi, len(it.h) - 1)] == x.h[np.minimum(first[3] + far, len(x.h) - 1)]) | (it.h[np.maximum(lo - 1, 0)] == x.h[np.maximum(first[1] - 1 - far, 0)])
+            k = np.flatnonzero(bent | turned | beyond | (i0 != lo) | (i1 != hi))
+            second = follow(tuple(v[k] for v in bounds), i[k], j[k], i[k] + known[k], j[k] + known[k], True, False)
+            lo, a, hi, z = i0, j0, i1, j1
+            lo[k], a[k], hi[k], z[k] = np.minimum(lo[k], second[0]), np.minimum(a[k], second[1]), np.maximum(hi[k], second[2]), np.maximum(z[k], second[3])
+        lo, hi = np.minimum(lo, i), np.maximum(hi, i + known)
+        a, z = np.minimum(j, np.maximum(a, bounds[2])), np.maximum(j + known, np.minimum(z, bounds[3]))
         num = stretches(it, x, d, o, lo, hi, a, z, 0 if full else SEED - 1)
-        order = np.argsort(num, kind="stable")
+        order = np.argsort(num)
         at = np.flatnonzero(np.r_[True, num[order][1:] != num[order][:-1]])
         low, top = np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
         k = own(low, top) >= (LEAST if full else FIRST)
         if full:
             return d[order][at][k], o[order][at][k], np.minimum.reduceat(a[order], at)[k], np.maximum.reduceat(z[order], at)[k], low[k], top[k]
         keep = k[num]
-        i, j, known, d, o = i[keep], j[keep], known[keep], d[keep], o[keep]
+        i, j, known, d, o, lo, hi, bent = i[keep], j[keep], known[keep], d[keep], o[keep], lo[keep], hi[keep], bent[keep]
     raise AssertionError
 
 
-def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close: np.ndarray, li: np.ndarray, ld: np.ndarray, bi: np.ndarray, bd: np.ndarray) -> tuple[int, int, int]:
+def align(iw: list[str], own: np.ndarray, dw: list[str] | Spelt, eq: np.ndarray, close: np.ndarray, li: np.ndarray, ld: np.ndarray, bi: np.ndarray, bd: np.ndarray) -> tuple[int, int, int]:
     """(own words, first item word, last item word + 1) of the best alignment of consecutive item words with document words in order; zeros
     where it has fewer than LEAST own words.
 
@@ -253,40 +337,53 @@ def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close:
     near[1:, 1:] |= eq[:-1, :-1]
     near[:-1, :-1] |= eq[1:, 1:]
     ok = eq.copy()
-    for a, b in zip(*np.nonzero(close & near & ~eq)):
+    maybe = close & near & ~eq
+    joined = (li[:-1, None] + li[1:, None] == ld[None, :]) & (bi[:-1, None] | bi[1:, None] == bd[None, :])
+    split = (li[:, None] == ld[None, :-1] + ld[None, 1:]) & (bi[:, None] == bd[None, :-1] | bd[None, 1:])
+    before = np.r_[0, np.cumsum(own)]
+
+    def enough(some: np.ndarray) -> bool:
+        """Whether item words with which something agrees hold LEAST own ones in sequence: a word with which nothing agrees ends every alignment."""
+        edge = np.flatnonzero(np.diff(np.r_[0, some.astype(np.int8), 0]))
+        return len(edge) > 0 and bool((before[edge[1::2]] - before[edge[::2]]).max() >= LEAST)
+
+    some = (eq | maybe).any(1) | split.any(1)
+    some[:-1] |= joined.any(1)
+    some[1:] |= joined.any(1)
+    if not enough(some):  # before any word is spelt out
+        return (0, 0, 0)
+    for a, b in zip(*(v.tolist() for v in np.nonzero(maybe))):
         ok[a, b] = similar(iw[a], dw[b])
     both: dict[int, list[tuple[int, int, int]]] = {}  # last row: (last column, rows, columns)
-    for a, b in zip(*np.nonzero((li[:-1, None] + li[1:, None] == ld[None, :]) & (bi[:-1, None] | bi[1:, None] == bd[None, :]))):
+    for a, b in zip(*(v.tolist() for v in np.nonzero(joined))):
         if iw[a] + iw[a + 1] == dw[b]:
-            both.setdefault(int(a) + 1, []).append((int(b), 2, 1))
-    for a, b in zip(*np.nonzero((li[:, None] == ld[None, :-1] + ld[None, 1:]) & (bi[:, None] == bd[None, :-1] | bd[None, 1:]))):
+            both.setdefault(a + 1, []).append((b, 2, 1))
+    for a, b in zip(*(v.tolist() for v in np.nonzero(split))):
         if iw[a] == dw[b] + dw[b + 1]:
-            both.setdefault(int(a), []).append((int(b) + 1, 1, 2))
-    # an item word with which nothing agrees ends every alignment
+            both.setdefault(a, []).append((b + 1, 1, 2))
     some = ok.any(1)
     for a, bs in both.items():
         some[a - max(b[1] for b in bs) + 1 : a + 1] = True
-    before = np.r_[0, np.cumsum(own)]
-    edge = np.flatnonzero(np.diff(np.r_[0, some.astype(np.int8), 0]))
-    if not len(edge) or (before[edge[1::2]] - before[edge[::2]]).max() < LEAST:
+    if not enough(some):
         return (0, 0, 0)
     two = np.zeros_like(eq)  # RESUMED words agree from here on; at the item's end one will do
     two[:-1, :-1] = ok[:-1, :-1] & ok[1:, 1:] & (eq[:-1, :-1] | eq[1:, 1:])
     two[-1] = eq[-1]
-    run = np.zeros((n + 1, m + 1), np.int16)
-    for a in range(n - 1, -1, -1):
-        run[a, :m] = np.where(eq[a], run[a + 1, 1:] + 1, 0)
-    cells: dict[int, list[int]] = {}
-    for a, b in zip(*(v.tolist() for v in np.nonzero(ok))):
-        cells.setdefault(a, []).append(b)
+    seed = np.zeros_like(eq)  # SEED equal words from here on
+    if n >= SEED and m >= SEED:
+        seed[: n - SEED + 1, : m - SEED + 1] = np.logical_and.reduce([eq[k : n - SEED + 1 + k, k : m - SEED + 1 + k] for k in range(SEED)])
+    cells: dict[int, list[tuple[int, int]]] = {}  # row: (column, words that an interruption before it may have, -1 if none ends here)
+    at = np.nonzero(ok)
+    for a, b, far in zip(*(v.tolist() for v in (*at, np.where(two[at], np.where(seed[at], INSERTED_FAR, INSERTED), -1)))):
+        cells.setdefault(a, []).append((b, far))
+    before = before.tolist()
     best = (0, 0, 0)
     rows: dict[int, dict[int, int]] = {}  # row: column: the earliest item word from which on all are covered
     for a in range(n):
         row, up = {}, rows.get(a - 1, {})
-        for b in cells.get(a, ()):
+        for b, far in cells.get(a, ()):
             lo = min(a, up.get(b - 1, a))
-            if up and two[a, b]:
-                far = INSERTED_FAR if run[a, b] >= SEED else INSERTED
+            if up and far >= 0:
                 for c, v in up.items():
                     if v < lo and 2 <= b - c <= far + 1:
                         lo = v
@@ -297,12 +394,22 @@ def align(iw: list[str], own: np.ndarray, dw: list[str], eq: np.ndarray, close:
         if row:
             rows[a] = row
             lo = min(row.values())
-            v = int(before[a + 1] - before[lo])
+            v = before[a + 1] - before[lo]
             if v > best[0]:
                 best = (v, lo, a + 1)
     return best
 
 
+class Spelt:
+    """The words of a block of texts from a place on, spelt out where they are asked for."""
+
+    def __init__(self, x: T.Words, first: int):
+        self.x, self.first = x, first
+
+    def __getitem__(self, k: int) -> str:
+        return self.x.word(self.first + k)
+
+
 def verified(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, j0: np.ndarray, j1: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
     """(document, item, alignment) of the stretches that hold LEAST own words: of each document and item the best.
 
@@ -317,7 +424,7 @@ def verified(it: Items, x: T.Words, d: np.ndarray, o: np.ndarray, j0: np.ndarray
         eq = it.h[ia:iz, None] == x.h[None, da:dz]
         close = (np.bitwise_count(it.bag[ia:iz, None] ^ x.bag[None, da:dz]) <= 4) & (np.abs(it.size[ia:iz, None] - size[None, da:dz]) <= 2)
         off = int(it.first[ok])
-        v = align(it.words[ok][ia - off : iz - off], it.own[ok][ia - off : iz - off], [x.word(k) for k in range(da, dz)], eq, close, it.size[ia:iz], size[da:dz], it.bag[ia:iz], x.bag[da:dz])
+        v = align(it.words[ok][ia - off : iz - off], it.own[ok][ia - off : iz - off], Spelt(x, da), eq, close, it.size[ia:iz], size[da:dz], it.bag[ia:iz], x.bag[da:dz])
         v = (v[0], v[1] + ia - off, v[2] + ia - off)
         if v[0] >= LEAST and v[0] > found.get((dk, ok), (0, 0, 0))[0]:
             found[dk, ok] = v
@@ -372,6 +479,10 @@ class Items:
         g, at = self.grams(SEED)
         own = foreign[at + SEED] == foreign[at]
         self.seed_at, self.seeds = at[own], T.Lookup(g[own])
+        self.padded, self.gram = np.pad(self.h, PAD), T.ngrams(self.h, SEED)
+        self.seeded = np.zeros(len(self.h) + 1, bool)
+        self.seeded[self.seed_at] = True
+        self.slots = {(step, insert): slots(pairs_of(self.h, step) if insert else self.h) for step in (1, -1) for insert in (False, True)}
 
 
 class Sketch:
@@ -503,20 +614,24 @@ def search(it: Items, x: T.Words) -> list[tuple[int, int, tuple[int, int, int]]]
     start = np.r_[x.first[:-1][d] + k * STRIDE, (x.first[1:] - w)[n >= w]]
     rows = np.int64(max(1, len(it.start)))
     pairs = [np.zeros(0, np.int64)]
-    for lo in range(0, len(start), 1 << 16):
-        s = start[lo : lo + (1 << 16)]
+    for lo in range(0, len(start), PIECE):
+        s = start[lo : lo + PIECE]
         for table, keys in zip(it.tables, c.keys(x.h, s)):
             q, m = table.find(keys)
             pairs.append(s[q] * rows + m)
-    pair = np.unique(np.concatenate(pairs))
+    pair = distinct(np.concatenate(pairs))
     s, i = pair // rows, it.start[pair % rows] if len(it.start) else pair
-    q, m = it.seeds.find(T.ngrams(x.h, SEED))
-    inside = x.first[np.searchsorted(x.first, q, "right")] - q >= SEED
+    gram = T.ngrams(x.h, SEED)
+    left = np.repeat(x.first[1:], n) - np.arange(len(x.h))  # words from here to the end of the text
+    q, m = it.seeds.find(gram)
+    inside = left[q] >= SEED
     q, m = q[inside], it.seed_at[m[inside]]
     # of seeds that go on from one another the first is enough
-    key = np.sort(q * (len(it.h) + 1) + m)
-    key = key[~np.isin(key, key + len(it.h) + 2, kind="sort")]
-    q, m = key // (len(it.h) + 1), key % (len(it.h) + 1)
+    on = np.flatnonzero((q > 0) & it.seeded[m - 1])  # place -1 is none
+    on = on[(left[q[on] - 1] >= SEED) & (gram[q[on] - 1] == it.gram[m[on] - 1])]
+    first = np.ones(len(q), bool)
+    first[on] = False
+    q, m = q[first], m[first]
     if not len(s) and not len(q):
         return []
     return list(verified(it, x, *promising(it, x, *starts(it, x, s, i, q, m))))

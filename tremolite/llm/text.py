@@ -22,6 +22,8 @@ _BROKEN = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?=\w)")
 _POW = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x9E3779B97F4A7C15 | 1, np.uint64)])
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: What a byte adds to its word's hash: by its place in the word (less multiples of 64) and its value.
+_MIX = (_POW[:, None] * _BYTE[None, :]).ravel()
 _BIT = np.uint64(1) << (np.arange(256, dtype=np.uint64) & np.uint64(63))
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -66,8 +68,8 @@ def words(texts: list[str | None]) -> Words:
     return words_of([normal(t) for t in texts])
 
 
-def _edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word, and the byte after it."""
+def _edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it; whether each byte is of a word."""
     ok = _LETTER[b]
     for lead, n in ((0xE2, 3), (0xC2, 2)):  # general punctuation and Latin-1 signs separate
         k = np.flatnonzero(b == lead)
@@ -76,7 +78,7 @@ def _edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(ok[1:] != ok[:-1]) + 1
     if ok[0]:
         edge = np.r_[0, edge]
-    return edge[::2], edge[1::2]
+    return edge[::2], edge[1::2], ok
 
 
 #: Letters whose lower case has another length in UTF-8.
@@ -104,20 +106,18 @@ def words_of(normals: list[str]) -> Words:
     parts = [p.encode("utf-8", "replace") for p in normals]
     buf = b"\n".join(parts) + b"\n"
     b = np.frombuffer(buf, np.uint8)
-    a, z = _edges(b)
+    a, z, ok = _edges(b)
     ends = np.cumsum([len(p) + 1 for p in parts])
     first = np.r_[0, np.searchsorted(a, ends)]
     if not len(a):
         return Words(np.zeros(0, np.uint64), a, a, buf, first, np.zeros(0, np.uint64))
-    n = z - a
-    own = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)  # place in buf of each letter, less its number
-    pos = np.arange(len(own)) + own
-    within = pos - np.repeat(a, n)
-    v = _BYTE[b[pos]] * _POW[within & 63]
-    h = np.add.reduceat(v, np.r_[0, np.cumsum(n)[:-1]])
+    n, b = z - a, b[ok]
+    at = np.r_[0, np.cumsum(n)[:-1]]
+    within = np.arange(len(b)).astype(np.uint8) - np.repeat(at.astype(np.uint8), n)  # modulo 256
+    h = np.add.reduceat(_MIX[(within & np.uint8(63)).astype(np.int64) << 8 | b], at)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    bag = np.bitwise_or.reduceat(_BIT[b[pos]], np.r_[0, np.cumsum(n)[:-1]])
+    bag = np.bitwise_or.reduceat(_BIT[b], at)
     return Words(h, a, z, buf, first, bag)
 
 
@@ -160,20 +160,25 @@ class Lookup:
 
     def __setstate__(self, state: tuple) -> None:
         self.order, self.keys, self.bits = state
+        at = np.flatnonzero(np.r_[True, self.keys[1:] != self.keys[:-1]]) if len(self.keys) else np.zeros(0, np.int64)
+        self.each, self.at, self.count = self.keys[at], at, np.diff(np.r_[at, len(self.keys)])
         self.shift = np.uint64(64 - self.bits)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.keys)] = True
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
-        return ((k * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        k = k * np.uint64(0x9E3779B97F4A7C15)
+        k >>= self.shift
+        return k.view(np.int64)
 
     def find(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the query, number of the key) of all equal pairs."""
         c = np.flatnonzero(self.seen[self._slot(q)])
         if not len(c):
             return c, c
-        a = np.searchsorted(self.keys, q[c], "left")
-        n = np.searchsorted(self.keys, q[c], "right") - a
-        c, a, n = c[n > 0], a[n > 0], n[n > 0]
+        k = np.searchsorted(self.each, q[c])
+        k[k == len(self.each)] = 0
+        same = self.each[k] == q[c]
+        c, a, n = c[same], self.at[k[same]], self.count[k[same]]
         at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else a
         return np.repeat(c, n), self.order[at] if len(n) else at
